@@ -32,7 +32,7 @@ def _hash_tile(h: str) -> Column:
 
 def subject_splits(folds: DataFrame, subject: str, k: int, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """train/val/test per (fold, subject): test by fold, val by seeded hash order of the rest."""
-    each = folds.select(subject, "test_fold").withColumn("fold_id", F.explode(F.sequence(F.lit(1), F.lit(k))).cast("long"))
+    each = folds.select(subject, "test_fold").withColumn("fold_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))))
     rest = each.where(F.col("fold_id") != F.col("test_fold")).withColumn(
         "_h", F.md5(F.concat_ws("|", (F.lit(seed) + F.col("fold_id")).cast("string"), F.col(subject).cast("string")))
     )
