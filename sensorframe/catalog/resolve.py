@@ -168,7 +168,7 @@ def p22(t):
 
 @query(
     "p23_existence_issue",
-    f"""WITH {RES_SQL}, inv AS (SELECT 'd/' || file_name AS path FROM manifest WHERE ts % 5 <> 0 UNION ALL SELECT 'r/' || file_name FROM manifest WHERE ts % 7 <> 0),
+    f"""WITH {RES_SQL}, inv AS (SELECT 'd/' || file_name AS path FROM manifest WHERE NOT second UNION ALL SELECT 'r/' || file_name FROM manifest WHERE view_type = 'front'),
     s AS (SELECT file_name, 'd/' || file_name AS depth_path, 'r/' || file_name AS rgb_path FROM manifest)
     SELECT * FROM (SELECT *, CASE WHEN depth_path NOT IN (SELECT path FROM inv) AND rgb_path NOT IN (SELECT path FROM inv) THEN 'missing_depth_and_rgb'
       WHEN depth_path NOT IN (SELECT path FROM inv) THEN 'missing_depth_file' WHEN rgb_path NOT IN (SELECT path FROM inv) THEN 'missing_rgb_file' END AS issue FROM s) WHERE issue IS NOT NULL""",
@@ -176,6 +176,6 @@ def p22(t):
 def p23(t):
     m = manifest(t)
     d, r = F.concat(F.lit("d/"), "file_name"), F.concat(F.lit("r/"), "file_name")
-    inv = m.where(F.col("ts") % 5 != 0).select(d.alias("path")).unionByName(m.where(F.col("ts") % 7 != 0).select(r.alias("path")))
+    inv = m.where(~F.col("second")).select(d.alias("path")).unionByName(m.where(F.col("view_type") == "front").select(r.alias("path")))
     s = m.select("file_name", d.alias("depth_path"), r.alias("rgb_path"))
     return re_.existence_issue(s, inv, "depth_path", "rgb_path").select("file_name", "depth_path", "rgb_path", "issue")

@@ -109,8 +109,8 @@ def nearest_sessions(
         )
 
     slim = files.select(group, file_id, F.col(left[0]).alias("_k1"), F.col(left[1]).alias("_k2"), F.col(file_time).alias("_t"))
-    found1 = slim.withColumnRenamed("_k1", "_key").join(count(by_first, "1"), [group, "_key"])
-    found2 = slim.withColumnRenamed("_k2", "_key").join(count(by_second, "2"), [group, "_key"])
+    found1 = lookup_join(slim.withColumnRenamed("_k1", "_key"), count(by_first, "1"), [group, "_key"], salt_on=[file_id])
+    found2 = lookup_join(slim.withColumnRenamed("_k2", "_key"), count(by_second, "2"), [group, "_key"], salt_on=[file_id])
     side1 = found1.select(group, file_id, view, F.col("_key").alias("_k1"), "_n1", "_untimed1", "_any1", "_t")
     side2 = found2.select(group, file_id, view, F.col("_key").alias("_k2"), "_n2", "_untimed2", "_any2", F.col("_t").alias("_t2"))
     sides = side1.join(side2, [group, file_id, view], "full").withColumn("_t", F.coalesce("_t", "_t2")).drop("_t2")
