@@ -134,8 +134,8 @@ def requalified(t):
 @query(
     "a17_subject_standardiser",
     f"""WITH {DIMS_SQL}, {SUBJ_SQL}, {TRAIN_STATS_SQL}, own AS (SELECT s, d, avg(v) AS m, CASE WHEN stddev_pop(v) < 1e-4 THEN 1.0 ELSE stddev_pop(v) END AS sd FROM wsub GROUP BY s, d),
-    n AS (SELECT s, count(DISTINCT window_id) AS n FROM wsub GROUP BY s),
-    z AS (SELECT window_id, frame_idx, s, d, n < 3 AS fallback, CASE WHEN n >= 3 THEN (v - m) / sd ELSE (v - mean) / std END AS v FROM wsub JOIN own USING (s, d) JOIN n USING (s) JOIN ts USING (d))
+    nw AS (SELECT s, count(DISTINCT window_id) AS nw FROM wsub GROUP BY s),
+    z AS (SELECT window_id, frame_idx, s, d, nw < 3 AS fallback, CASE WHEN nw >= 3 THEN (v - m) / sd ELSE (v - mean) / std END AS v FROM wsub JOIN own USING (s, d) JOIN nw USING (s) JOIN ts USING (d))
     SELECT window_id, frame_idx, s AS subject, fallback, {SUMMED} FROM z GROUP BY window_id, frame_idx, s, fallback""",
 )
 def a17(t):
