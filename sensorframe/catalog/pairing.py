@@ -101,7 +101,7 @@ def j11_missing(t):
 
 @query(
     "j15_lookup_or_zero",
-    """SELECT o_orderkey, round(coalesce(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE))), 0.0), 8) + 0.0 AS total, coalesce(len(embedding), 64) AS width
+    """SELECT o_orderkey, round(coalesce(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 0.0), 8) + 0.0 AS total, coalesce(len(embedding), 64) AS width
     FROM orders LEFT JOIN embeddings ON vec_id = o_custkey""",
 )
 def j15(t):
@@ -155,8 +155,8 @@ def v1_inputs(t):
     f"""WITH {V1_SQL}, ha AS (SELECT task, list(DISTINCT name) AS names, max(length) FILTER (name = 'rgb') AS rn, max(ndim) FILTER (name = 'rgb') AS rd, max(length) FILTER (name = 'depth') AS dn,
       max(ndim) FILTER (name = 'depth') AS dd, max(length) FILTER (name = 'target_timestamps') AS tn FROM arrays GROUP BY task), hb AS (SELECT task, list(DISTINCT attr) AS attrs FROM attrs GROUP BY task),
     st AS (SELECT task, median(d) AS med FROM (SELECT task, ts - lag(ts) OVER (PARTITION BY task ORDER BY idx) AS d FROM stamps) GROUP BY task),
-    m AS (SELECT task, array_to_string(list_sort(list_filter(['depth', 'depth_frame_indices', 'depth_source_timestamps', 'rgb', 'rgb_frame_indices', 'rgb_source_timestamps', 'target_timestamps'], x -> NOT list_contains(names, x))), ',') AS missing_arrays,
-      array_to_string(list_sort(list_filter(['base_subject_id', 'group', 'stress_label', 'task_id', 'view_type'], x -> NOT list_contains(coalesce(attrs, []), x))), ',') AS missing_attrs, rn, rd, dn, dd, tn, med
+    m AS (SELECT task, array_to_string(list_sort(list_filter(['depth', 'depth_frame_indices', 'depth_source_timestamps', 'rgb', 'rgb_frame_indices', 'rgb_source_timestamps', 'target_timestamps'], lambda x: NOT list_contains(names, x))), ',') AS missing_arrays,
+      array_to_string(list_sort(list_filter(['base_subject_id', 'group', 'stress_label', 'task_id', 'view_type'], lambda x: NOT list_contains(coalesce(attrs, []), x))), ',') AS missing_attrs, rn, rd, dn, dd, tn, med
       FROM ha LEFT JOIN hb USING (task) LEFT JOIN st USING (task)),
     s AS (SELECT *, CASE WHEN missing_arrays <> '' OR missing_attrs <> '' THEN 'incomplete' WHEN abs(med - 0.25) > 0.05 THEN 'bad_timestamp_step' WHEN rn <> dn OR rn <> tn THEN 'length_mismatch' WHEN rd <> 4 OR dd <> 3 THEN 'bad_shape' ELSE 'complete' END AS status FROM m)
     SELECT task, status, missing_arrays, missing_attrs, CASE WHEN status <> 'incomplete' THEN rn END AS num_samples, CASE WHEN status <> 'incomplete' THEN med END AS timestamp_step_median,
@@ -191,7 +191,7 @@ def ready_pairs(t):
 @query(
     "v3_pair_readiness",
     f"""WITH {READY_SQL} SELECT subject, count(*) AS n_pairs, CAST(sum(y) AS BIGINT) AS n_stress, min(len(lv)) AS left_dim, min(len(rv)) AS right_dim,
-    count(*) FILTER (len(list_filter(lv, x -> isnan(x) OR isinf(x))) > 0) AS left_not_finite, count(*) FILTER (len(list_filter(rv, x -> isnan(x) OR isinf(x))) > 0) AS right_not_finite FROM prs GROUP BY subject""",
+    count(*) FILTER (len(list_filter(lv, lambda x: isnan(x) OR isinf(x))) > 0) AS left_not_finite, count(*) FILTER (len(list_filter(rv, lambda x: isnan(x) OR isinf(x))) > 0) AS right_not_finite FROM prs GROUP BY subject""",
 )
 def v3(t):
     return qu.pair_readiness(ready_pairs(t), "subject", "y", "lv", "rv")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sensorframe.functions.scalars import above
 from sensorframe.operators.folds import balanced_resample
 from sensorframe.operators.metrics import best_threshold, confusion_table, metric_table, ranking_metrics
+from sensorframe.operators.ordered import lookup_join
+from sensorframe.operators.vectors import population_standardise
 
 
 def apply_val_threshold(preds: DataFrame, fold: Sequence[str], split: str, label: str, score: str) -> DataFrame:
@@ -21,8 +23,6 @@ def apply_val_threshold(preds: DataFrame, fold: Sequence[str], split: str, label
     predictions, and AQE decides at run time whether to broadcast them.
     """
     found = best_threshold(preds.where(F.col(split) == "val"), fold, label, score)
-    from sensorframe.operators.ordered import lookup_join
-
     joined = lookup_join(preds.drop("threshold", "prediction"), found.select(*fold, F.col("best_threshold").alias("threshold")), fold)
     return joined.withColumn("prediction", above(F.col(score), F.col("threshold")))
 
@@ -46,14 +46,7 @@ def _weighted(df: DataFrame, label: str) -> DataFrame:
 
 def standardise(train: DataFrame, rows: DataFrame, features: str, eps: float = 1e-4) -> DataFrame:
     """Z-score rows by the training rows' per-dimension mean and population std."""
-    from sensorframe.operators.vectors import dimension_stats, zscore
-
-    stats = dimension_stats(train, [], features, eps).agg(
-        F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("_s")
-    )
-    # One row of D means and stds: bounded by the vector width.
-    means, stds = (stats.select(F.transform("_s", lambda s, k=k: s[k])).first()[0] for k in ("mean", "std"))
-    return rows.withColumn(features, zscore(F.col(features), F.array(*map(F.lit, means)), F.array(*map(F.lit, stds))))
+    return population_standardise(rows, train, features, eps)
 
 
 def linear_probe(
