@@ -112,8 +112,8 @@ def j9(t):
                  CAST(coalesce(ceil((nts - t0) / 14400.0 - 1e-9) - 1, floor((ts - t0) / 14400.0 + 1e-9)) AS BIGINT) AS hi FROM n),
     g AS (SELECT *, unnest(range(lo, hi + 1)) AS sample_idx FROM b WHERE hi >= lo),
     p AS (SELECT *, CASE WHEN nts IS NULL THEN 0.0 ELSE (t0 + sample_idx * 14400.0 - ts) / (nts - ts) END AS share FROM g)
-    SELECT subject, sample_idx, round(t0 + sample_idx * 14400.0, 4) AS grid_ts, round(acc0 + (coalesce(n0, acc0) - acc0) * share, 5) + 0.0 AS acc0,
-           round(acc1 + (coalesce(n1, acc1) - acc1) * share, 5) + 0.0 AS acc1, label FROM p""",
+    SELECT subject, sample_idx, round(t0 + sample_idx * 14400.0, 6) AS grid_ts, round(acc0 + (coalesce(n0, acc0) - acc0) * share, 8) + 0.0 AS acc0,
+           round(acc1 + (coalesce(n1, acc1) - acc1) * share, 8) + 0.0 AS acc1, label FROM p""",
 )
 def w10(t):
     s = t.samples().select("subject", ((F.col("us") - 1704067200000000) / 1e6).alias("ts"), "acc0", "acc1", "label")
@@ -121,8 +121,8 @@ def w10(t):
     return out.select(
         "subject",
         "sample_idx",
-        F.round("grid_ts", 4).alias("grid_ts"),
-        (F.round("acc0", 5) + 0.0).alias("acc0"),
-        (F.round("acc1", 5) + 0.0).alias("acc1"),
+        F.round("grid_ts", 6).alias("grid_ts"),
+        (F.round("acc0", 8) + 0.0).alias("acc0"),
+        (F.round("acc1", 8) + 0.0).alias("acc1"),
         "label",
     )

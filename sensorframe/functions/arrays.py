@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,29 +98,28 @@ def range_unit(x: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest((x - low) / (top - low), F.lit(0.0)), F.lit(1.0))
 
 
-def _mirror(k: Column, n: int) -> Column:
-    """Border index that mirrors around the edge pixel."""
-    return F.when(k < 0, -k).when(k >= n, F.lit(2 * n - 2) - k).otherwise(k)
-
-
 def edge_map(px: Column, height: int, width: int, clamp: float, gamma: float = 1.0) -> Column:
-    """3x3 gradient magnitude, clipped to ``clamp``, then a gamma curve up to ``clamp``."""
-
-    def pixel(i: Column) -> Column:
-        y, x = F.floor(i / width).cast("int"), (i % width).cast("int")
+    """3x3 gradient magnitude, clipped to ``clamp``, then a gamma curve up to ``clamp``.
 
-        def at(dy: int, dx: int) -> Column:
-            pos = _mirror(y + dy, height) * width + _mirror(x + dx, width)
-            return F.get(px, pos.cast("int"))
-
-        gx = (at(-1, 1) + at(0, 1) * 2 + at(1, 1)) - (at(-1, -1) + at(0, -1) * 2 + at(1, -1))
-        gy = (at(1, -1) + at(1, 0) * 2 + at(1, 1)) - (at(-1, -1) + at(-1, 0) * 2 + at(-1, 1))
-        edge = F.least(F.sqrt(gx * gx + gy * gy), F.lit(float(clamp)))
-        if gamma == 1.0:
-            return edge
-        return F.pow(edge / F.lit(max(float(clamp), 1e-6)), F.lit(float(gamma))) * F.lit(float(clamp))
+    Arrow batches and array arithmetic: per-pixel neighbour lookups in nested array
+    lambdas measured some fifty times slower.
+    """
 
-    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), pixel)
+    @F.pandas_udf("array<double>")
+    def edges(frames: pd.Series) -> pd.Series:
+        if len(frames) == 0:
+            return pd.Series([], dtype=object)
+        x = np.stack(frames.to_numpy()).astype("float64").reshape(-1, height, width)
+        p = np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="reflect")
+        across = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+        down = p[:, :, :-2] + 2 * p[:, :, 1:-1] + p[:, :, 2:]
+        strength = np.hypot(across[:, :, 2:] - across[:, :, :-2], down[:, 2:] - down[:, :-2])
+        strength = np.minimum(strength, clamp)
+        if gamma != 1.0:
+            strength = (strength / max(clamp, 1e-6)) ** gamma * clamp
+        return pd.Series(list(strength.reshape(len(x), -1)))
+
+    return edges(px)
 
 
 def _spot(i: Column, n: Column, m: int) -> Column:

@@ -17,6 +17,7 @@ from sensorframe.operators.ordered import (
     row_position,
     row_tile,
     running_sum,
+    with_time_tile,
 )
 from sensorframe.operators.quantiles import exact_quantiles
 
@@ -75,7 +76,7 @@ def interval_ranges(
     ts: str,
     frame: str,
     tolerance: float,
-    tile_width: float,
+    tile_width: float | None = None,
 ) -> DataFrame:
     """First and last frame inside each closed interval, with count and coverage status.
 
@@ -97,10 +98,10 @@ def interval_ranges(
     )
     hit = F.when(F.col("_kind") == 1, F.struct(F.col("_ts").alias("ts"), F.col("_frame").alias("f")))
     scanned = ordered_scan(
-        stream,
+        with_time_tile(stream, "_ts", tile_width),
         keys,
         ["_ts", "_kind", "_frame", "_tie"],
-        F.floor(F.col("_ts") / F.lit(tile_width)),
+        "_tile",
         {
             "_seen": running_sum((F.col("_kind") == 1).cast("long")),
             "_next": next_valid(hit),
@@ -145,7 +146,7 @@ def nearest_asof(
     target_ts: str,
     ts: str,
     payload: Sequence[str],
-    tile_width: float,
+    tile_width: float | None = None,
     tolerance: float | None = None,
     how: str = "inner",
     prefer: str = "earlier",
@@ -169,10 +170,10 @@ def nearest_asof(
     )
     hit = F.when(F.col("_kind") == 0, F.struct("_ts", "_pay"))
     scanned = ordered_scan(
-        stream.where(F.col("_ts").isNotNull()),
+        with_time_tile(stream.where(F.col("_ts").isNotNull()), "_ts", tile_width),
         keys,
         ["_ts", "_kind", "_tie", *target_id],
-        F.floor(F.col("_ts") / F.lit(tile_width)),
+        "_tile",
         {"_prev": last_valid(hit), "_next": next_valid(hit)},
     ).where(F.col("_kind") == 1)
     back, ahead = F.col("_ts") - F.col("_prev._ts"), F.col("_next._ts") - F.col("_ts")
@@ -208,7 +209,7 @@ def resample(
     signals: Sequence[str],
     label: str,
     rate_hz: float,
-    tile_width: float,
+    tile_width: float | None = None,
     max_gap: float | None = None,
 ) -> DataFrame:
     """Regular grid per group: linear interpolation of signals, last label carried forward.
@@ -219,10 +220,10 @@ def resample(
     step = F.lit(1.0 / rate_hz)
     here = F.struct(F.col(ts).alias("ts"), *signals, label)
     nxt = ordered_scan(
-        df,
+        with_time_tile(df, ts, tile_width),
         keys,
         [ts],
-        F.floor(F.col(ts) / F.lit(tile_width)),
+        "_tile",
         {"_next": following(here), "_t0": group_first(F.col(ts))},
     )
     # Grid points from this sample up to, not including, the next one; the last sample

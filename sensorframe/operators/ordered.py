@@ -6,12 +6,16 @@ cut a group into *tiles* along its order column, work inside a tile, and hand ea
 tile the little that earlier (or later) tiles owe it:
 
 1. rows are hash-partitioned by (key, tile) and windowed inside the tile;
-2. one partially aggregated row per (key, tile) summarises the tile;
+2. the first or last row of a tile already holds the tile's summary, so one row per
+   (key, tile) goes on: a filter, no aggregation over the rows;
 3. an ordered window over those few summaries yields the carry of each tile;
 4. the carry is joined back on (key, tile), the partitioning step 1 already has.
 
-A hot key therefore spreads over as many tasks as it has tiles. Keys and order
-columns must not be null, and the order columns must be unique within a key.
+A hot key therefore spreads over as many tasks as it has tiles. Steps 1 and 2 share
+one shuffle when the input holds no columns beyond those the scan uses, so pass slim
+tables and join wide columns later. Order columns must be unique within a key; rows
+whose key or tile is null take part in no group and are left out, as in a pandas
+grouping.
 """
 
 from __future__ import annotations
@@ -30,12 +34,17 @@ ROWS_PER_TILE = 1 << 20
 
 @dataclass(frozen=True)
 class Scan:
-    """One output of an ordered scan, split into its in-tile and cross-tile parts."""
+    """One output of an ordered scan, split into its in-tile and cross-tile parts.
+
+    ``edge`` names the row of a tile that holds its summary; ``summary`` is what to
+    read there when it is not the in-tile value itself.
+    """
 
     local: Callable[[Window, Window], Column]
-    summary: Callable[[Column], Column]
     carry: Callable[[Column, Window, Window], Column]
     merge: Callable[[Column, Column], Column]
+    edge: str = "last"
+    summary: Column | None = None
 
 
 def _before(window):
@@ -46,12 +55,16 @@ def _upto(window):
     return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _whole(window):
+    return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def previous(expr: Column) -> Scan:
     """Value of the row before, null on the first row of the group."""
     boxed = F.struct(expr.alias("v"))
     return Scan(
         local=lambda fwd, bwd: F.lag(boxed).over(fwd),
-        summary=lambda rank: F.max_by(boxed, rank),
+        summary=boxed,
         carry=lambda s, fwd, bwd: F.lag(s).over(fwd),
         merge=lambda a, b: F.coalesce(a, b)["v"],
     )
@@ -62,7 +75,8 @@ def following(expr: Column) -> Scan:
     boxed = F.struct(expr.alias("v"))
     return Scan(
         local=lambda fwd, bwd: F.lead(boxed).over(fwd),
-        summary=lambda rank: F.min_by(boxed, rank),
+        summary=boxed,
+        edge="first",
         carry=lambda s, fwd, bwd: F.lead(s).over(fwd),
         merge=lambda a, b: F.coalesce(a, b)["v"],
     )
@@ -72,7 +86,6 @@ def last_valid(expr: Column) -> Scan:
     """Latest non-null value at or before the row."""
     return Scan(
         local=lambda fwd, bwd: F.last(expr, ignorenulls=True).over(_upto(fwd)),
-        summary=lambda rank: F.max_by(expr, F.when(expr.isNotNull(), rank)),
         carry=lambda s, fwd, bwd: F.last(s, ignorenulls=True).over(_before(fwd)),
         merge=lambda a, b: F.coalesce(a, b),
     )
@@ -86,7 +99,7 @@ def next_valid(expr: Column) -> Scan:
     """
     return Scan(
         local=lambda fwd, bwd: F.last(expr, ignorenulls=True).over(_upto(bwd)),
-        summary=lambda rank: F.min_by(expr, F.when(expr.isNotNull(), rank)),
+        edge="first",
         carry=lambda s, fwd, bwd: F.last(s, ignorenulls=True).over(_before(bwd)),
         merge=lambda a, b: F.coalesce(a, b),
     )
@@ -96,7 +109,6 @@ def running_sum(expr: Column) -> Scan:
     """Sum up to and including the row."""
     return Scan(
         local=lambda fwd, bwd: F.sum(expr).over(_upto(fwd)),
-        summary=lambda rank: F.sum(expr),
         carry=lambda s, fwd, bwd: F.sum(s).over(_before(fwd)),
         merge=lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     )
@@ -106,7 +118,6 @@ def running_max(expr: Column) -> Scan:
     """Largest value up to and including the row."""
     return Scan(
         local=lambda fwd, bwd: F.max(expr).over(_upto(fwd)),
-        summary=lambda rank: F.max(expr),
         carry=lambda s, fwd, bwd: F.max(s).over(_before(fwd)),
         merge=lambda a, b: F.greatest(a, b),
     )
@@ -120,11 +131,8 @@ def row_position() -> Scan:
 def group_total(expr: Column) -> Scan:
     """Sum over the whole group, brought along with the tile carry."""
     return Scan(
-        local=lambda fwd, bwd: F.lit(None).cast("long"),
-        summary=lambda rank: F.sum(expr),
-        carry=lambda s, fwd, bwd: F.sum(s).over(
-            fwd.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ),
+        local=lambda fwd, bwd: F.sum(expr).over(_upto(fwd)),
+        carry=lambda s, fwd, bwd: F.sum(s).over(_whole(fwd)),
         merge=lambda a, b: b,
     )
 
@@ -132,11 +140,8 @@ def group_total(expr: Column) -> Scan:
 def group_first(expr: Column) -> Scan:
     """First non-null value of the whole group, brought along with the tile carry."""
     return Scan(
-        local=lambda fwd, bwd: F.lit(None).cast("string"),
-        summary=lambda rank: F.min_by(expr, F.when(expr.isNotNull(), rank)),
-        carry=lambda s, fwd, bwd: F.first(s, ignorenulls=True).over(
-            fwd.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ),
+        local=lambda fwd, bwd: F.first(expr, ignorenulls=True).over(_upto(fwd)),
+        carry=lambda s, fwd, bwd: F.first(s, ignorenulls=True).over(_whole(fwd)),
         merge=lambda a, b: b,
     )
 
@@ -181,6 +186,13 @@ def with_value_tile(df: DataFrame, value: str, tiles: int = 256, out: str = "_ti
     return Bucketizer(splits=splits, inputCol=slot, outputCol=out, handleInvalid="keep").transform(ready).drop(slot)
 
 
+def with_time_tile(df: DataFrame, time: str, width: float | None, out: str = "_tile") -> DataFrame:
+    """Tile by fixed width, or by measured quantiles when the density is unknown."""
+    if width is None:
+        return with_value_tile(df, time, out=out)
+    return df.withColumn(out, F.floor(F.col(time) / F.lit(width)))
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -189,39 +201,52 @@ def ordered_scan(
     outputs: dict[str, Scan],
 ) -> DataFrame:
     """Add ordered outputs per group; ``tile`` must not decrease along ``order``."""
-    tiled = df.withColumn("_tile", F.col(tile) if isinstance(tile, str) else tile)
     cell = [*keys, "_tile"]
-    ascending = [F.col(c).asc() for c in order]
-    descending = [F.col(c).desc() for c in order]
-    fwd = Window.partitionBy(*cell).orderBy(*ascending)
-    bwd = Window.partitionBy(*cell).orderBy(*descending)
+    known = F.lit(True)
+    for c in cell:
+        known = known & F.col(c).isNotNull()
+    tiled = df.withColumn("_tile", F.col(tile) if isinstance(tile, str) else tile).where(known)
+    fwd = Window.partitionBy(*cell).orderBy(*[F.col(c).asc() for c in order])
+    bwd = Window.partitionBy(*cell).orderBy(*[F.col(c).desc() for c in order])
     over_tiles_fwd = Window.partitionBy(*keys).orderBy(F.col("_tile").asc())
     over_tiles_bwd = Window.partitionBy(*keys).orderBy(F.col("_tile").desc())
-    rank = F.struct(*order)
-    summaries = tiled.groupBy(*cell).agg(*[s.summary(rank).alias(f"_s_{n}") for n, s in outputs.items()])
+    local = tiled.select("*", *[s.local(fwd, bwd).alias(f"_l_{n}") for n, s in outputs.items()])
+
+    def edge(which: str) -> DataFrame | None:
+        wanted = {n: s for n, s in outputs.items() if s.edge == which}
+        if not wanted:
+            return None
+        beyond = (F.lead if which == "last" else F.lag)(F.lit(1)).over(fwd)
+        rows = local.withColumn("_beyond", beyond).where(F.col("_beyond").isNull())
+        return rows.select(
+            *cell, *[(F.col(f"_l_{n}") if s.summary is None else s.summary).alias(f"_s_{n}") for n, s in wanted.items()]
+        )
+
+    lasts, firsts = edge("last"), edge("first")
+    summaries = firsts if lasts is None else lasts if firsts is None else lasts.join(firsts, cell)
     carries = summaries.select(
         *cell,
         *[s.carry(F.col(f"_s_{n}"), over_tiles_fwd, over_tiles_bwd).alias(f"_c_{n}") for n, s in outputs.items()],
     )
-    local = tiled.select("*", *[s.local(fwd, bwd).alias(f"_l_{n}") for n, s in outputs.items()])
     kept = [c for c in df.columns if c not in outputs and c != "_tile"]
-    return local.join(carries, cell, "left").select(
+    return local.join(carries, cell, "inner").select(
         *kept, *[s.merge(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, s in outputs.items()]
     )
 
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", spread: int = 8, salt_on: Sequence[str] = ()
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", spread: int = 16, salt_on: Sequence[str] = ()
 ) -> DataFrame:
     """Join per-group facts back to rows without gathering a hot group.
 
-    Rows take a salt from their own values, facts are repeated once per salt, so a
-    group spreads over ``spread`` tasks. The salt is a hash, never random: a lost
-    task recomputes the same rows. AQE still turns this into a broadcast when the
-    facts turn out to be small.
+    Rows take a salt, facts are repeated once per salt, so a group starts out spread
+    over ``spread`` tasks; AQE splits what is still too large and turns the join into a
+    broadcast when the facts turn out to be small. The salt is a hash of ``salt_on``
+    (columns that vary inside a group) or else the number of the partition a row comes
+    from, which also spreads exact copies. Neither changes when a lost task is rerun.
     """
-    salt_cols = [F.col(c) for c in (salt_on or [c for c in big.columns if c not in keys])]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(spread)).cast("int"))
+    source = F.xxhash64(*salt_on) if salt_on else F.spark_partition_id()
+    salted = big.withColumn("_salt", F.pmod(source, F.lit(spread)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
@@ -229,8 +254,8 @@ def lookup_join(
 def dense_ids(df: DataFrame, order: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
     """Consecutive ids along a total order.
 
-    Range sort, then partition offsets. The sorted rows are checkpointed first, so
-    the offsets and the rows they are added to always come from the same partitions.
+    Range sort, then partition offsets. The sorted rows are stored first, so the
+    offsets and the rows they are added to always come from the same partitions.
     """
     ranked = materialise(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", 33)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorframe.functions.scalars import truthy
 from sensorframe.operators.align import nearest_asof
 from sensorframe.operators.ordered import lookup_join
+from sensorframe.session import materialise
 
 
 def approved_mapping(crosswalk: DataFrame, keys: Sequence[str], approved: str = "approved") -> DataFrame:
@@ -96,55 +97,65 @@ def nearest_sessions(
     from grouped session counts. Ties take the smaller name; files without a time,
     and sessions without one, fall back to the smallest name.
     """
-    # Sessions reachable under each kind of key; those reachable under both count once.
-    by_first = manifest.select(group, F.col(right[0]).alias("_key"), view, session_time, name)
-    by_second = manifest.select(group, F.col(right[1]).alias("_key"), view, session_time, name)
-    both = manifest.groupBy(group, F.col(right[0]).alias("_k1"), F.col(right[1]).alias("_k2"), view).agg(F.count(F.lit(1)).alias("_both"))
-
-    def count(keyed: DataFrame, label: str) -> DataFrame:
-        return keyed.groupBy(group, "_key", view).agg(
-            F.count(F.lit(1)).alias(f"_n{label}"),
-            F.min(F.when(F.col(session_time).isNull(), F.col(name))).alias(f"_untimed{label}"),
-            F.min(name).alias(f"_any{label}"),
+    # Sessions under either kind of key, and those reachable under both (counted once).
+    def keyed(df: DataFrame, pair: tuple[str, str], *cols) -> DataFrame:
+        kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(pair)])
+        return df.select(group, F.explode(kinds).alias("_k"), *cols).select(
+            group, F.col("_k.kind").alias("_by"), F.col("_k.key").alias("_key"), *cols
         )
 
-    slim = files.select(group, file_id, F.col(left[0]).alias("_k1"), F.col(left[1]).alias("_k2"), F.col(file_time).alias("_t"))
-    found1 = lookup_join(slim.withColumnRenamed("_k1", "_key"), count(by_first, "1"), [group, "_key"], salt_on=[file_id])
-    found2 = lookup_join(slim.withColumnRenamed("_k2", "_key"), count(by_second, "2"), [group, "_key"], salt_on=[file_id])
-    side1 = found1.select(group, file_id, view, F.col("_key").alias("_k1"), "_n1", "_untimed1", "_any1", "_t")
-    side2 = found2.select(group, file_id, view, F.col("_key").alias("_k2"), "_n2", "_untimed2", "_any2", F.col("_t").alias("_t2"))
-    sides = side1.join(side2, [group, file_id, view], "full").withColumn("_t", F.coalesce("_t", "_t2")).drop("_t2")
-    counted = sides.join(both, [group, "_k1", "_k2", view], "left")
-    zero = F.lit(0).cast("long")
-    counted = counted.withColumn(
-        "session_candidate_count_for_view",
-        F.coalesce("_n1", zero) + F.coalesce("_n2", zero) - F.coalesce("_both", zero),
+    reach = keyed(manifest, right, view, session_time, name)
+    per_key = reach.groupBy(group, "_by", "_key", view).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(F.when(F.col(session_time).isNull(), F.col(name))).alias("_untimed"),
+        F.min(name).alias("_any"),
     )
-
-    def nearest(side: DataFrame, key: str, keyed: DataFrame, label: str) -> DataFrame:
-        targets = side.where(F.col("_t").isNotNull()).select(group, F.col(key).alias("_key"), view, file_id, "_t")
-        hit = nearest_asof(
-            targets, keyed, [group, "_key", view], [file_id], "_t", session_time, [name], tile_width, prefer="payload"
+    both = manifest.groupBy(group, F.col(right[0]).alias("_k0"), F.col(right[1]).alias("_k1"), view).agg(
+        F.count(F.lit(1)).alias("_both")
+    )
+    wanted = keyed(files.withColumn("_t", F.col(file_time)).withColumn("_k0", F.col(left[0])).withColumn("_k1", F.col(left[1])), left, file_id, "_t", "_k0", "_k1")
+    found = lookup_join(wanted, per_key, [group, "_by", "_key"], "inner", salt_on=[file_id])
+    # Stored: the counts below and the time search both start from these pairs of file and view.
+    found = materialise(found)
+    hits = nearest_asof(
+        found.where(F.col("_t").isNotNull()).select(group, "_by", "_key", view, file_id, "_t"),
+        reach,
+        [group, "_by", "_key", view],
+        [file_id],
+        "_t",
+        session_time,
+        [name],
+        tile_width,
+        prefer="payload",
+    ).groupBy(group, file_id, view).agg(F.min(F.struct("gap", F.col(name).alias("name"))).alias("_hit"))
+    counted = (
+        found.groupBy(group, file_id, view)
+        .agg(
+            F.sum("_n").alias("_n"),
+            F.min("_untimed").alias("_untimed"),
+            F.min("_any").alias("_any"),
+            F.max("_t").alias("_t"),
+            F.max("_k0").alias("_k0"),
+            F.max("_k1").alias("_k1"),
         )
-        return hit.select(group, file_id, view, F.struct("gap", F.col(name).alias("name"), F.col("source_ts").alias("ts")).alias(f"_hit{label}"))
-
-    hit1 = nearest(side1, "_k1", by_first, "1")
-    hit2 = nearest(side2.withColumnRenamed("_t2", "_t"), "_k2", by_second, "2")
-    out = counted.join(hit1, [group, file_id, view], "left").join(hit2, [group, file_id, view], "left")
-    best = F.least("_hit1", "_hit2")  # structs order by gap, then name; least skips nulls
-    untimed = F.when(F.col("_t").isNull(), F.least("_any1", "_any2")).otherwise(F.least("_untimed1", "_untimed2"))
-    total = F.sum("session_candidate_count_for_view").over(Window.partitionBy(group, file_id))
-    res = out.select(
+        .join(both, [group, "_k0", "_k1", view], "left")
+        .withColumn("_views", F.col("_n") - F.coalesce("_both", F.lit(0)))
+        .join(hits, [group, file_id, view], "left")
+    )
+    untimed = F.when(F.col("_t").isNull(), F.col("_any")).otherwise(F.col("_untimed"))
+    total = F.sum("_views").over(Window.partitionBy(group, file_id))  # one row per view of a file
+    gap = F.col("_hit.gap")
+    res = counted.select(
         group,
         file_id,
         view,
-        F.coalesce(best["name"], untimed).alias(name),
-        best["gap"].alias("session_time_diff_seconds"),
+        F.coalesce(F.col("_hit.name"), untimed).alias(name),
+        gap.alias("session_time_diff_seconds"),
         total.alias("session_candidate_count_total"),
-        "session_candidate_count_for_view",
+        F.col("_views").alias("session_candidate_count_for_view"),
         F.lit(1).cast("long").alias("session_candidate_rank_for_view"),
-        (F.col("session_candidate_count_for_view") - 1).alias("session_dropped_candidate_count_for_view"),
-        F.coalesce(best["gap"] <= threshold_seconds, F.lit(False)).alias("session_within_threshold"),
+        (F.col("_views") - 1).alias("session_dropped_candidate_count_for_view"),
+        F.coalesce(gap <= threshold_seconds, F.lit(False)).alias("session_within_threshold"),
     )
     return res.where("session_within_threshold") if drop_outside else res
 

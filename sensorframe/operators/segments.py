@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorframe.functions.scalars import binary_label, is_whole
 from sensorframe.operators.ordered import (
     ROWS_PER_TILE,
+    Scan,
     group_first,
     last_valid,
     ordered_scan,
@@ -18,13 +19,19 @@ from sensorframe.operators.ordered import (
     row_tile,
 )
 from sensorframe.operators.quantiles import exact_quantiles
+from sensorframe.session import materialise
 
 
-def mark_runs(df: DataFrame, keys: Sequence[str], row: str, label: str, tile: Column | None = None) -> DataFrame:
-    """Add ``pos`` (1-based row in the group) and ``run_start`` (pos where the row's run began)."""
+def mark_runs(
+    df: DataFrame, keys: Sequence[str], row: str, label: str, tile: Column | None = None, extra: dict[str, Scan] | None = None
+) -> DataFrame:
+    """Add ``pos`` (1-based row in the group) and ``run_start`` (pos where the row's run began).
+
+    ``extra`` scans ride along on the first pass.
+    """
     tile = row_tile(row) if tile is None else tile
     text = F.coalesce(F.col(label), F.lit(""))
-    step = ordered_scan(df, keys, [row], tile, {"_prev": previous(text), "pos": row_position()})
+    step = ordered_scan(df, keys, [row], tile, {"_prev": previous(text), "pos": row_position(), **(extra or {})})
     opens = F.col("_prev").isNull() | (F.col("_prev") != text)
     runs = ordered_scan(step, keys, [row], tile, {"run_start": last_valid(F.when(opens, F.col("pos")))})
     return runs.drop("_prev")
@@ -69,14 +76,14 @@ def task_segments(
     negatives, positives = tuple(negatives), tuple(positives)
     slim = df.select(*keys, row, label, time)
     tile = row_tile(row, tile_rows)
-    marked = mark_runs(slim, keys, row, label, tile)
-    marked = ordered_scan(marked, keys, [row], tile, {"_first": group_first(F.col(time))})
+    marked = mark_runs(slim, keys, row, label, tile, {"_first": group_first(F.col(time))})
     target = marked.where(F.col(label).isin(*negatives, *positives))
     segs = target.groupBy(*keys, F.col(label).alias("task_id"), "run_start").agg(
         (F.min("pos") - 1).alias("imu_start_row"), F.max("pos").alias("imu_end_row_exclusive"), F.first("_first").alias("_first")
     )
+    # One row per segment, read twice below: stored so that the sample scans run once.
     ranked = ordered_scan(
-        segs,
+        materialise(segs),
         [*keys, "task_id"],
         ["imu_start_row"],
         row_tile("imu_start_row", tile_rows),

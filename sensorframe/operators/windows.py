@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe.operators.ordered import lookup_join, ordered_scan, row_position
+from sensorframe.session import materialise
 
 
 def assign_windows(df: DataFrame, pos: str, window: int, stride: int) -> DataFrame:
@@ -317,7 +318,7 @@ def trailing_context(df: DataFrame, keys: Sequence[str], order: str, values: Seq
     Each row is sent to the ``length`` positions that see it, so a long group is
     split by position and never gathered.
     """
-    placed = ordered_scan(df, keys, [order], tile, {"pos": row_position()})
+    placed = materialise(ordered_scan(df, keys, [order], tile, {"pos": row_position()}))
     reach = placed.select(*keys, F.col("pos").alias("_src"), *values).withColumn(
         "_ahead", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))
     )
