@@ -114,7 +114,8 @@ def nearest_sessions(
         F.count(F.lit(1)).alias("_both")
     )
     wanted = keyed(files.withColumn("_t", F.col(file_time)).withColumn("_k0", F.col(left[0])).withColumn("_k1", F.col(left[1])), left, file_id, "_t", "_k0", "_k1")
-    found = lookup_join(wanted, per_key, [group, "_by", "_key"], "inner", salt_on=[file_id])
+    # About as many keys as files: a plain join, split by AQE if one key is hot.
+    found = wanted.join(per_key, [group, "_by", "_key"])
     # Stored: the counts below and the time search both start from these pairs of file and view.
     found = materialise(found)
     hits = nearest_asof(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.functions.scalars import canonical_id
-from sensorframe.operators.ordered import dense_ids, lookup_join
+from sensorframe.operators.ordered import dense_ids
 
 
 def flatten(df: DataFrame, structs: Sequence[str]) -> DataFrame:
@@ -23,8 +23,11 @@ def flatten(df: DataFrame, structs: Sequence[str]) -> DataFrame:
 
 
 def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "group_size") -> DataFrame:
-    """Group size on every row: partial counts joined back, not a window over the group."""
-    return lookup_join(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys)
+    """Group size on every row: partial counts joined back, not a window over the group.
+
+    Groups may be as many as rows, so the counts are not repeated; AQE splits a hot key.
+    """
+    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), list(keys))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
