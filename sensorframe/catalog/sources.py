@@ -60,7 +60,7 @@ def s3(t):
         rows = p.where((F.col("run_name") == r) & (F.col("encoder") == e) & (F.col("feature") == f)).select("label", "score")
         rows.write.option("header", True).csv(f"{root}/runs/{r}/{e}/{f}/probe/fold_predictions.csv")
     # A file at the wrong depth, which discovery must leave out.
-    p.limit(5).select("label", "score").write.option("header", True).csv(f"{root}/runs/run_X/fold_predictions.csv")
+    p.groupBy("label").agg(F.max("score").alias("score")).write.option("header", True).csv(f"{root}/runs/run_X/fold_predictions.csv")
     got = io.run_tree(t.spark, root, PRED)
     return got.groupBy(*io.RUN_KEYS).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
@@ -133,7 +133,7 @@ def live(t, kind=None):
     WHERE start_us + 43200000000 <= (SELECT max(us) // 1000 * 1000 FROM samples) - 3600000000 GROUP BY subject, start_us""",
 )
 def g1(t):
-    aggs = [F.count(F.lit(1)).alias("num_rows"), F.avg("acc0").alias("mean_acc0")]
+    aggs = {"num_rows": F.count(F.lit(1)), "mean_acc0": F.avg("acc0")}
     s = st.sliding_windows_stream(live(t), "ts", ["subject"], aggs, "12 hours", "6 hours", "1 hour")
     out = st.run_to_table(s)
     return out.select("subject", F.unix_micros("window_start").alias("start_us"), "num_rows", F.round("mean_acc0", 8).alias("mean_acc0"))

@@ -35,9 +35,9 @@ def evaluate_folds(preds: DataFrame, fold: Sequence[str], split: str, label: str
     return counts.join(ranking_metrics(preds, keys, label, score), keys)
 
 
-def _weighted(df: DataFrame, label: str) -> DataFrame:
+def _weighted(df: DataFrame, counted: DataFrame, label: str) -> DataFrame:
     """Balanced class weights as a column; two counts come to the driver."""
-    n0, n1 = df.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+    n0, n1 = counted.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
     total = n0 + n1
     return df.withColumn(
         "_weight", F.when(F.col(label) == 1, F.lit(total / (2.0 * max(n1, 1)))).otherwise(F.lit(total / (2.0 * max(n0, 1))))
@@ -57,7 +57,7 @@ def linear_probe(
     for k in folds:
         rows = df.where(F.col(fold) == k)
         scaled = standardise(rows.where(F.col(split) == "train"), rows, features).withColumn("_x", array_to_vector(features))
-        train = _weighted(scaled.where(F.col(split) == "train"), label)
+        train = _weighted(scaled.where(F.col(split) == "train"), rows.where(F.col(split) == "train"), label)
         model = LogisticRegression(
             featuresCol="_x", labelCol=label, weightCol="_weight", standardization=False, regParam=reg, maxIter=iterations
         ).fit(train)

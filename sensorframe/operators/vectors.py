@@ -46,6 +46,11 @@ def as_arrays(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     return got.select(*keys, F.transform("_s", lambda s: s["mean"]).alias("mean"), F.transform("_s", lambda s: s["std"]).alias("std"))
 
 
+def _overall(df: DataFrame, value: str, eps: float) -> Column:
+    """Statistics of the whole table as a scalar subquery: one row, no join."""
+    return as_arrays(dimension_stats(df, [], value, eps), []).select(F.struct("mean", "std")).scalar()
+
+
 def capped_sample(df: DataFrame, keys: Sequence[str], row_id: str, n: int, seed: int = 42) -> DataFrame:
     """Up to ``n`` rows per group in seeded hash order; the rank filter prunes before the shuffle."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string")))
@@ -62,15 +67,12 @@ def subject_standardise(
     """
     own = as_arrays(dimension_stats(df, [subject], value, eps), [subject])
     sizes = df.groupBy(subject).agg(F.countDistinct(window).alias("_windows"))
-    pop = as_arrays(dimension_stats(population.withColumn("_g", F.lit(1)), ["_g"], value, eps), ["_g"])
-    facts = own.join(sizes, subject).withColumn("_g", F.lit(1)).join(
-        F.broadcast(pop.select("_g", F.col("mean").alias("_pm"), F.col("std").alias("_ps"))), "_g"  # one row
-    )
+    pop = _overall(population, value, eps)
     enough = F.col("_windows") >= min_windows
-    facts = facts.select(
+    facts = own.join(sizes, subject).select(
         subject,
-        F.when(enough, F.col("mean")).otherwise(F.col("_pm")).alias("_m"),
-        F.when(enough, F.col("std")).otherwise(F.col("_ps")).alias("_d"),
+        F.when(enough, F.col("mean")).otherwise(pop["mean"]).alias("_m"),
+        F.when(enough, F.col("std")).otherwise(pop["std"]).alias("_d"),
         (~enough).alias("fallback"),
     )
     joined = lookup_join(df, facts, [subject], "inner", salt_on=salt_on)
@@ -79,9 +81,9 @@ def subject_standardise(
 
 def population_standardise(df: DataFrame, population: DataFrame, value: str, eps: float = 1e-4) -> DataFrame:
     """Z-score by the training rows' statistics."""
-    pop = as_arrays(dimension_stats(population.withColumn("_g", F.lit(1)), ["_g"], value, eps), ["_g"])
-    joined = df.withColumn("_g", F.lit(1)).join(F.broadcast(pop), "_g")  # one row
-    return joined.withColumn(value, zscore(doubles(F.col(value)), F.col("mean"), F.col("std"))).drop("_g", "mean", "std")
+    pop = _overall(population, value, eps)
+    placed = df.withColumn("_p", pop)
+    return placed.withColumn(value, zscore(doubles(F.col(value)), F.col("_p.mean"), F.col("_p.std"))).drop("_p")
 
 
 def fallback_count(df: DataFrame, subject: str, window: str, min_windows: int = 3) -> DataFrame:
@@ -163,12 +165,16 @@ def scored_frames(df: DataFrame, value: str, method: str = "shannon", standardis
     x = doubles(F.col(value))
     if not standardised:
         return df.withColumn("info", information_score(x, method))
-    keys = list(scope) or ["_g"]
-    base = df if scope else df.withColumn("_g", F.lit(1))
-    stats = as_arrays(dimension_stats(base, keys, value, 0.0), keys)
-    stats = stats.withColumn("std", F.transform("std", lambda s: F.when(s == 0, F.lit(1.0)).otherwise(s)))
-    joined = base.join(F.broadcast(stats), keys) if not scope else lookup_join(base, stats, keys)
-    return joined.withColumn("info", information_score(zscore(x, F.col("mean"), F.col("std")), method)).drop("_g", "mean", "std")
+
+    def unit(std: Column) -> Column:
+        return F.transform(std, lambda s: F.when(s == 0, F.lit(1.0)).otherwise(s))
+
+    if not scope:
+        placed = df.withColumn("_p", _overall(df, value, 0.0))
+        return placed.withColumn("info", information_score(zscore(x, F.col("_p.mean"), unit(F.col("_p.std"))), method)).drop("_p")
+    stats = as_arrays(dimension_stats(df, scope, value, 0.0), scope)
+    joined = lookup_join(df, stats, scope)
+    return joined.withColumn("info", information_score(zscore(x, F.col("mean"), unit(F.col("std"))), method)).drop("mean", "std")
 
 
 def top_k_frames(df: DataFrame, window: Sequence[str], frame: str, k: int) -> DataFrame:

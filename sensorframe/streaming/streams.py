@@ -14,7 +14,7 @@ from sensorframe.session import checkpoint_dir
 
 
 def sliding_windows_stream(
-    stream: DataFrame, ts: str, keys: Sequence[str], aggs: Sequence[Column], window: str = "30 seconds", slide: str = "15 seconds", watermark: str = "1 minute"
+    stream: DataFrame, ts: str, keys: Sequence[str], aggs: dict[str, Column], window: str = "30 seconds", slide: str = "15 seconds", watermark: str = "1 minute"
 ) -> DataFrame:
     """Overlapping windows aligned to the epoch; rows later than the watermark are dropped.
 
@@ -23,26 +23,20 @@ def sliding_windows_stream(
     return (
         stream.withWatermark(ts, watermark)
         .groupBy(*keys, F.window(ts, window, slide).alias("_w"))
-        .agg(*aggs)
-        .select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[F.col(_name(a)) for a in aggs])
+        .agg(*[c.alias(n) for n, c in aggs.items()])
+        .select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *aggs)
     )
 
 
-def _name(c: Column) -> str:
-    """Output name of an aliased column."""
-    return c._jc.toString().rsplit(" AS ", 1)[1].strip("`")
-
-
-def carry_forward_stream(stream: DataFrame, key: str, frame: str, ts: str, valid: str, value: str, max_age: int, idle: str = "1 hour") -> DataFrame:
+def carry_forward_stream(stream: DataFrame, key: str, frame: str, ts: str, valid: str, value: str, max_age: int, idle_seconds: int = 3600) -> DataFrame:
     """Last valid value per key across micro-batches, while at most ``max_age`` frames old.
 
-    State is one (frame, value) pair per key and expires after ``idle`` of event time.
+    State is one (frame, value) pair per key and expires after ``idle_seconds`` of event time.
     Rows of a key are put in frame order inside each micro-batch, so the trigger's
     input limit bounds what one task holds.
     """
     key_type = stream.schema[key].dataType.simpleString()
     out = f"`{key}` {key_type}, `{frame}` bigint, mask_source int, mask_age_frames bigint, carried double"
-    idle_ms = int(stream.sparkSession.sql(f"SELECT unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {idle}) / 1000").first()[0])
 
     def step(k: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import numpy as np
@@ -68,7 +62,7 @@ def carry_forward_stream(stream: DataFrame, key: str, frame: str, ts: str, valid
             state.update((int(last_f[-1]), float(last_v[-1])))
         if state.exists:
             latest = int(rows[ts].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_seconds * 1000)
         yield pd.DataFrame(
             {
                 key: k[0],
