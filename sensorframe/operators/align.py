@@ -150,9 +150,13 @@ def nearest_asof(
     tolerance: float | None = None,
     how: str = "inner",
     prefer: str = "earlier",
+    within: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Nearest candidate in time on either side of each target.
 
+    ``within`` names two of the ``target_id`` columns that bound the candidate's time,
+    ends included.
+
     Candidates sharing a time collapse to the one with the smallest payload. On an
     exact tie of gaps ``prefer='earlier'`` takes the earlier one, ``'payload'`` the
     smaller payload. Cost: one shuffle and sort of both sides, no pair expansion.
@@ -176,6 +180,9 @@ def nearest_asof(
         "_tile",
         {"_prev": last_valid(hit), "_next": next_valid(hit)},
     ).where(F.col("_kind") == 1)
+    if within is not None:
+        scanned = scanned.withColumn("_prev", F.when(F.col("_prev._ts") >= F.col(within[0]), F.col("_prev")))
+        scanned = scanned.withColumn("_next", F.when(F.col("_next._ts") <= F.col(within[1]), F.col("_next")))
     back, ahead = F.col("_ts") - F.col("_prev._ts"), F.col("_next._ts") - F.col("_ts")
     closer = ahead < back
     if prefer == "payload":

@@ -51,8 +51,8 @@ def test_late_rows_leave_closed_windows_alone(spark, tmp_path):
 def test_two_streams_join_inside_the_tolerance(spark, tmp_path):
     a = spark.createDataFrame([("s", i, i * 10) for i in range(20)], "s string, a long, t long")
     b = spark.createDataFrame([("s", i, i * 10 + 3) for i in range(20)], "s string, b long, t long")
-    a = a.select("s", "a", F.timestamp_seconds("t").alias("ta"))
-    b = b.select("s", "b", F.timestamp_seconds("t").alias("tb"))
+    a = a.select("s", "a", F.timestamp_seconds(F.col("t") + START).alias("ta"))
+    b = b.select("s", "b", F.timestamp_seconds(F.col("t") + START).alias("tb"))
     out = st.run_to_table(
         st.align_streams(replay(spark, tmp_path, a, "a", 3), replay(spark, tmp_path, b, "b", 3), ["s"], "ta", "tb", "4 seconds")
     )
