@@ -184,7 +184,8 @@ def suggestions(missing: DataFrame, candidates: DataFrame, group: str, stem: str
         return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
 
     def hit(files: DataFrame, pool: DataFrame, keys: Sequence[str], tier: int) -> DataFrame:
-        got = lookup_join(files, pool, keys, "inner", salt_on=[stem])
+        # Tiers 3 and 4 share one short list among many files; tiers 1 and 2 match on near-unique keys.
+        got = lookup_join(files, pool, keys, "inner", salt_on=[stem]) if tier > 2 else files.join(pool, list(keys))
         return got.select(group, stem, F.lit(tier).cast("long").alias("tier"), *cols)
 
     exact = hit(want.withColumn("_k", F.col(stem)), cand.withColumn("_k", F.col(proposed)), [group, "_k"], 1)

@@ -34,8 +34,8 @@ def _clean(v):
     return v
 
 
-def mismatch(df, con, sql: str) -> str | None:
-    """None when equal, else a short description of the difference."""
+def mismatch(df, con, sql: str, counts: dict | None = None) -> str | None:
+    """None when equal, else a short description; ``counts`` receives both row counts."""
     rel = con.sql(sql)
     want_cols = dict(zip(rel.columns, [str(t) for t in rel.types]))
     have_cols = dict(df.dtypes)
@@ -49,6 +49,8 @@ def mismatch(df, con, sql: str) -> str | None:
     have = sorted((tuple(_clean(r[n]) for n in names) for r in df.collect()), key=_key)
     idx = [rel.columns.index(n) for n in names]
     want = sorted((tuple(_clean(r[i]) for i in idx) for r in rel.fetchall()), key=_key)
+    if counts is not None:
+        counts.update(spark=len(have), sql=len(want))
     if len(have) != len(want):
         return f"rows {len(have)} != {len(want)}; only spark {list(set(have) - set(want))[:2]}; only sql {list(set(want) - set(have))[:2]}"
     bad = [(a, b) for a, b in zip(have, want) if a != b]
@@ -71,8 +73,9 @@ if __name__ == "__main__":
         try:
             df = QUERIES[n](spark, folder)
             if n in ORACLE_SQL:
-                why = mismatch(df, con, ORACLE_SQL[n])
-                rows = "" if why else f"{con.sql('select count(*) from (' + ORACLE_SQL[n] + ')').fetchall()[0][0]} rows"
+                counts: dict = {}
+                why = mismatch(df, con, ORACLE_SQL[n], counts)
+                rows = f"{counts.get('spark')} rows, sql {counts.get('sql')}"
             else:
                 why, rows = None, f"rows only: {df.count()}"
         except Exception as e:  # noqa: BLE001
