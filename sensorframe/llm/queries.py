@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sensorframe.llm.ngram_join import jaccard_components
+from sensorframe.llm.substring import drop_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,3 +52,25 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: five-word shingles, similarity 0.8 or more."""
     return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_substring_dedup",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (
+      SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+    f AS (SELECT g, min(doc_id) AS first_doc FROM g GROUP BY g),
+    c AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS i FROM g JOIN f ON f.g = g.g WHERE f.first_doc < g.doc_id),
+    a AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+    k AS (SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.i) AS kept FROM a LEFT JOIN c ON c.doc_id = a.doc_id AND c.i = a.i WHERE c.i IS NULL GROUP BY a.doc_id),
+    r AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+    FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 13-word passages that a document with a smaller id holds."""
+    kept = drop_repeats(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
