@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.llm.ngram_join import jaccard_components
 from sensorframe.llm.packing import pack
+from sensorframe.llm.quality import judge_quality, train_quality
 from sensorframe.llm.substring import drop_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, probability and verdict for every document."""
+    docs = _read(spark, sf_dir, "documents")
+    return judge_quality(docs, train_quality(docs, _read(spark, sf_dir, "labels")))

@@ -45,6 +45,12 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    total: np.ndarray
+    inverse: np.ndarray
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of any byte ranges."""
+        return mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
     def windows(self, k: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         """(hash, first) of all windows of ``k`` words; documents with fewer words have none."""
@@ -111,7 +117,7 @@ class Splitter:
         np.cumsum(self.value[data] * self.power[:n], out=total[1:])
         hashed = (total[end] - total[start]) * self.inverse[start]
         hashed = mix(hashed + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        return Words(data, offsets, start, end, np.searchsorted(start, offsets), hashed)
+        return Words(data, offsets, start, end, np.searchsorted(start, offsets), hashed, total, self.inverse)
 
 
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
