@@ -23,9 +23,11 @@ from sensorframe.llm.store import tasks_of
 from sensorframe.llm.words import Splitter, pieces
 
 #: Words of a minimiser.
-M = 4
+M = 3
 #: Text bytes of a map group, and of the text whose windows a bucket task holds at once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
+#: Level of zstd for packed strings.
+LEVEL = 6
 SENT = "part int, packed binary, size long, settled binary"
 RUNS = "doc_id long, key long, start int, length int"
 
@@ -129,13 +131,14 @@ def _send(group: _Group, k: int, n_parts: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(part, kind="stable")
     first, n, part = first[order], n[order], part[order]
     bounds = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
-    codec, parts, blobs, sizes = pa.Codec("zstd", 3), [], [], []
+    codec, parts, blobs, sizes = pa.Codec("zstd", LEVEL), [], [], []
     for a, b in zip(bounds[:-1], bounds[1:]):
         f = first[a:b]
         own, doc = np.unique(owner[f], return_inverse=True)
         from_, length = start[at[f]], end[at[f] + n[a:b] + k - 2] - start[at[f]]
         head = np.array([len(own), b - a], np.int64)
-        rows = np.stack([doc, at[f] - _base(group, owner[f]), length]).astype(np.int32)
+        rows = np.stack([doc, at[f] - _base(group, owner[f]), length]).astype("<i4").view(np.uint8)
+        rows = np.ascontiguousarray(rows.reshape(3, -1, 4).transpose(0, 2, 1))  # bytes of equal weight side by side
         blob = b"".join((head.tobytes(), doc_id[own].tobytes(), key[own].tobytes(), rows.tobytes(), _gather(data, from_, length).tobytes()))
         parts.append(int(part[a]))
         sizes.append(len(blob))
@@ -177,7 +180,7 @@ def _sender(k: int, n_parts: int):
 
 def _counter(k: int):
     def count(table: pa.Table) -> pa.Table:
-        splitter, codec = Splitter(), pa.Codec("zstd", 3)
+        splitter, codec = Splitter(), pa.Codec("zstd")
         window, second, doc_id, key, at, new, out = ([] for _ in range(7))
         for packed, size, settled in zip(table["packed"], table["size"].to_pylist(), table["settled"]):
             if settled.is_valid:
@@ -187,7 +190,8 @@ def _counter(k: int):
             blob = np.frombuffer(codec.decompress(packed.as_buffer(), size), np.uint8)
             n_docs, n = blob[:16].view(np.int64)
             ids, keys = blob[16 : 16 + 16 * n_docs].view(np.int64).reshape(2, -1)
-            doc, start, length = blob[16 + 16 * n_docs : 16 + 16 * n_docs + 12 * n].copy().view(np.int32).reshape(3, -1)
+            rows = blob[16 + 16 * n_docs : 16 + 16 * n_docs + 12 * n].reshape(3, 4, -1).transpose(0, 2, 1)
+            doc, start, length = np.ascontiguousarray(rows).view("<i4")[:, :, 0].astype(np.int64)
             text = blob[16 + 16 * n_docs + 12 * n :]
             offsets = np.concatenate(([0], np.cumsum(length.astype(np.int64))))
             lo = 0
