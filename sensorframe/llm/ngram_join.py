@@ -3,17 +3,17 @@
 Two texts link when their sets of distinct shingles have a Jaccard similarity of ``percent`` in a hundred or
 more. Texts with equal sets are one node from the start. Then
 
-1. one pass counts shingles in a fixed number of hashed counters, so that very common ones come last in the
-   global order. The order only decides how much work there is, never what is found;
+1. one pass counts shingles in a fixed number of hashed counters, so that common ones come last in the global
+   order. The order only decides how much work there is, never what is found;
 2. each set sends its first ``n - ceil(t * n) + 1`` shingles of that order; two linked sets share one of them.
    Shingles that only one set sends are dropped;
 3. the rest meet in tiles: bands of set sizes a factor ``1 / t`` wide. A set goes to its own band and to the
-   one below, so every linkable pair meets in the band of its smaller member;
-4. star rounds verify one pair per group and round, and merge what links. Pairs that are inside one group already
-   need no check any more, so a group of thousands of near copies costs about one check per member;
-5. last, every remaining pair of different groups that shares a shingle in a tile is tested: its sizes, then its parity
-   bitmaps (``popcount(x ^ y)`` bounds the symmetric difference from below, so the overlap from above), then
-   the exact intersection of the sorted arrays.
+   one below, so every linkable pair meets in the band of its smaller member. A pair must pass the bound on sizes and
+   the bound from parity bitmaps (``popcount(x ^ y)`` bounds the symmetric difference from below, so the overlap from
+   above) before its sorted arrays are intersected exactly;
+4. a shingle with more than ``LARGE`` members, as groups of thousands of near copies have, is not paired in full. Star
+   rounds verify one pair per group and turn and merge what links; then only pairs between different groups remain,
+   and these are all tested as in step 3.
 
 No pair is left out: a pair is skipped only where it cannot link or is connected already.
 """
@@ -35,9 +35,9 @@ from sensorframe.llm.words import Splitter, mix, numbers, pieces
 SLOTS, SLICE = 1 << 20, 1 << 12
 #: 64-bit words of a parity bitmap.
 BITMAP = 16
-#: A slot is common when it holds this many times the mean.
-COMMON = 8
-#: Star rounds end when a round merges less than this share of the groups it tried.
+#: A shingle with more senders is merged by star rounds before pairs are tested.
+LARGE = 64
+#: Star rounds end when a round links less than this share of the pairs it tried.
 WORTH = 0.05
 
 
@@ -67,7 +67,7 @@ def shingle_sets(column: pa.Array, k: int, splitter: Splitter) -> Iterator[tuple
 
 
 def common_slots(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """One flag per hashed counter over all shingles of all documents: far above the mean or not.
+    """One flag per hashed counter over all shingles of all documents: six deviations above the mean or not.
 
     Each task counts into ``SLOTS`` counters and sends them as slices; a second stage adds slice by slice. What
     reaches the driver is ``SLOTS`` numbers, however large the input.
@@ -96,7 +96,7 @@ def common_slots(docs: DataFrame, text: str, k: int) -> np.ndarray:
     total = np.zeros(SLOTS, np.int64)
     for s, c in rows:
         total[s * SLICE : (s + 1) * SLICE] = np.frombuffer(c, np.int64)
-    return np.packbits(total > COMMON * total.mean() + 2 * COMMON)
+    return np.packbits(total > total.mean() + 6 * np.sqrt(total.mean()) + 16)
 
 
 def _needed(n: np.ndarray | int, percent: int):
@@ -182,78 +182,87 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     common = common_slots(docs, text, k)
     signed = materialise(signatures(docs, doc_id, text, k, percent, common))
-    sets_ = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
-    own = signed.select("doc_id", "n_shingles", "f1", "f2").join(sets_, ["f1", "f2"], "left")
+    firsts = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
+    own = signed.select("doc_id", "n_shingles", "f1", "f2").join(firsts, ["f1", "f2"], "left")
     own = materialise(own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("first")))
 
     # One sender per distinct set: the row that gave the set its first doc_id.
     bits = [f"s{i}" for i in range(BITMAP)]
-    senders = signed.where("n_shingles > 0").join(sets_.select("f1", "f2", F.col("first").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi")
+    senders = signed.where("n_shingles > 0").join(firsts.withColumnRenamed("first", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
+    group = Window.partitionBy("shingle")
     sent = senders.select("doc_id", F.explode("sent").alias("shingle"))
-    shared = sent.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).where("n > 1").select("doc_id", "shingle")
-    shared = materialise(shared)
-    live = materialise(shared.select("doc_id").distinct())
-    facts = materialise(senders.select("doc_id", "n_shingles", *bits).join(live, "doc_id", "left_semi"))
-    width = 100 / percent
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(width)) + F.lit(1e-9)).cast("int")
-    sized = facts.select("doc_id", "n_shingles", F.explode(F.array(band, band - 1)).alias("tile"))
-    tiles = materialise(shared.join(sized, "doc_id"))
-    sets = materialise(_sets(docs, doc_id, text, k, live))
-    release(shared)
-
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).over(group).alias(f"g{i}") for i in (0, 1)]
+    shared = materialise(sent.select("doc_id", "shingle", F.count("*").over(group).alias("n"), *marks).where("n > 1"))
+    # Shingles with the same members lead to the same pairs: one of them is enough.
+    same_members = shared.groupBy("n", "g0", "g1").agg(F.min("shingle").alias("shingle")).select("shingle")
+    every, shared = shared, materialise(shared.drop("g0", "g1").join(same_members, "shingle", "left_semi"))
+    release(every)
+    facts = materialise(senders.select("doc_id", "n_shingles", *bits).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
+    release(signed)
+
+    few = shared.where(F.col("n") <= LARGE).select("doc_id", "shingle")
+    many = materialise(shared.where(F.col("n") > LARGE).select("doc_id", "shingle"))
+    pairs = materialise(_plausible(few.withColumn("comp", F.col("doc_id")), facts, bits, percent))
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(many.select("doc_id")).distinct()
+    sets = materialise(_sets(docs, doc_id, text, k, wanted))
+    links = materialise(_verified(pairs, sets, percent))
     same = own.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    links = None
-    label = live.select("doc_id", F.col("doc_id").alias("comp"))
+    if not many.isEmpty():
+        links = _star_rounds(links, many, sets, percent)
+        member = many.join(_labels(many, links), "doc_id")
+        links = links.unionByName(_verified(materialise(_plausible(member, facts, bits, percent)), sets, percent))
+    found = components(links.unionByName(same))
+    return own.join(found.withColumnRenamed("node", "first"), "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
+
+
+def _labels(member: DataFrame, links: DataFrame) -> DataFrame:
+    """Component of each member under the links found so far."""
+    found = components(links).withColumnRenamed("node", "doc_id")
+    return member.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
+
+
+def _star_rounds(links: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links plus those found by trying, per shingle and component, one member against one of the lowest component.
+
+    Members are picked anew each turn. How many turns run decides only how many pairs are left for the full test.
+    """
     turn = 0
     while True:
-        member = tiles.join(label, "doc_id")
-        mixed = member.groupBy("tile", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        mixed = materialise(member.join(mixed.select("tile", "shingle", "low"), ["tile", "shingle"]))
-        # Per tile, shingle and group one member, picked anew each turn; it is tried against the lowest group's.
-        pick = F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn)))
-        one = mixed.groupBy("tile", "shingle", "low", "comp").agg(pick.alias("doc_id"))
-        hub = one.where("comp = low").select("tile", "shingle", F.col("doc_id").alias("hub"))
-        tries = one.where("comp > low").join(hub, ["tile", "shingle"]).groupBy("comp", F.col("doc_id").alias("a"), F.col("hub").alias("b")).count()
+        now = materialise(_labels(member, links))
+        pick = F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("doc_id")
+        one = member.join(now, "doc_id").groupBy("shingle", "comp").agg(pick)
+        hub = one.groupBy("shingle").agg(F.min_by(F.struct("comp", "doc_id"), "comp").alias("h"))
+        tries = one.join(hub, "shingle").where("comp > h.comp").groupBy("comp", F.col("doc_id").alias("a"), F.col("h.doc_id").alias("b")).count()
         tries = tries.groupBy("comp").agg(F.max_by(F.struct("a", "b"), F.struct("count", F.xxhash64("a", "b", F.lit(turn)))).alias("p")).select("p.a", "p.b")
         tries = materialise(tries)
         good = materialise(_verified(tries, sets, percent))
         n_tried, n_good = tries.count(), good.count()
-        links = good if links is None else links.unionByName(good)
-        release(tries)
-        if n_good:
-            label = materialise(_labelled(live, components(links)))
+        release(tries, now)
+        links = links.unionByName(good)
         turn += 1
         if n_good <= WORTH * n_tried:
-            break
-        release(mixed)
-
-    rest = _cross_pairs(tiles.join(label, "doc_id"), facts, bits, percent)
-    good = materialise(_verified(materialise(rest), sets, percent))
-    links = links.unionByName(good)
-    found = components(links.unionByName(same))
-    return own.join(found.withColumnRenamed("node", "first"), "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
-
-
-def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
-    return live.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
+            return links
 
 
-def _cross_pairs(member: DataFrame, facts: DataFrame, bits: list[str], percent: int) -> DataFrame:
-    """Distinct pairs of different groups that share a shingle in a tile and pass the size and bitmap bounds.
+def _plausible(member: DataFrame, facts: DataFrame, bits: list[str], percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of different components that share a shingle in a tile and pass the two bounds.
 
-    The largest group of a shingle is never paired with itself: one side of the join holds only members outside it.
+    ``member`` is doc_id, shingle, comp. The largest component of a shingle is never paired with itself: one side of
+    the join holds only members outside it.
     """
-    key = ["tile", "shingle"]
-    sizes = member.groupBy(*key, "comp").count().groupBy(*key).agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    member = member.join(sizes.select(*key, "main"), key).join(facts.drop("n_shingles"), "doc_id")
-    b = member.select(*key, "main", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "comp", "n_shingles", *bits)))
-    a = member.where("comp <> main").select(*key, *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "comp", "n_shingles", *bits)))
+    sizes = member.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    member = member.join(sizes.select("shingle", "main"), "shingle").join(facts, "doc_id")
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
+    member = member.withColumn("band", band).withColumn("tile", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    columns = ("doc_id", "comp", "n_shingles", "band", *bits)
+    b = member.select("tile", "shingle", "main", *(F.col(c).alias(f"b_{c}") for c in columns))
+    a = member.where("comp <> main").select("tile", "shingle", *(F.col(c).alias(f"a_{c}") for c in columns))
     differ = " + ".join(f"bit_count(a_{s} ^ b_{s})" for s in bits)
     bound = (
-        f"a_comp <> b_comp and (b_comp = main or a_doc_id < b_doc_id) "
+        f"a_comp <> b_comp and (b_comp = main or a_doc_id < b_doc_id) and tile = least(a_band, b_band) "
         f"and 100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles) "
         # overlap <= (a + b - differ) / 2 and union = a + b - overlap
         f"and {100 + percent} * (a_n_shingles + b_n_shingles - ({differ})) >= {2 * percent} * (a_n_shingles + b_n_shingles)"
     )
-    met = a.join(b, key).where(bound)
+    met = a.join(b, ["tile", "shingle"]).where(bound)
     return met.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
