@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorframe.llm.html_text import extract_text
+from sensorframe.llm.neighbours import nearest
 from sensorframe.llm.ngram_join import jaccard_components
 from sensorframe.llm.packing import pack
+from sensorframe.llm.pii import find_spans
 from sensorframe.llm.quality import judge_quality, train_quality
 from sensorframe.llm.substring import drop_repeats
+from sensorframe.llm.tagger import KINDS
+from sensorframe.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,3 +97,31 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, probability and verdict for every document."""
     docs = _read(spark, sf_dir, "documents")
     return judge_quality(docs, train_quality(docs, _read(spark, sf_dir, "labels")))
+
+
+@query("op4_url_filters")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: rules first, else the classifier."""
+    return judge_urls(_read(spark, sf_dir, "pages"))
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the patterns' spans and those that the tagger adds."""
+    found = find_spans(_read(spark, sf_dir, "documents"))
+    listed = "concat_ws(',', transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)))"
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
+    base = F.expr(listed.format("filter(spans, s -> s.base)"))
+    return found.select("doc_id", *counts, F.sha2(F.encode(base, "utf-8"), 256).alias("base_sha256"), F.expr(listed.format("spans")).alias("spans"))
+
+
+@query("op6_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every row whose id is divisible by 20, among all rows."""
+    return nearest(_read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
