@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe.llm.graph import components
-from sensorframe.llm.store import materialise, release, tasks_of
+from sensorframe.llm.store import if_small, materialise, release, tasks_of
 from sensorframe.llm.words import Splitter, mix, numbers, pieces
 
 #: Hashed counters of the common-shingle pass, in slices that travel as one row each.
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, co
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """Sorted distinct shingles, as packed 64-bit values, of the wanted documents."""
+    """Sorted distinct shingles, as packed 64-bit values, of the documents in the stored table ``wanted``."""
 
     def make(batches):
         splitter = Splitter(lower=True)
@@ -147,12 +147,12 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame) ->
                 packed = [hashed[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(packed)), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
 
-    some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
+    some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(if_small(wanted), "doc_id", "left_semi")
     return some.mapInArrow(make, "doc_id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose exact overlap makes a link."""
+    """Those of the stored pairs (a, b) whose exact overlap makes a link."""
 
     def test(batches):
         for batch in batches:
@@ -168,8 +168,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep)), b.take(pa.array(keep))], ["a", "b"])
 
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    # Few pairs go to the sets, so that only the sets of pairs move.
+    pairs = if_small(pairs)
+    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).join(pairs, "a")
+    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).join(pairs, "b")
+    both = x.join(y, ["a", "b"])
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
@@ -203,7 +206,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     few = shared.where(F.col("n") <= LARGE).select("doc_id", "shingle")
     many = materialise(shared.where(F.col("n") > LARGE).select("doc_id", "shingle"))
     pairs = materialise(_plausible(few.withColumn("comp", F.col("doc_id")), facts, bits, percent))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(many.select("doc_id")).distinct()
+    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(many.select("doc_id")).distinct())
     sets = materialise(_sets(docs, doc_id, text, k, wanted))
     links = materialise(_verified(pairs, sets, percent))
     same = own.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
