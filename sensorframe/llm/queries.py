@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorframe.llm.html_text import extract_text
+from sensorframe.llm.licenses import scan_licenses
+from sensorframe.llm.mixing import mix_sources
 from sensorframe.llm.neighbours import nearest
 from sensorframe.llm.ngram_join import jaccard_components
 from sensorframe.llm.packing import pack
@@ -125,3 +127,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op2_license_scans")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license text or notice in every document, with its coverage."""
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens spent again on evened-out sources: none repeats more than twice."""
+    mixed = mix_sources(_read(spark, sf_dir, "documents"), budget="total", most_repeats=2.0)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")

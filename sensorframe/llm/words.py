@@ -70,12 +70,15 @@ class Words:
         return self.data[self.start[word] : self.end[word]].tobytes().decode("utf-8", "replace")
 
 
-def _tables(lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _tables(lower: bool, letters: bool) -> tuple[np.ndarray, np.ndarray]:
     value = numbers(256, 7)
     if lower:
         value[65:91] = value[97:123]
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
+    if letters:  # words are runs of letters, digits and all characters beyond ASCII
+        space[:128] = True
+        space[48:58] = space[65:91] = space[97:123] = False
     return value, space
 
 
@@ -84,8 +87,8 @@ class Splitter:
 
     BASE = 0x9E3779B97F4A7C15 | 1
 
-    def __init__(self, lower: bool = False):
-        self.value, self.space = _tables(lower)
+    def __init__(self, lower: bool = False, letters: bool = False):
+        self.value, self.space = _tables(lower, letters)
         self.power = self.inverse = np.empty(0, np.uint64)
 
     def _powers(self, n: int) -> None:
