@@ -33,7 +33,8 @@ class WordIds:
     letters are encoded together, cut at the tokens that end a word; all others one by one.
     """
 
-    PARTS = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r])")
+    #: Letters, then signs of ASCII but the apostrophe: two parts that are always encoded apart.
+    PARTS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,32 +49,51 @@ class WordIds:
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    @staticmethod
+    def _plain(word: bytes) -> bytes | None:
+        """The word as the tokenizer sees it, if that is one run of letters whose lower case is beyond doubt."""
+        s = word.decode("utf-8", "replace")
+        if s.isalpha() and is_normalized("NFC", s) and "\u03a3" not in s and "\u0130" not in s:
+            return s.lower().encode()
+        return None
+
     def _learn(self, words: set[bytes]) -> None:
-        plain = []
+        young, old = self.young, self.old
+        plain: set[bytes] = set()
+        parted = []
         for w in words:
-            if (known := self.old.get(w)) is not None:
-                self.young[w] = known
-            elif (s := w.decode("utf-8", "replace")).isalpha() and s == s.lower() and is_normalized("NFC", s):
-                plain.append(w)
+            if (known := old.get(w)) is not None:
+                young[w] = known
+            elif w.isalpha() and w.islower():
+                plain.add(w)
+            elif (m := self.PARTS.fullmatch(w)) and (head := self._plain(m[1])):
+                parted.append((w, head, m[2]))
+                if head not in young:
+                    plain.add(head)
+                if m[2] not in young:
+                    young[m[2]] = self._encode(m[2].decode())
             else:
-                self.young[w] = self._encode(s)
+                young[w] = self._encode(w.decode("utf-8", "replace"))
         if plain:
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
+            rows = list(plain)
+            ids = np.array(self.tokenizer.encode(b" ".join(rows).decode(), add_special_tokens=False).ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain) and cuts[-1] == len(ids):
+            if len(cuts) == len(rows) and cuts[-1] == len(ids):
                 packed, from_ = ids.tobytes(), 0
-                for w, to in zip(plain, (4 * cuts).tolist()):
-                    self.young[w] = packed[from_:to]
+                for w, to in zip(rows, (4 * cuts).tolist()):
+                    young[w] = packed[from_:to]
                     from_ = to
             else:
-                self.young.update((w, self._encode(w.decode())) for w in plain)
+                young.update((w, self._encode(w.decode())) for w in rows)
+        for w, head, tail in parted:
+            young[w] = young[head] + young[tail]
 
     def __call__(self, text: bytes) -> bytes:
         if b"<|" in text:  # a special token is one only as it stands, before any change of case
             return self._encode(text.decode("utf-8", "replace"))
         if text.isascii():
             text = text.lower()
-        words = self.PARTS.sub(rb" \1", text).split()
+        words = text.split()
         if missing := set(words).difference(self.young):
             if len(self.young) + len(missing) > CACHED and self.young:
                 self.old, self.young = self.young, {}
