@@ -10,7 +10,7 @@ more. Texts with equal sets are one node from the start. Then
 3. the rest meet in tiles: bands of set sizes a factor ``1 / t`` wide. A set goes to its own band and to the
    one below, so every linkable pair meets in the band of its smaller member. A pair must pass the bound on sizes and
    the bound from parity bitmaps (``popcount(x ^ y)`` bounds the symmetric difference from below, so the overlap from
-   above) before its sorted arrays are intersected exactly;
+   above), for large sets with wider ones too, before its sorted arrays are intersected exactly;
 4. a shingle with more than ``LARGE`` members, as groups of thousands of near copies have, is not paired in full. Star
    rounds verify one pair per group and turn and merge what links; then only pairs between different groups remain,
    and these are all tested as in step 3.
@@ -35,6 +35,8 @@ from sensorframe.llm.words import Splitter, mix, numbers, pieces
 SLOTS, SLICE = 1 << 20, 1 << 12
 #: 64-bit words of a parity bitmap.
 BITMAP = 16
+#: Sets with more shingles than this also have a bitmap of two to four bits per shingle, of a power of two in width.
+WIDE_FROM = 1000
 #: A shingle with more senders is merged by star rounds before pairs are tested.
 LARGE = 64
 #: Star rounds end when a round links less than this share of the pairs it tried.
@@ -106,7 +108,7 @@ def _needed(n: np.ndarray | int, percent: int):
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, the set's two fingerprints, its parity bitmap and the shingles it sends."""
-    fields = ["doc_id long", "n_shingles long", "f1 long", "f2 long", *(f"s{i} long" for i in range(BITMAP)), "sent array<long>"]
+    fields = ["doc_id long", "n_shingles long", "f1 long", "f2 long", *(f"s{i} long" for i in range(BITMAP)), "wide binary", "sent array<long>"]
 
     def sign(batches):
         splitter, is_common = Splitter(lower=True), np.unpackbits(common).astype(bool)
@@ -129,14 +131,56 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, co
                 take = n - _needed(n, percent) + (n > 0)
                 sent = hashed[order][rank < np.repeat(take, n)].view(np.int64)
                 sizes = np.concatenate(([0], np.cumsum(take)))
+                wide = [_wide(hashed[a:b]) if b - a > WIDE_FROM else None for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(n)), pa.array(n), *map(pa.array, prints), *(pa.array(bits[:, i]) for i in range(BITMAP)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(sent))],
+                    [ids.slice(row, len(n)), pa.array(n), *map(pa.array, prints), *(pa.array(bits[:, i]) for i in range(BITMAP)), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(sent))],
                     [f.split()[0] for f in fields],
                 )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, ", ".join(fields))
 
 
+def _wide(shingles: np.ndarray) -> bytes:
+    """Parity bitmap; the one of half the width is the exclusive or of its even and odd bits."""
+    width = 1 << (int(len(shingles)).bit_length() + 1)
+    place = (mix(shingles) >> np.uint64(64 - (width.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> bool:
+    """The bitmap bound for packed wide bitmaps of sets with ``n`` shingles together."""
+    x, y = np.unpackbits(x), np.unpackbits(y)
+    while len(x) != len(y):
+        x, y = (x, y[0::2] ^ y[1::2]) if len(x) < len(y) else (x[0::2] ^ x[1::2], y)
+    return (100 + percent) * (n - int(np.count_nonzero(x != y))) >= 2 * percent * n
+
+
+def _of_pairs(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b) with the columns of both members, as x_ and y_. Few pairs go to the table, so that only their rows move."""
+    pairs = if_small(pairs)
+    x = table.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"x_{c}") for c in columns)).join(pairs, "a")
+    y = table.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"y_{c}") for c in columns)).join(pairs, "b")
+    return x.join(y, ["a", "b"]).select("a", "b", *(f"x_{c}" for c in columns), *(f"y_{c}" for c in columns))
+
+
+def _refined(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Those of the stored pairs (a, b) that also pass the bound from wide bitmaps, where both members have one."""
+
+    def test(batches):
+        for batch in batches:
+            a, b, n, x, m, y = (batch.column(i) for i in range(6))
+            total = np.asarray(n) + np.asarray(m)
+            keep = [i for i in range(len(a)) if _may_link(np.frombuffer(x[i].as_buffer(), np.uint8), np.frombuffer(y[i].as_buffer(), np.uint8), int(total[i]), percent)]
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], ["a", "b"])
+
+    wide = facts.where("wide is not null").select("doc_id", "n_shingles", "wide")
+    both = facts.groupBy("doc_id").agg(F.min(F.col("wide").isNotNull()).alias("all")).where("all").select("doc_id")
+    judged = pairs.join(both.withColumnRenamed("doc_id", "a"), "a", "left_semi").join(both.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")
+    judged = materialise(judged)
+    passed = _of_pairs(judged, wide, ["n_shingles", "wide"]).mapInArrow(test, "a long, b long")
+    return materialise(pairs.join(judged, ["a", "b"], "left_anti").unionByName(passed))
+
+
 def _sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
     """Sorted distinct shingles, as packed 64-bit values, of the documents in the stored table ``wanted``."""
 
@@ -165,15 +209,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.searchsorted(q, p)
                 both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep)), b.take(pa.array(keep))], ["a", "b"])
+            keep = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], ["a", "b"])
 
-    # Few pairs go to the sets, so that only the sets of pairs move.
-    pairs = if_small(pairs)
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).join(pairs, "a")
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).join(pairs, "b")
-    both = x.join(y, ["a", "b"])
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return _of_pairs(pairs, sets, ["shingles"]).mapInArrow(test, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -200,12 +239,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     same_members = shared.groupBy("n", "g0", "g1").agg(F.min("shingle").alias("shingle")).select("shingle")
     every, shared = shared, materialise(shared.drop("g0", "g1").join(same_members, "shingle", "left_semi"))
     release(every)
-    facts = materialise(senders.select("doc_id", "n_shingles", *bits).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
+    facts = materialise(senders.select("doc_id", "n_shingles", *bits, "wide").join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
     release(signed)
 
     few = shared.where(F.col("n") <= LARGE).select("doc_id", "shingle")
     many = materialise(shared.where(F.col("n") > LARGE).select("doc_id", "shingle"))
-    pairs = materialise(_plausible(few.withColumn("comp", F.col("doc_id")), facts, bits, percent))
+    pairs = _refined(materialise(_plausible(few.withColumn("comp", F.col("doc_id")), facts, bits, percent)), facts, percent)
     wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(many.select("doc_id")).distinct())
     sets = materialise(_sets(docs, doc_id, text, k, wanted))
     links = materialise(_verified(pairs, sets, percent))
@@ -213,7 +252,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not many.isEmpty():
         links = _star_rounds(links, many, sets, percent)
         member = many.join(_labels(many, links), "doc_id")
-        links = links.unionByName(_verified(materialise(_plausible(member, facts, bits, percent)), sets, percent))
+        pairs = _refined(materialise(_plausible(member, facts, bits, percent)), facts, percent)
+        links = links.unionByName(_verified(pairs, sets, percent))
     found = components(links.unionByName(same))
     return own.join(found.withColumnRenamed("node", "first"), "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
 
@@ -254,7 +294,7 @@ def _plausible(member: DataFrame, facts: DataFrame, bits: list[str], percent: in
     the join holds only members outside it.
     """
     sizes = member.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    member = member.join(sizes.select("shingle", "main"), "shingle").join(facts, "doc_id")
+    member = member.join(sizes.select("shingle", "main"), "shingle").join(facts.drop("wide"), "doc_id")
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
     member = member.withColumn("band", band).withColumn("tile", F.explode(F.array(F.col("band") - 1, F.col("band"))))
     columns = ("doc_id", "comp", "n_shingles", "band", *bits)
