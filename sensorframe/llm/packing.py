@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of the cache's younger half; the older half is as large at most.
-CACHED = 250_000
+CACHED = 400_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -94,12 +94,24 @@ class WordIds:
         if text.isascii():
             text = text.lower()
         words = text.split()
-        if missing := set(words).difference(self.young):
+        ids = list(map(self.young.get, words))
+        if None in ids:
+            missing = {w for w, known in zip(words, ids) if known is None}
             if len(self.young) + len(missing) > CACHED and self.young:
                 self.old, self.young = self.young, {}
-                missing = set(words)
             self._learn(missing)
-        return b"".join(map(self.young.__getitem__, words))
+            ids = [self.young[w] if known is None else known for w, known in zip(words, ids)]
+        return b"".join(ids)
+
+
+def word_ids(path: str) -> WordIds:
+    """The process's own tokenizer and cache. It stays on the imported library between the tasks of a worker."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_word_ids_by_path", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
 
 
 class Packer:
@@ -213,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, max
     end = np.uint32(end_id).tobytes()
 
     def run(batches):
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         packer = Packer(size, max_open, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
