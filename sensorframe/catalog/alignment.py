@@ -41,7 +41,7 @@ def w11(t):
 @query(
     "j7_interval_ranges",
     f"""WITH {SAMPLES_SQL},
-    iv AS (SELECT subject, row_idx AS interval_id, us AS s, us + 2 * {DAY_US} AS e FROM samples WHERE label = 'purchase'),
+    iv AS (SELECT subject, row_idx AS interval_id, CASE WHEN row_idx % 13 <> 5 THEN us END AS s, CASE WHEN row_idx % 11 <> 3 THEN us + 2 * {DAY_US} END AS e FROM samples WHERE label = 'purchase'),
     fr AS (SELECT subject, row_idx AS f, us FROM samples WHERE label = 'view'),
     m AS (SELECT iv.subject, interval_id, any_value(s) AS s, any_value(e) AS e, count(f) AS n, min(f) AS f0, max(f) AS f1, min(us) AS t0, max(us) AS t1
           FROM iv LEFT JOIN fr ON iv.subject = fr.subject AND us BETWEEN s AND e GROUP BY iv.subject, interval_id)
@@ -53,7 +53,10 @@ def w11(t):
 def j7(t):
     s = t.samples()
     intervals = s.where(F.col("label") == "purchase").select(
-        "subject", F.col("row_idx").alias("interval_id"), F.col("us").alias("s"), (F.col("us") + 2 * DAY_US).alias("e")
+        "subject",
+        F.col("row_idx").alias("interval_id"),
+        F.when(F.col("row_idx") % 13 != 5, F.col("us")).alias("s"),
+        F.when(F.col("row_idx") % 11 != 3, F.col("us") + 2 * DAY_US).alias("e"),
     )
     frames = s.where(F.col("label") == "view").select("subject", F.col("row_idx").alias("f"), "us")
     return align.interval_ranges(

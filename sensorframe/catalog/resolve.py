@@ -14,14 +14,15 @@ RES_SQL = """files AS (SELECT 'G' || (c_custkey % 5) AS grp, 'c' || c_custkey ||
   approved AS (SELECT DISTINCT grp, participant_id, stem, confidence FROM crosswalk WHERE lower(approved) IN ('true', '1', 'yes')),
   mapped AS (SELECT files.*, participant_id, confidence FROM files LEFT JOIN approved USING (grp, stem)),
   manifest AS (SELECT 'G' || (o_custkey % 5) AS grp, 'p' || o_custkey AS pid, CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_custkey ELSE 'n' || o_orderkey END AS norm,
-    CASE WHEN o_orderkey % 4 < 2 THEN 'front' ELSE 'side' END AS view_type, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(epoch(o_orderdate) AS BIGINT) END AS ts,
+    CASE WHEN o_orderkey % 4 < 2 THEN 'front' WHEN o_orderkey % 4 = 3 THEN 'side' END AS view_type, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(epoch(o_orderdate) AS BIGINT) END AS ts,
     'depth_' || o_orderkey || '.h5' AS file_name, o_orderkey % 3 = 0 AS second FROM orders)"""
 
 PAIRS_SQL = RES_SQL + """, pairs AS (SELECT m.*, f.stem, f.participant_id, f.first_time FROM mapped f JOIN manifest m ON f.grp = m.grp AND (f.participant_id = m.pid OR f.stem = m.norm)
     WHERE f.participant_id IS NOT NULL)"""
 
 NEAREST_SQL = PAIRS_SQL + """, ranked AS (SELECT *, abs(ts - first_time) AS gap, count(*) OVER (PARTITION BY grp, stem) AS total, count(*) OVER (PARTITION BY grp, stem, view_type) AS per_view,
-    row_number() OVER (PARTITION BY grp, stem, view_type ORDER BY abs(ts - first_time) NULLS LAST, file_name) AS rk FROM pairs),
+    row_number() OVER (PARTITION BY grp, stem, view_type ORDER BY abs(ts - first_time) NULLS LAST, file_name) AS rk
+    FROM (SELECT * REPLACE (coalesce(view_type, '') AS view_type) FROM pairs)),
   sessions AS (SELECT grp, stem, view_type, file_name, gap AS session_time_diff_seconds, total AS session_candidate_count_total, per_view AS session_candidate_count_for_view,
     rk AS session_candidate_rank_for_view, per_view - 1 AS session_dropped_candidate_count_for_view, coalesce(gap <= 2592000, false) AS session_within_threshold FROM ranked WHERE rk = 1)"""
 
@@ -59,7 +60,7 @@ def manifest(t):
         F.concat(F.lit("G"), (c % 5).cast("string")).alias("grp"),
         F.concat(F.lit("p"), c.cast("string")).alias("pid"),
         F.when(o % 2 == 0, F.concat(F.lit("c"), c.cast("string"))).otherwise(F.concat(F.lit("n"), o.cast("string"))).alias("norm"),
-        F.when(o % 4 < 2, "front").otherwise("side").alias("view_type"),
+        F.when(o % 4 < 2, "front").when(o % 4 == 3, "side").alias("view_type"),
         F.when(o % 13 != 0, F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000000).cast("long").alias("ts"),
         F.concat(F.lit("depth_"), o.cast("string"), F.lit(".h5")).alias("file_name"),
         (o % 3 == 0).alias("second"),
@@ -151,19 +152,18 @@ def a6(t):
 @query(
     "p22_suggestions",
     f"""WITH {RES_SQL}, miss AS (SELECT DISTINCT grp, stem FROM mapped WHERE participant_id IS NULL),
-    c AS (SELECT *, row_number() OVER (PARTITION BY grp, substr(stem, 1, 3) ORDER BY participant_id, stem, approved, confidence) AS rp,
-                 row_number() OVER (PARTITION BY grp ORDER BY participant_id, stem, approved, confidence) AS rg FROM crosswalk),
-    h AS (SELECT m.grp, m.stem, CASE WHEN c.stem = m.stem THEN 1 WHEN c.participant_id = m.stem THEN 2 WHEN substr(c.stem, 1, 3) = substr(m.stem, 1, 3) THEN 3 ELSE 4 END AS tier,
-                 c.participant_id, c.stem AS proposed, c.approved, c.confidence, rp, rg FROM miss m JOIN c ON c.grp = m.grp),
-    b AS (SELECT *, min(tier) OVER (PARTITION BY grp, stem) AS best FROM h)
+    h AS (SELECT m.grp, m.stem, CASE WHEN c.stem = m.stem THEN 1 WHEN c.participant_id = m.stem THEN 2 WHEN starts_with(c.stem, substr(m.stem, 1, 3)) THEN 3 ELSE 4 END AS tier,
+                 c.participant_id, c.stem AS proposed, c.approved, c.confidence FROM miss m JOIN crosswalk c ON c.grp = m.grp),
+    b AS (SELECT *, min(tier) OVER (PARTITION BY grp, stem) AS best,
+                 row_number() OVER (PARTITION BY grp, stem, tier ORDER BY participant_id, proposed, approved, confidence) AS r FROM h)
     SELECT grp, stem, CAST(tier AS BIGINT) AS tier, participant_id,
            '{{"participant_id":"' || participant_id || '","proposed":"' || proposed || '","approved":"' || approved || '","confidence":"' || confidence || '"}}' AS suggestion
-    FROM b WHERE tier = best AND (tier < 3 OR (tier = 3 AND rp <= 10) OR (tier = 4 AND rg <= 10))""",
+    FROM b WHERE tier = best AND (tier < 3 OR r <= 10)""",
 )
 def p22(t):
     missing = mapped(t).where(F.col("participant_id").isNull())
     cand = crosswalk(t).select("grp", "participant_id", F.col("stem").alias("proposed"), "approved", "confidence")
-    return re_.suggestions(missing, cand, "grp", "stem", "participant_id", "proposed")
+    return re_.suggestions(missing, cand, "grp", "stem", "participant_id", "proposed", top=10)
 
 
 @query(

@@ -19,7 +19,6 @@ from sensorframe.operators.ordered import (
     running_sum,
     with_time_tile,
 )
-from sensorframe.operators.quantiles import exact_quantiles
 
 
 def implicit_clock(
@@ -40,19 +39,29 @@ def implicit_clock(
 def normalise_units(df: DataFrame, keys: Sequence[str], ts: str, salt_on: Sequence[str]) -> DataFrame:
     """Seconds from a clock that may be in milliseconds, decided once per stream.
 
-    A stream whose median absolute finite timestamp exceeds 1e11 is in milliseconds.
+    A stream whose median absolute finite timestamp exceeds 1e11 is in milliseconds. No quantile is needed for that: the
+    counts on either side decide, and with an even split the two middle values are the largest below and
+    the smallest above. One aggregation, combined before the shuffle.
     """
     finite = F.col(ts).isNotNull() & ~F.isnan(ts) & (F.abs(ts) != F.lit(float("inf")))
     size = df.where(finite).select(*keys, F.abs(ts).alias("_abs"))
-    medians = exact_quantiles(size, keys, "_abs", {"_median": 0.5})
-    joined = lookup_join(df, medians, keys, "left", salt_on=salt_on)
-    millis = F.col("_median") > 1e11
+    large = F.col("_abs") > 1e11
+    sides = size.groupBy(*keys).agg(
+        F.count_if(large).alias("_above"),
+        F.count_if(~large).alias("_below"),
+        F.max(F.when(~large, F.col("_abs"))).alias("_low"),
+        F.min(F.when(large, F.col("_abs"))).alias("_high"),
+    )
+    even = (F.col("_low") + F.col("_high")) / 2 > 1e11
+    unit = sides.select(*keys, F.when(F.col("_above") == F.col("_below"), even).otherwise(F.col("_above") > F.col("_below")).alias("_millis"))
+    joined = lookup_join(df, unit, keys, "left", salt_on=salt_on)
+    millis = F.col("_millis")
     return (
         joined.withColumn(ts, F.when(millis, F.col(ts) / 1000.0).otherwise(F.col(ts)))
         .withColumn(
-            "unit", F.when(F.col("_median").isNull(), "unknown").when(millis, "milliseconds").otherwise("seconds")
+            "unit", F.when(millis.isNull(), "unknown").when(millis, "milliseconds").otherwise("seconds")
         )
-        .drop("_median")
+        .drop("_millis")
     )
 
 
@@ -82,7 +91,10 @@ def interval_ranges(
 
     Interval ends travel in one ordered stream with the frames, so the work is
     frames + 2 x intervals: no frame is paired with every interval that covers it.
+    Intervals with a null bound cover nothing and are returned as missing.
     """
+    bounded = F.col(start).isNotNull() & F.col(end).isNotNull()
+    unbounded, intervals = intervals.where(~bounded), intervals.where(bounded)
     blank_id = [F.lit(None).cast(intervals.schema[c].dataType).alias(c) for c in interval_id]
     no_frame = F.lit(None).cast(frames.schema[frame].dataType).alias("_frame")
 
@@ -124,7 +136,7 @@ def interval_ranges(
     found = F.col("_upto") > F.col("_before")
     first_ts, last_ts = F.col("_first.ts"), F.col("_final.ts")
     whole = (first_ts <= F.col("_s") + F.lit(tolerance)) & (last_ts >= F.col("_e") - F.lit(tolerance))
-    return ranges.select(
+    covered = ranges.select(
         *keys,
         *interval_id,
         found.alias("has_overlap"),
@@ -136,6 +148,10 @@ def interval_ranges(
         F.when(found, last_ts - first_ts).otherwise(F.lit(0).cast(ranges.schema["_s"].dataType)).alias("coverage_duration"),
         F.when(found, F.col("_upto") - F.col("_before")).otherwise(F.lit(0)).cast("long").alias("num_frames"),
     )
+    blank = {"has_overlap": F.lit(False), "coverage_status": F.lit("missing"), "coverage_duration": F.lit(0), "num_frames": F.lit(0)}
+    kinds = dict(covered.dtypes)
+    missing = unbounded.select(*keys, *interval_id, *(blank.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in covered.columns[len(keys) + len(interval_id) :]))
+    return covered.unionByName(missing)
 
 
 def nearest_asof(
@@ -253,7 +269,3 @@ def resample(
         *[(F.col(s) + (F.coalesce(F.col(f"_next.{s}"), F.col(s)) - F.col(s)) * share).alias(s) for s in signals],
         label,
     )
-
-
-
-

@@ -15,12 +15,13 @@ from sensorframe.session import materialise
 STRATEGIES = ("current_saved_threshold", "val_adaptive_threshold", "val_platt_lr_0p5", "val_platt_lr_val_threshold")
 
 
-def platt_fit(df: DataFrame, keys: Sequence[str], label: str, score: str, eps: float = 1e-6, max_steps: int = 30, tolerance: float = 1e-9) -> DataFrame:
+def platt_fit(df: DataFrame, keys: Sequence[str], label: str, score: str, eps: float = 1e-6, max_steps: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """Slope and intercept of a one-dimensional logistic fit on score log-odds, per group.
 
     Balanced class weights n / (2 n_c), penalty slope^2 / 2, intercept free. Newton
     steps for all groups at once: each is one partial aggregation of gradient and
-    Hessian sums over the score histogram. Groups with one class are skipped.
+    Hessian sums over the score histogram. Groups with one class are skipped. ``n_steps`` is
+    the number of steps taken; a group that still moves after ``max_steps`` is ``not_converged``.
     """
     hist = (
         df.groupBy(*keys, logit(F.col(score), eps).alias("_x"))
@@ -38,7 +39,8 @@ def platt_fit(df: DataFrame, keys: Sequence[str], label: str, score: str, eps: f
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("a") + F.col("b") * F.col("_x"))))
     miss = w1 * (p - 1.0) + w0 * p
     curve = (w1 + w0) * p * (F.lit(1.0) - p)
-    for _ in range(max_steps):
+    n_steps = 0
+    for n_steps in range(1, max_steps + 1):
         rows = lookup_join(hist, state, keys, "inner", salt_on=["_x"])
         sums = rows.groupBy(*keys, "n_pos", "n_neg", "a", "b").agg(
             F.sum(miss).alias("_ga"),
@@ -61,10 +63,10 @@ def platt_fit(df: DataFrame, keys: Sequence[str], label: str, score: str, eps: f
         furthest = state.agg(F.max("_move")).first()[0]
         if furthest is None or furthest < tolerance:
             break
-    fitted = state.select(*keys, F.col("b").alias("platt_coef"), F.col("a").alias("platt_intercept"))
-    return sizes.join(fitted, list(keys), "left").withColumn(
-        "status", F.when(F.col("platt_coef").isNull(), "skipped_val_single_class").otherwise("ok")
-    )
+    settled = F.col("_move") < tolerance
+    fitted = state.select(*keys, F.col("b").alias("platt_coef"), F.col("a").alias("platt_intercept"), settled.alias("_settled"), F.lit(n_steps).alias("n_steps"))
+    status = F.when(F.col("platt_coef").isNull(), "skipped_val_single_class").when(F.col("_settled"), "ok").otherwise("not_converged")
+    return sizes.join(fitted, list(keys), "left").withColumn("status", status).drop("_settled")
 
 
 def platt_score(score: Column, coef: Column, intercept: Column, eps: float = 1e-6) -> Column:

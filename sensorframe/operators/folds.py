@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions.scalars import hash_unit
 from sensorframe.operators.ordered import dense_ids, group_total, lookup_join, ordered_scan, row_position
-
-MAX_LABELS = 1000
+from sensorframe.session import materialise
 
 
 def grouped_folds(df: DataFrame, subject: str, k: int) -> DataFrame:
@@ -77,23 +76,17 @@ def balanced_resample(df: DataFrame, row_id: str, label: str, seed: int = 42) ->
 
     Weights of 1/n_label mean: pick a label evenly, then a position in it evenly. A
     draw therefore joins on (label, position), a unique key, instead of a range over
-    cumulative weights. Every input row yields one draw, so the count is exact.
+    cumulative weights. Every input row yields one draw, so the count is exact. Labels are numbered
+    in a table of their own, so there may be any number of them; rows with a null label are never drawn.
     """
     base = df.withColumn("_h", F.md5(F.col(row_id).cast("string")))
     placed = ordered_scan(base, [label], ["_h", row_id], _hash_tile("_h"), {"_pos": row_position()}).drop("_h")
-    # One row per label; labels are few by contract and checked to be.
-    counts = sorted((r[0], r[1]) for r in df.groupBy(label).count().limit(MAX_LABELS + 1).collect())
-    if not 0 < len(counts) <= MAX_LABELS:
-        raise ValueError(f"expected 1 to {MAX_LABELS} labels")
-    slot = F.floor(hash_unit(F.lit(seed), F.lit("label"), F.col("draw_id")) * len(counts)).cast("int") + 1
-    names = F.element_at(F.array(*[F.lit(c[0]) for c in counts]), slot)
-    sizes = F.element_at(F.array(*[F.lit(c[1]) for c in counts]), slot)
-    draws = df.select(F.col(row_id).alias("draw_id")).select(
-        "draw_id",
-        names.cast(df.schema[label].dataType).alias(label),
-        (F.floor(hash_unit(F.lit(seed), F.lit("row"), F.col("draw_id")) * sizes) + 1).cast("long").alias("_pos"),
-    )
-    return draws.join(placed, [label, "_pos"], "inner").drop("_pos")
+    labels = materialise(dense_ids(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_size")), [label], "_slot"))
+    n_labels = labels.count()
+    slot = F.floor(hash_unit(F.lit(seed), F.lit("label"), F.col("draw_id")) * n_labels).cast("long")
+    draws = lookup_join(df.select(F.col(row_id).alias("draw_id")).withColumn("_slot", slot), labels, ["_slot"], "inner", salt_on=["draw_id"])
+    at = F.floor(hash_unit(F.lit(seed), F.lit("row"), F.col("draw_id")) * F.col("_size")) + 1
+    return draws.select("draw_id", label, at.cast("long").alias("_pos")).join(placed, [label, "_pos"], "inner").drop("_pos")
 
 
 def split_overlap(table: DataFrame, subject: str) -> DataFrame:

@@ -95,8 +95,9 @@ def nearest_sessions(
     Sessions match a file by either key (``or_key_join``). The nearest one comes
     from an ordered merge per key instead of all file x session pairs; counts come
     from grouped session counts. Ties take the smaller name; files without a time,
-    and sessions without one, fall back to the smallest name.
+    and sessions without one, fall back to the smallest name. A null view is the empty view.
     """
+    manifest = manifest.withColumn(view, F.coalesce(F.col(view), F.lit("")))
     # Sessions under either kind of key, and those reachable under both (counted once).
     def keyed(df: DataFrame, pair: tuple[str, str], *cols) -> DataFrame:
         kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(pair)])
@@ -168,20 +169,24 @@ def mapping_summary(sessions: DataFrame, counts: dict[str, "F.Column"]) -> DataF
     return row.selectExpr(f"stack({len(counts)}, {pairs}) AS (metric, value)")
 
 
-def suggestions(missing: DataFrame, candidates: DataFrame, group: str, stem: str, pid: str, proposed: str, top: int = 10) -> DataFrame:
+def suggestions(missing: DataFrame, candidates: DataFrame, group: str, stem: str, pid: str, proposed: str, top: int | None, prefix_length: int = 3) -> DataFrame:
     """Crosswalk suggestions for unmapped files, one row per suggestion with its JSON record.
 
-    Tier 1 same stem, 2 same id, 3 same three-letter prefix, 4 same group; the first
-    tier with a hit is used, tiers 3 and 4 keep the first ``top`` candidates. Only those
-    per-key short lists are joined, never all candidates of a group.
+    Tier 1 same stem, 2 same id, 3 begins with the stem's first ``prefix_length`` letters (with the
+    whole stem if that is shorter), 4 same group; the first tier with a hit is used. Tiers 3 and 4 keep
+    the first ``top`` candidates, all if that is None.
     """
     cols = [c for c in candidates.columns if c != group]
     want = missing.select(group, stem).distinct()
-    cand = candidates.withColumn("_prefix", F.substring(proposed, 1, 3))
+    cand = candidates
+    lengths = F.sequence(F.lit(0), F.least(F.length(proposed), F.lit(prefix_length)))
+    begin = candidates.withColumn("_l", F.explode(lengths)).withColumn("_prefix", F.col(proposed).substr(F.lit(1), F.col("_l")))
 
-    def first(keys: Sequence[str]) -> DataFrame:
+    def first(pool: DataFrame, keys: Sequence[str]) -> DataFrame:
+        if top is None:
+            return pool
         w = Window.partitionBy(*keys).orderBy(*cols)
-        return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
+        return pool.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
 
     def hit(files: DataFrame, pool: DataFrame, keys: Sequence[str], tier: int) -> DataFrame:
         # Tiers 3 and 4 share one short list among many files; tiers 1 and 2 match on near-unique keys.
@@ -192,9 +197,9 @@ def suggestions(missing: DataFrame, candidates: DataFrame, group: str, stem: str
     left = want.join(exact.select(group, stem).distinct(), [group, stem], "left_anti")
     same_id = hit(left.withColumn("_k", F.col(stem)), cand.withColumn("_k", F.col(pid)), [group, "_k"], 2)
     left = left.join(same_id.select(group, stem).distinct(), [group, stem], "left_anti")
-    prefix = hit(left.withColumn("_prefix", F.substring(stem, 1, 3)), first([group, "_prefix"]), [group, "_prefix"], 3)
+    prefix = hit(left.withColumn("_prefix", F.substring(stem, 1, prefix_length)), first(begin, [group, "_prefix"]), [group, "_prefix"], 3)
     left = left.join(prefix.select(group, stem).distinct(), [group, stem], "left_anti")
-    anything = hit(left, first([group]).drop("_prefix"), [group], 4)
+    anything = hit(left, first(cand, [group]), [group], 4)
     out = exact.unionByName(same_id).unionByName(prefix).unionByName(anything)
     return out.select(group, stem, "tier", pid, F.to_json(F.struct(*cols)).alias("suggestion"))
 

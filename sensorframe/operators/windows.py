@@ -145,7 +145,7 @@ def mask_window_stats(track: DataFrame, task: Sequence[str], frame: str, window:
     covered = assign_windows(track, frame, window, stride)
     keys = [*task, "window_no"]
     area = F.col("mask_area_fraction").cast("double")
-    finite = F.when(~F.isnan(area), area)
+    finite = F.when(~F.isnan(area) & (F.abs(area) != F.lit(float("inf"))), area)
     order = Window.partitionBy(*keys).orderBy(frame)
     before = F.last(finite, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = covered.withColumn("_area", finite).withColumn("_jump", F.abs(finite - before))
@@ -209,10 +209,10 @@ def quality_tier(
     rule = (
         F.when(F.col("missing_mask_frames") > cap, verdict("drop", f"missing_mask_frames>{cap}"))
         .when(missing > max_missing_fraction, verdict("drop", f"missing_mask_fraction>{max_missing_fraction:g}"))
-        .when(area.isNull() | F.isnan(area), verdict("drop", "mask_area_mean_not_finite"))
+        .when(area.isNull() | F.isnan(area) | (F.abs(area) == F.lit(float("inf"))), verdict("drop", "mask_area_mean_not_finite"))
         .when(area < min_area, verdict("drop", f"mask_area_mean<{min_area:g}"))
         .when(area > max_area, verdict("drop", f"mask_area_mean>{max_area:g}"))
-        .when(age > max_age, verdict("drop", f"mask_age_max>{int(max_age)}"))
+        .when(~F.isnan(age) & (age > max_age), verdict("drop", f"mask_age_max>{int(max_age)}"))
     )
     for c in nonzero:
         rule = rule.when(F.col(c) <= 0.001, verdict("drop", f"{c}<=0.001"))

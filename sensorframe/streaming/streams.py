@@ -33,7 +33,8 @@ def carry_forward_stream(stream: DataFrame, key: str, frame: str, ts: str, valid
 
     State is one (frame, value) pair per key and expires after ``idle_seconds`` of event time.
     Rows of a key are put in frame order inside each micro-batch, so the trigger's
-    input limit bounds what one task holds.
+    input limit bounds what one task holds. A late row never takes a value from a later frame, and
+    the state only moves forward.
     """
     key_type = stream.schema[key].dataType.simpleString()
     out = f"`{key}` {key_type}, `{frame}` bigint, mask_source int, mask_age_frames bigint, carried double"
@@ -53,13 +54,15 @@ def carry_forward_stream(stream: DataFrame, key: str, frame: str, ts: str, valid
         # Position of the latest valid row at or before each row; -1 means the stored one.
         pos = np.maximum.accumulate(np.where(ok, np.arange(len(f)), -1))
         from_batch = pos >= 0
-        last_f = np.where(from_batch, f[pos], seed_f if seed_f is not None else 0)
-        last_v = np.where(from_batch, v[pos], seed_v if seed_v is not None else np.nan)
-        known = from_batch | (seed_f is not None)
+        stored = np.full(len(f), seed_f is not None) & (f >= (seed_f or 0))
+        nearer = from_batch & ~(stored & (f[pos] < (seed_f or 0)))
+        last_f = np.where(nearer, f[pos], seed_f if seed_f is not None else 0)
+        last_v = np.where(nearer, v[pos], seed_v if seed_v is not None else np.nan)
+        known = nearer | stored
         age = f - last_f
-        usable = known & (age <= max_age)
-        if from_batch.any():
-            state.update((int(last_f[-1]), float(last_v[-1])))
+        usable = known & (age >= 0) & (age <= max_age)
+        if from_batch.any() and (seed_f is None or f[pos[-1]] >= seed_f):
+            state.update((int(f[pos[-1]]), float(v[pos[-1]])))
         if state.exists:
             latest = int(rows[ts].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_seconds * 1000)

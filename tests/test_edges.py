@@ -326,3 +326,50 @@ def test_trailing_context_pads_left(spark):
     got = windows.context_arrays(slots, ["s"], "v", 3, F.array(F.lit(0.0))).orderBy("pos").collect()
     assert [[x[0] for x in r["sequence"]] for r in got] == [[0, 0, 0], [0, 0, 1], [0, 1, 2], [1, 2, 3]]
     assert got[0]["mask"] == [0.0, 0.0, 1.0] and got[3]["mask"] == [1.0, 1.0, 1.0]
+
+
+def test_intervals_without_bounds_are_missing(spark):
+    iv = spark.createDataFrame([("a", 1, 0, 10), ("a", 2, None, 10), ("a", 3, 0, None), ("b", 4, None, None)], "k string, i long, s long, e long")
+    fr = spark.createDataFrame([("a", 5, 7), ("a", 6, None)], "k string, f long, t long")
+    got = align.interval_ranges(iv, fr, ["k"], ["i"], "s", "e", "t", "f", 1, 100)
+    assert rows(got.select("i", "has_overlap", "coverage_status", "start_frame_index", "num_frames")) == [
+        (1, True, "partial", 5, 1), (2, False, "missing", None, 0), (3, False, "missing", None, 0), (4, False, "missing", None, 0)
+    ]
+
+
+def test_units_by_counts(spark):
+    big, small = 1.7e12, 1.7e9
+    data = [("ms", big + i) for i in range(3)] + [("ms", small)] + [("even", 2e11), ("even", 1e10), ("tie", 1.5e11), ("tie", 4e10), ("none", None), ("none", float("inf")), ("neg", -big)]
+    got = align.normalise_units(spark.createDataFrame(data, "k string, t double"), ["k"], "t", salt_on=["t"])
+    unit = dict(rows(got.select("k", "unit").distinct()))
+    assert unit == {"ms": "milliseconds", "even": "milliseconds", "tie": "seconds", "none": "unknown", "neg": "milliseconds"}
+
+
+def test_short_stems_match_by_prefix(spark):
+    missing = spark.createDataFrame([("g", "ab"), ("g", "zz"), ("g", "abcd")], "g string, s string")
+    cand = spark.createDataFrame([("g", "p1", "abc"), ("g", "p2", "xyz"), ("g", "p3", "abq")], "g string, pid string, proposed string")
+    got = resolve.suggestions(missing, cand, "g", "s", "pid", "proposed", top=None)
+    assert rows(got.select("s", "tier", "pid")) == [("ab", 3, "p1"), ("ab", 3, "p3"), ("abcd", 3, "p1"), ("zz", 4, "p1"), ("zz", 4, "p2"), ("zz", 4, "p3")]
+    assert resolve.suggestions(missing, cand, "g", "s", "pid", "proposed", top=1).count() == 3
+
+
+def test_platt_says_when_it_has_not_converged(spark):
+    rnd = np.random.default_rng(3)
+    s = rnd.uniform(0.05, 0.95, 200)
+    df = spark.createDataFrame([("a", int(x > rnd.random()), float(x)) for x in s], "g string, y long, s double")
+    assert [r["status"] for r in calibrate.platt_fit(df, ["g"], "y", "s", max_steps=1).collect()] == ["not_converged"]
+    full = calibrate.platt_fit(df, ["g"], "y", "s").first()
+    assert full["status"] == "ok" and 1 < full["n_steps"] < 200
+
+
+def test_resample_of_many_labels(spark):
+    df = spark.createDataFrame([(i, i % 1001) for i in range(2002)], "id long, y long")
+    got = folds.balanced_resample(df, "id", "y")
+    assert got.count() == 2002 and got.select("y").distinct().count() > 700
+
+
+def test_infinite_area_is_not_finite(spark):
+    inf, nan = float("inf"), float("nan")
+    track = spark.createDataFrame([("t", i, a, 1, 0, 1) for i, a in enumerate([inf, inf, nan, inf])], "task string, f long, mask_area_fraction double, mask_source int, mask_age_frames long, yolo_box_count long")
+    got = windows.mask_window_stats(track, ["task"], "f", 4, 4).withColumn("q", windows.quality_tier(4)).first()
+    assert got["mask_area_mean"] is None and got["q"]["reason"] == "mask_area_mean_not_finite"

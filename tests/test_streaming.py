@@ -35,6 +35,19 @@ def test_carry_forward_over_micro_batches_equals_batch(spark, tmp_path):
     assert rows(have) == rows(want)
 
 
+def test_late_rows_carry_nothing_back(spark, tmp_path):
+    """A late row sees only earlier frames, and the stored frame never moves back."""
+    path = str(tmp_path / "late")
+    schema = "s string, i long, ok boolean, v double"
+    for batch in ([("a", 10, True, 10.0)], [("a", 5, False, 5.0), ("a", 6, True, 6.0), ("a", 7, False, 0.0), ("a", 11, False, 0.0)], [("a", 12, False, 0.0)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    live = live.withColumn("ts", F.timestamp_seconds(F.col("i") + START))
+    out = st.run_to_table(st.carry_forward_stream(live, "s", "i", "ts", "ok", "v", 7))
+    have = {r["i"]: (r["mask_source"], r["mask_age_frames"], r["carried"]) for r in out.collect()}
+    assert have[5][:2] == (0, -1) and have[7] == (2, 1, 6.0) and have[11] == (2, 1, 10.0) and have[12] == (2, 2, 10.0)
+
+
 def test_late_rows_leave_closed_windows_alone(spark, tmp_path):
     """Spark moves the watermark between batches and applies it to late rows one batch after it closes windows."""
     path = str(tmp_path / "in")
