@@ -124,7 +124,7 @@ def j16(t):
 
 V1_SQL = """arr AS (SELECT l_orderkey AS task, CASE l_partkey % 9 WHEN 0 THEN 'depth' WHEN 1 THEN 'depth_frame_indices' WHEN 2 THEN 'depth_source_timestamps' WHEN 3 THEN 'rgb' WHEN 4 THEN 'rgb_frame_indices'
     WHEN 5 THEN 'rgb_source_timestamps' WHEN 6 THEN 'target_timestamps' WHEN 7 THEN 'extra_a' ELSE 'extra_b' END AS name, l_suppkey FROM lineitem),
-  arrays AS (SELECT task % 1500 AS task, name, max(10 + CAST(l_suppkey > 97 AS BIGINT)) AS length, max(CASE WHEN name = 'rgb' THEN 4 WHEN l_suppkey = 7 THEN 2 ELSE 3 END) AS ndim, max(3) AS last_dim FROM arr GROUP BY 1, 2),
+  arrays AS (SELECT task % 1500 + CAST(task % 1500 % 23 = 0 AS BIGINT) AS task, name, max(10 + CAST(l_suppkey > 97 AS BIGINT)) AS length, max(CASE WHEN name = 'rgb' THEN 4 WHEN l_suppkey = 7 THEN 2 ELSE 3 END) AS ndim, max(3) AS last_dim FROM arr GROUP BY 1, 2),
   attrs AS (SELECT DISTINCT o_orderkey % 1500 AS task, unnest(CASE WHEN o_orderkey % 1500 % 17 = 0 THEN ['group', 'task_id'] ELSE ['base_subject_id', 'group', 'stress_label', 'task_id', 'view_type'] END) AS attr FROM orders),
   stamps AS (SELECT o_orderkey % 1500 AS task, o_orderkey AS idx, CAST(o_orderkey // 1500 AS DOUBLE) * (CASE WHEN o_orderkey % 1500 % 11 = 0 THEN 0.5 ELSE 0.25 END) AS ts FROM orders)"""
 
@@ -136,7 +136,9 @@ def v1_inputs(t):
         ("depth", "depth_frame_indices", "depth_source_timestamps", "rgb", "rgb_frame_indices", "rgb_source_timestamps", "target_timestamps", "extra_a")
     ):
         name = F.when(p == i, n).otherwise(name)
-    arr = t.lineitem.select((F.col("l_orderkey") % 1500).alias("task"), name.alias("array"), "l_suppkey")
+    key = F.col("l_orderkey") % 1500
+    # Tasks divisible by 23 have no arrays: their rows go to the next task.
+    arr = t.lineitem.select((key + (key % 23 == 0).cast("long")).alias("task"), name.alias("array"), "l_suppkey")
     arrays = arr.groupBy("task", "array").agg(
         F.max(10 + (F.col("l_suppkey") > 97).cast("long")).alias("length"),
         F.max(F.when(F.col("array") == "rgb", 4).when(F.col("l_suppkey") == 7, 2).otherwise(3)).alias("ndim"),
@@ -155,9 +157,9 @@ def v1_inputs(t):
     f"""WITH {V1_SQL}, ha AS (SELECT task, list(DISTINCT name) AS names, max(length) FILTER (name = 'rgb') AS rn, max(ndim) FILTER (name = 'rgb') AS rd, max(length) FILTER (name = 'depth') AS dn,
       max(ndim) FILTER (name = 'depth') AS dd, max(length) FILTER (name = 'target_timestamps') AS tn FROM arrays GROUP BY task), hb AS (SELECT task, list(DISTINCT attr) AS attrs FROM attrs GROUP BY task),
     st AS (SELECT task, median(d) AS med FROM (SELECT task, ts - lag(ts) OVER (PARTITION BY task ORDER BY idx) AS d FROM stamps) GROUP BY task),
-    m AS (SELECT task, array_to_string(list_sort(list_filter(['depth', 'depth_frame_indices', 'depth_source_timestamps', 'rgb', 'rgb_frame_indices', 'rgb_source_timestamps', 'target_timestamps'], lambda x: NOT list_contains(names, x))), ',') AS missing_arrays,
+    m AS (SELECT task, array_to_string(list_sort(list_filter(['depth', 'depth_frame_indices', 'depth_source_timestamps', 'rgb', 'rgb_frame_indices', 'rgb_source_timestamps', 'target_timestamps'], lambda x: NOT list_contains(coalesce(names, []), x))), ',') AS missing_arrays,
       array_to_string(list_sort(list_filter(['base_subject_id', 'group', 'stress_label', 'task_id', 'view_type'], lambda x: NOT list_contains(coalesce(attrs, []), x))), ',') AS missing_attrs, rn, rd, dn, dd, tn, med
-      FROM ha LEFT JOIN hb USING (task) LEFT JOIN st USING (task)),
+      FROM (SELECT task FROM arrays UNION SELECT task FROM attrs UNION SELECT task FROM stamps) LEFT JOIN ha USING (task) LEFT JOIN hb USING (task) LEFT JOIN st USING (task)),
     s AS (SELECT *, CASE WHEN missing_arrays <> '' OR missing_attrs <> '' THEN 'incomplete' WHEN abs(med - 0.25) > 0.05 THEN 'bad_timestamp_step' WHEN rn <> dn OR rn <> tn THEN 'length_mismatch' WHEN rd <> 4 OR dd <> 3 THEN 'bad_shape' ELSE 'complete' END AS status FROM m)
     SELECT task, status, missing_arrays, missing_attrs, CASE WHEN status <> 'incomplete' THEN rn END AS num_samples, CASE WHEN status <> 'incomplete' THEN med END AS timestamp_step_median,
       CASE WHEN status <> 'incomplete' THEN abs(med - 0.25) END AS timestamp_step_error FROM s""",

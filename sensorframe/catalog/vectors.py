@@ -113,6 +113,17 @@ def a16(t):
     return ve.dimension_stats(sample, ["fold_id"], "px").select("fold_id", F.col("dim").cast("long").alias("dim"), r("mean", 9), r("std", 9))
 
 
+@query(
+    "a16_channel_stats",
+    f"""WITH {DIMS_SQL} SELECT window_id % 2 AS fold_id, d AS dim, round(avg(v), 9) + 0.0 AS mean, round(CASE WHEN stddev_pop(v) < 1e-4 THEN 1.0 ELSE stddev_pop(v) END, 9) AS std
+    FROM dims GROUP BY 1, 2""",
+)
+def a16_all(t):
+    """Statistics from all windows, the form to use; the capped one is the studied behaviour."""
+    f = t.frames().withColumn("fold_id", F.col("window_id") % 2)
+    return ve.dimension_stats(f, ["fold_id"], "px").select("fold_id", F.col("dim").cast("long").alias("dim"), r("mean", 9), r("std", 9))
+
+
 @query(
     "x4_zscore",
     f"WITH {DIMS_SQL}, {TRAIN_STATS_SQL} SELECT window_id, frame_idx, {SUMMED} FROM (SELECT window_id, frame_idx, dims.d, (v - mean) / std AS v FROM dims JOIN ts USING (d)) GROUP BY window_id, frame_idx",
@@ -333,12 +344,12 @@ def x9_bad(t):
     "x10_agreement",
     f"""WITH {DIMS_SQL}, j AS (SELECT a.window_id, a.frame_idx, a.subject, a.d, a.v AS s, b.v AS t FROM dims a JOIN dims b ON a.window_id = b.window_id AND a.frame_idx + 1 = b.frame_idx AND a.d = b.d),
     q AS (SELECT window_id, frame_idx, subject, 1 - sum(s * t) / (greatest(sqrt(sum(s * s)), 1e-8) * greatest(sqrt(sum(t * t)), 1e-8)) AS cd, avg((s - t) * (s - t)) AS ms,
-      ln(sum(exp(s / 2.0)) FILTER (d < 3)) AS ls, ln(sum(exp(t / 2.0)) FILTER (d < 3)) AS lt FROM j GROUP BY 1, 2, 3),
-    kl AS (SELECT window_id, frame_idx, sum(exp(t / 2.0 - lt) * ((t / 2.0 - lt) - (s / 2.0 - ls))) * 4.0 AS kl FROM j JOIN q USING (window_id, frame_idx) WHERE d < 3 GROUP BY 1, 2)
+      ln(sum(exp(s / 2.0))) AS ls, ln(sum(exp(t / 2.0))) AS lt FROM j GROUP BY 1, 2, 3),
+    kl AS (SELECT window_id, frame_idx, sum(exp(t / 2.0 - lt) * ((t / 2.0 - lt) - (s / 2.0 - ls))) * 4.0 AS kl FROM j JOIN q USING (window_id, frame_idx) GROUP BY 1, 2)
     SELECT subject, count(*) AS n_pairs, round(avg(cd), 8) AS cosine_distance, round(avg(ms), 8) AS mse, round(avg(kl), 8) AS soft_kl FROM q JOIN kl USING (window_id, frame_idx) GROUP BY subject""",
 )
 def x10(t):
     f = t.frames().select("window_id", "frame_idx", "subject", "px")
     nxt = f.select("window_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("px").alias("px_next"))
-    got = ve.agreement(f.join(nxt, ["window_id", "frame_idx"]), ["subject"], "px", "px_next", 2.0, 3)
+    got = ve.agreement(f.join(nxt, ["window_id", "frame_idx"]), ["subject"], "px", "px_next", 2.0)
     return got.select("subject", "n_pairs", r("cosine_distance"), r("mse"), r("soft_kl"))

@@ -53,7 +53,8 @@ def validate_tasks(
     ``arrays``: (task, array, length, ndim, last_dim). ``attrs``: (task, attr).
     ``stamps``: (task, idx, ts). Missing parts give ``incomplete``; then a wrong rank
     gives ``bad_shape``, unequal lengths ``length_mismatch``, and a median step off by
-    more than the tolerance ``bad_timestamp_step``.
+    more than the tolerance ``bad_timestamp_step``. A task that any of the tables names has a row,
+    also one without arrays.
     """
     required = F.array(*[F.lit(x) for x in REQUIRED_ARRAYS])
     required_attrs = F.array(*[F.lit(x) for x in REQUIRED_ATTRS])
@@ -78,7 +79,9 @@ def validate_tasks(
         stamps, [task], ["idx"], F.floor(F.col("idx") / (1 << 20)) if tile is None else tile, {"_prev": previous(F.col("ts"))}
     ).select(task, (F.col("ts") - F.col("_prev")).alias("_step"))
     medians = exact_quantiles(steps.where(F.col("_step").isNotNull()), [task], "_step", {"timestamp_step_median": 0.5})
-    j = have.join(named, task, "left").join(medians, task, "left")
+    tasks = arrays.select(task).union(attrs.select(task)).union(stamps.select(task)).distinct()
+    j = tasks.join(have, task, "left").join(named, task, "left").join(medians, task, "left")
+    j = j.withColumn("missing_arrays", F.coalesce("missing_arrays", F.lit(",".join(sorted(REQUIRED_ARRAYS)))))
     all_attrs = ",".join(sorted(REQUIRED_ATTRS))
     j = j.withColumn("missing_attrs", F.coalesce("missing_attrs", F.lit(all_attrs)))
     error = F.abs(F.col("timestamp_step_median") - expected_step)

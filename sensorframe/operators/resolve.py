@@ -24,14 +24,11 @@ def map_files(files: DataFrame, mapping: DataFrame, keys: Sequence[str]) -> Data
 
 
 def apply_overrides(mapped: DataFrame, overrides: Sequence[tuple], keys: Sequence[str], value: str, stamp: str, note: str) -> DataFrame:
-    """Fill null ids from a fixed map and stamp where they came from.
-
-    The map is a literal of the caller's code, so broadcasting it is bounded.
-    """
+    """Fill null ids from a fixed map and stamp where they came from."""
     spark = mapped.sparkSession
     schema = ", ".join([f"`{k}` string" for k in keys] + ["`_override` string"])
     table = spark.createDataFrame([tuple(o) for o in overrides], schema)
-    joined = mapped.join(F.broadcast(table), list(keys), "left")
+    joined = mapped.join(table, list(keys), "left")
     used = F.col(value).isNull() & F.col("_override").isNotNull()
     return (
         joined.withColumn(stamp, F.when(used, F.lit(note)).otherwise(F.col(stamp)))

@@ -77,8 +77,7 @@ def compare_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 def evenly_spaced(df: DataFrame, order: Sequence[str], count: int) -> DataFrame:
     """``count`` rows at positions round(linspace(0, n-1, count)), half to even.
 
-    Positions come from dense ids; the wanted ones are ``count`` numbers, so the
-    join broadcasts a table whose size the caller fixed.
+    Positions come from dense ids; the wanted ones are ``count`` numbers.
     """
     placed = dense_ids(df, list(order), "position")
     n = placed.count()
@@ -88,7 +87,7 @@ def evenly_spaced(df: DataFrame, order: Sequence[str], count: int) -> DataFrame:
     i = F.col("id")
     spot = F.bround(i * F.lit(float(n - 1)) / F.lit(float(c - 1)), 0) if c > 1 else F.lit(0)
     wanted = df.sparkSession.range(c).select(spot.cast("long").alias("position")).distinct()
-    return placed.join(F.broadcast(wanted), "position", "left_semi")
+    return placed.join(wanted, "position", "left_semi")
 
 
 def offsets_in_window(df: DataFrame, start: str, end: str, count: int) -> DataFrame:

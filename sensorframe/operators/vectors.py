@@ -177,15 +177,20 @@ def scored_frames(df: DataFrame, value: str, method: str = "shannon", standardis
     return joined.withColumn("info", information_score(zscore(x, F.col("mean"), unit(F.col("std"))), method)).drop("mean", "std")
 
 
-def top_k_frames(df: DataFrame, window: Sequence[str], frame: str, k: int) -> DataFrame:
+def short_windows(df: DataFrame, window: Sequence[str], k: int) -> DataFrame:
+    """Windows with fewer than ``k`` frames and how many they have: the dead letters of ``top_k_frames``."""
+    return df.groupBy(*window).agg(F.count(F.lit(1)).alias("num_frames")).where(F.col("num_frames") < k)
+
+
+def top_k_frames(df: DataFrame, window: Sequence[str], frame: str, k: int, strict: bool = False) -> DataFrame:
     """The ``k`` highest ``info`` frames per window, numbered again in time order.
 
-    Equal scores prefer the later frame; a window with fewer than ``k`` frames is an
-    error. A window holds a bounded number of frames.
+    Equal scores prefer the later frame. A window with fewer than ``k`` frames is left to
+    ``short_windows``, or an error if ``strict``. A window holds a bounded number of frames.
     """
     by_score = Window.partitionBy(*window).orderBy(F.col("info").desc(), F.col(frame).desc())
     rows = df.withColumn("_r", F.row_number().over(by_score)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*window)))
-    short = F.raise_error(F.lit(f"window has fewer than {k} frames"))
+    short = F.raise_error(F.lit(f"window has fewer than {k} frames")) if strict else F.lit(None)
     rows = rows.withColumn("_r", F.when(F.col("_n") >= k, F.col("_r")).otherwise(short.cast("int"))).where(F.col("_r") <= k)
     in_time = Window.partitionBy(*window).orderBy(frame)
     return rows.withColumn("slot", F.row_number().over(in_time) - 1).drop("_r", "_n")
@@ -214,10 +219,13 @@ def robust_scale(df: DataFrame, window: Sequence[str], value: str, signed: bool)
     ).drop("_lo", "_hi")
 
 
-def agreement(pairs: DataFrame, keys: Sequence[str], left: str, right: str, temperature: float = 2.0, logits: int | None = None) -> DataFrame:
-    """Mean cosine distance, mean squared difference and tempered KL over paired vectors."""
+def agreement(pairs: DataFrame, keys: Sequence[str], left: str, right: str, temperature: float = 2.0, logits: tuple[str, str] | None = None) -> DataFrame:
+    """Mean cosine distance, mean squared difference and tempered KL over paired vectors.
+
+    The KL is taken over the whole vectors, or over the two columns ``logits`` names.
+    """
     a, b = doubles(F.col(left)), doubles(F.col(right))
-    la, lb = (F.slice(a, 1, logits), F.slice(b, 1, logits)) if logits else (a, b)
+    la, lb = (doubles(F.col(c)) for c in logits) if logits else (a, b)
     return pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.avg(cosine_distance(a, b)).alias("cosine_distance"),

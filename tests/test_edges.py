@@ -194,7 +194,8 @@ def test_top_k_ties_and_too_few(spark):
     assert rows(vectors.top_k_frames(df, ["w"], "f", 3).select("f", "slot")) == [(0, 0), (3, 1), (4, 2)]
     assert vectors.top_k_frames(df, ["w"], "f", 5).count() == 5
     with pytest.raises(Exception, match="fewer than 6"):
-        vectors.top_k_frames(df, ["w"], "f", 6).collect()
+        vectors.top_k_frames(df, ["w"], "f", 6, strict=True).collect()
+    assert vectors.top_k_frames(df, ["w"], "f", 6).count() == 0 and rows(vectors.short_windows(df, ["w"], 6)) == [(1, 5)]
 
 
 def test_constant_dimension_and_fallback(spark):
