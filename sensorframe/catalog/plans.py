@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from sensorframe.catalog.metrics import RUN, _r
 from sensorframe.catalog.registry import query
 from sensorframe.catalog.segments import CALM, RUNS_SQL, STRESS, TILE_ROWS
+from sensorframe.catalog.vectors import DIMS_SQL, SUMMED, summed
 from sensorframe.plans.audit import audit_report
+from sensorframe.plans.selection import selected_windows
 from sensorframe.plans.task_frames import aligned_task_frames
 
 HOUR = 3_600_000_000
@@ -56,3 +58,16 @@ def aligned(t):
 def strategy_report(t):
     _, _, deltas = audit_report(t.predictions(), RUN)
     return deltas.select(*RUN, "strategy", *_r([c for c in deltas.columns if c.endswith("_delta")], 6))
+
+
+@query(
+    "e2e_selected_frames",
+    f"""WITH {DIMS_SQL}, st AS (SELECT d, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS s FROM dims GROUP BY d),
+    z AS (SELECT window_id, frame_idx, d, abs((v - m) / s) AS a FROM dims JOIN st USING (d)), n AS (SELECT window_id, frame_idx, sqrt(sum(a * a)) AS l2 FROM z GROUP BY 1, 2),
+    i AS (SELECT window_id, frame_idx, -sum((a / (l2 + 1e-8)) * ln(a / (l2 + 1e-8) + 1e-10)) AS info FROM z JOIN n USING (window_id, frame_idx) GROUP BY 1, 2),
+    c AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY info DESC, frame_idx DESC) AS k, count(*) OVER (PARTITION BY window_id) AS n FROM i)
+    SELECT window_id, {SUMMED} FROM (SELECT window_id, d, avg(v) AS v FROM dims JOIN c USING (window_id, frame_idx) WHERE k <= 5 AND n >= 5 GROUP BY window_id, d) GROUP BY window_id""",
+)
+def selected(t):
+    _, pooled, _ = selected_windows(t.frames(), ["window_id"], "frame_idx", "px", 5)
+    return summed(pooled, "window_id")
