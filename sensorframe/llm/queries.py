@@ -135,7 +135,43 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents"))
 
 
-@query("op3_mixing")
+@query(
+    "op3_mixing",
+    r"""
+    WITH RECURSIVE f AS (
+      SELECT doc_id, source, coalesce('=' || source, 'null') AS s, coalesce(CAST(doc_id AS VARCHAR), 'null') AS d,
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS tokens FROM documents),
+    g AS (SELECT s, CAST(sum(tokens) AS BIGINT) AS every, count(*) AS n FROM f GROUP BY s HAVING sum(tokens) > 0),
+    p AS (SELECT *, every / CAST((SELECT sum(every) FROM g) AS DOUBLE) AS share FROM g),
+    b(i, lo, hi, l) AS (
+      SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), (SELECT list(share) FROM p)
+      UNION ALL
+      SELECT i + 1, CASE WHEN most > 2 THEN mid ELSE lo END, CASE WHEN most > 2 THEN hi ELSE mid END, l
+      FROM (SELECT i, lo, hi, l, (lo + hi) / 2 AS mid,
+              list_max(list_transform(l, lambda x: pow(x, (lo + hi) / 2) / x)) / list_sum(list_transform(l, lambda x: pow(x, (lo + hi) / 2))) AS most FROM b WHERE i < 42)),
+    t AS (SELECT CASE WHEN 1 / (len(l) * list_min(l)) <= 2 THEN 0 ELSE hi END AS t FROM b WHERE i = 42),
+    q0 AS (SELECT s, every, n, pow(share, t) AS w FROM p, t),
+    q1 AS (SELECT s, every, greatest(CAST(round(w * ((SELECT sum(every) FROM g) / (SELECT sum(w) FROM q0))) AS BIGINT), 1) AS quota, (n + 511) // 512 AS blocks FROM q0),
+    q AS (SELECT *, quota // every AS whole, quota % every AS rest FROM q1),
+    d AS (
+      SELECT f.*, q.every, q.quota, q.whole, q.rest, CAST('0x' || substr(md5('17|' || f.s || '|' || d), 1, 12) AS BIGINT) % blocks AS block,
+        CAST('0x' || substr(md5('17|place|' || f.s || '|' || d), 1, 12) AS BIGINT) AS spot FROM f JOIN q USING (s)),
+    k0 AS (SELECT s, block, whole, rest, sum(tokens) AS tokens FROM d GROUP BY ALL),
+    k1 AS (SELECT *, sum(tokens) OVER (PARTITION BY s ORDER BY CAST('0x' || substr(md5('17|turn|' || s || '|' || block || '|' || whole), 1, 12) AS BIGINT), block) - tokens AS before FROM k0),
+    k AS (SELECT *, greatest(least(rest - before, tokens), 0) AS take FROM k1),
+    c0 AS (
+      SELECT d.s, d.block, d.spot, k.take, coalesce(sum(d.tokens) OVER (PARTITION BY d.s, d.block ORDER BY d.spot RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS drawn
+      FROM d JOIN k ON k.s = d.s AND k.block = d.block WHERE k.take > 0 AND k.take < k.tokens),
+    c AS (SELECT s, block, max(spot) AS cut FROM c0 WHERE drawn < take GROUP BY s, block),
+    r AS (
+      SELECT d.doc_id, d.source, d.block, d.every, d.quota, k.before,
+        d.whole + CASE WHEN d.spot <= CASE WHEN k.take <= 0 THEN -1 WHEN k.take < k.tokens THEN coalesce(c.cut, -1) ELSE 281474976710656 END THEN 1 ELSE 0 END AS copies
+      FROM d JOIN k ON k.s = d.s AND k.block = d.block LEFT JOIN c ON c.s = d.s AND c.block = d.block),
+    e AS (SELECT *, unnest(range(copies)) AS epoch FROM r WHERE copies > 0)
+    SELECT doc_id, source, CAST(epoch AS BIGINT) AS mix_epoch, CAST(block AS BIGINT) AS mix_block,
+      least(CAST(epoch * every + before AS DOUBLE) / CAST(quota AS DOUBLE), 1.0) AS mix_place FROM e
+    """,
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens spent again on evened-out sources: none repeats more than twice."""
     mixed = mix_sources(_read(spark, sf_dir, "documents"), budget="total", most_repeats=2.0)
