@@ -23,8 +23,12 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-_GOOD = "blog news docs wiki library school museum garden recipes weather science history travel maps forum code research health archive thering onedre bakery cinema theatre lessons".split()
-_BAD = "cheap-pills spam-farm casino-bonus free-money adult-video xxx-cams payday-loans replica-watch viagra-shop poker-online crack-keygen click-bait bet-slots hot-singles miracle-diet fake-followers phish-login torrent-warez escort-girls lottery-win ad-server ads-network banner-ads click-tracker pixel-tracking".split()
+_GOOD = (
+    "blog news docs wiki library school museum garden recipes weather science history travel maps forum code research health archive bakery cinema theatre "
+    "lessons something everything within thinking thistle northern southern another feather gathering father brother nation station motion notion tension "
+    "therapy theory thanks there their that whether rather estate harbour render ender thread thesis athens than hinter inner outer earth"
+).split()
+_BAD = "cheap-pills spam-farm casino-bonus free-money adult-video xxx-cams payday-loans replica-watch viagra-shop poker-online crack-keygen click-bait bet-slots hot-singles miracle-diet fake-followers phish-login torrent-warez escort-girls lottery-win ad-server ads-network banner-ads click-tracker pixel-tracking adult-club adult-xx".split()
 
 
 def labelled_urls() -> list[tuple[str, int]]:
