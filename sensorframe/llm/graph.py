@@ -19,24 +19,19 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
         large = both.join(least, "a").where("b > a and b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a")
-        small = small.select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
-        after = materialise(small.select("e.a", "e.b").where("a <> b").distinct())
+        moves = F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))
+        small = large.join(least, "a").select(F.explode(moves).alias("e"))
+        before, now = now, materialise(small.select("e.a", "e.b").where("a <> b").distinct())
+        release(before)
         # A fixed point is a set of stars: every node hangs on one root and no root hangs on another.
-        roots = after.groupBy("a").agg(F.count("*").alias("n"))
-        open_ends = roots.where("n > 1").limit(1).count() or after.select("b").distinct().join(after.select(F.col("a").alias("b")), "b").limit(1).count()
-        if before is not None:
-            release(before)
-        before, now = now, after
-        if not open_ends:
-            release(before)
+        roles = now.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up")))).alias("r"))
+        seen = roles.groupBy("r.n").agg(F.sum("r.up").alias("parents"), F.min("r.up").alias("least"))
+        if seen.where("parents > 1 or parents = 1 and least = 0").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )

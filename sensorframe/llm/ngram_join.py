@@ -163,6 +163,21 @@ def _of_pairs(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFra
     return x.join(y, ["a", "b"]).select("a", "b", *(f"x_{c}" for c in columns), *(f"y_{c}" for c in columns))
 
 
+def _bound(x: str, y: str, percent: int) -> str:
+    """The bounds from sizes and from parity bitmaps, on columns with the prefixes ``x`` and ``y``."""
+    n, m = f"{x}n_shingles", f"{y}n_shingles"
+    differ = " + ".join(f"bit_count({x}s{i} ^ {y}s{i})" for i in range(BITMAP))
+    sizes = f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+    # overlap <= (n + m - differ) / 2 and union = n + m - overlap
+    return f"{sizes} and {100 + percent} * ({n} + {m} - ({differ})) >= {2 * percent} * ({n} + {m})"
+
+
+def _bounded(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Those of the stored pairs (a, b) that pass the bounds from sizes, bitmaps and wide bitmaps."""
+    met = _of_pairs(pairs, facts, ["n_shingles", *(f"s{i}" for i in range(BITMAP))]).where(_bound("x_", "y_", percent))
+    return _refined(materialise(met.select("a", "b")), facts, percent)
+
+
 def _refined(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Those of the stored pairs (a, b) that also pass the bound from wide bitmaps, where both members have one."""
 
@@ -250,41 +265,38 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = materialise(_verified(pairs, sets, percent))
     same = own.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     if not many.isEmpty():
-        links = _star_rounds(links, many, sets, percent)
-        member = many.join(_labels(many, links), "doc_id")
-        pairs = _refined(materialise(_plausible(member, facts, bits, percent)), facts, percent)
-        links = links.unionByName(_verified(pairs, sets, percent))
+        label, found = _star_rounds(many, facts, sets, percent)
+        pairs = _refined(materialise(_plausible(many.join(label, "doc_id"), facts, bits, percent)), facts, percent)
+        links = links.unionByName(found).unionByName(_verified(pairs, sets, percent))
     found = components(links.unionByName(same))
     return own.join(found.withColumnRenamed("node", "first"), "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
 
 
-def _labels(member: DataFrame, links: DataFrame) -> DataFrame:
-    """Component of each member under the links found so far."""
-    found = components(links).withColumnRenamed("node", "doc_id")
-    return member.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
-
-
-def _star_rounds(links: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links plus those found by trying, per shingle and component, one member against one of the lowest component.
+def _star_rounds(member: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, comp) after star rounds, and the links (a, b) found: documents with one comp are connected by them.
 
-    Members are picked anew each turn. How many turns run decides only how many pairs are left for the full test.
+    Each turn tries, per component, one member against one of a lower component that it shares a shingle with, and a
+    component whose try links takes the lower one's name. Members are picked anew each turn. How many turns run decides only
+    how many pairs are left for the full test.
     """
-    turn = 0
+    label = materialise(member.select("doc_id", F.col("doc_id").alias("comp")).distinct())
+    links, turn = None, 0
     while True:
-        now = materialise(_labels(member, links))
         pick = F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("doc_id")
-        one = member.join(now, "doc_id").groupBy("shingle", "comp").agg(pick)
+        one = member.join(label, "doc_id").groupBy("shingle", "comp").agg(pick)
         hub = one.groupBy("shingle").agg(F.min_by(F.struct("comp", "doc_id"), "comp").alias("h"))
-        tries = one.join(hub, "shingle").where("comp > h.comp").groupBy("comp", F.col("doc_id").alias("a"), F.col("h.doc_id").alias("b")).count()
-        tries = tries.groupBy("comp").agg(F.max_by(F.struct("a", "b"), F.struct("count", F.xxhash64("a", "b", F.lit(turn)))).alias("p")).select("p.a", "p.b")
-        tries = materialise(tries)
-        good = materialise(_verified(tries, sets, percent))
+        tries = one.join(hub, "shingle").where("comp > h.comp").groupBy("comp", F.col("doc_id").alias("a"), F.col("h.doc_id").alias("b"), F.col("h.comp").alias("to")).count()
+        best = F.max_by(F.struct("a", "b", "to"), F.struct("count", F.xxhash64("a", "b", F.lit(turn)))).alias("p")
+        tries = materialise(tries.groupBy("comp").agg(best).select("comp", "p.a", "p.b", "p.to"))
+        good = materialise(_verified(_bounded(tries.select("a", "b"), facts, percent), sets, percent))
         n_tried, n_good = tries.count(), good.count()
-        release(tries, now)
-        links = links.unionByName(good)
+        links = good if links is None else links.unionByName(good)
+        if n_good:
+            moved = tries.join(good, ["a", "b"]).select("comp", "to")
+            label = materialise(label.join(moved, "comp", "left").select("doc_id", F.coalesce("to", "comp").alias("comp")))
         turn += 1
         if n_good <= WORTH * n_tried:
-            return links
+            return label, links
 
 
 def _plausible(member: DataFrame, facts: DataFrame, bits: list[str], percent: int) -> DataFrame:
@@ -300,12 +312,6 @@ def _plausible(member: DataFrame, facts: DataFrame, bits: list[str], percent: in
     columns = ("doc_id", "comp", "n_shingles", "band", *bits)
     b = member.select("tile", "shingle", "main", *(F.col(c).alias(f"b_{c}") for c in columns))
     a = member.where("comp <> main").select("tile", "shingle", *(F.col(c).alias(f"a_{c}") for c in columns))
-    differ = " + ".join(f"bit_count(a_{s} ^ b_{s})" for s in bits)
-    bound = (
-        f"a_comp <> b_comp and (b_comp = main or a_doc_id < b_doc_id) and tile = least(a_band, b_band) "
-        f"and 100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles) "
-        # overlap <= (a + b - differ) / 2 and union = a + b - overlap
-        f"and {100 + percent} * (a_n_shingles + b_n_shingles - ({differ})) >= {2 * percent} * (a_n_shingles + b_n_shingles)"
-    )
+    bound = f"a_comp <> b_comp and (b_comp = main or a_doc_id < b_doc_id) and tile = least(a_band, b_band) and {_bound('a_', 'b_', percent)}"
     met = a.join(b, ["tile", "shingle"]).where(bound)
     return met.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
