@@ -176,7 +176,9 @@ def nearest(
     columns = ["tab", "bucket", "chunk", "side", "id", "vector"]
     both = held.withColumn("side", F.lit(0)).select(*columns).unionByName(sent.withColumn("side", F.lit(1)).select(*columns))
     best = both.groupBy("tab", "bucket", "chunk").applyInArrow(lambda t: _best(t, k), "query_id long, best array<struct<less:double,vec_id:long>>")
-    merged = best.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+    # Each table gives a vector once at most, so the first k * tables hold the k best.
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k * tables)
+    merged = best.groupBy("query_id").agg(first.alias("best")).withColumn("best", F.slice(F.array_distinct("best"), 1, k))
     ranked = materialise(merged.select("query_id", F.posexplode("best").alias("at", "b")))
     release(placed)
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", (-F.col("b.less")).alias("score"))
