@@ -267,12 +267,16 @@ def t2(t):
 @query(
     "w13_reserve_baseline",
     f"""WITH {WIN_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY subject, task ORDER BY start_row) AS k, count(*) FILTER (task = 'calm') OVER (PARTITION BY subject) AS nb FROM win)
-    SELECT subject, task, start_row FROM r WHERE nb >= 3 AND NOT (task = 'calm' AND k <= 3)""",
+    SELECT subject, task, start_row, CASE WHEN task = 'calm' AND k <= 3 THEN 'reserved' ELSE 'rest' END AS part FROM r WHERE nb >= 3
+    UNION ALL SELECT subject, NULL, any_value(nb), 'dropped' FROM r WHERE nb < 3 GROUP BY subject""",
 )
 def w13(t):
     w = windows(t).withColumn("wid", F.concat_ws("-", "subject", "start_row"))
-    _, rest = win.reserve_baseline(w, "subject", "task", "calm", ["start_row"], "wid", 3)
-    return rest.select("subject", "task", "start_row")
+    reserved, rest = win.reserve_baseline(w, "subject", "task", "calm", ["start_row"], "wid", 3)
+    short = win.short_baselines(w, "subject", "task", "calm", 3)
+    parts = [d.select("subject", "task", "start_row", F.lit(n).alias("part")) for d, n in ((reserved, "reserved"), (rest, "rest"))]
+    short = short.select("subject", F.lit(None).cast("string").alias("task"), F.col("num_baseline_windows").alias("start_row"), F.lit("dropped").alias("part"))
+    return parts[0].unionByName(parts[1]).unionByName(short)
 
 
 @query(

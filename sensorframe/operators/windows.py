@@ -298,8 +298,8 @@ def reserve_baseline(
 ) -> tuple[DataFrame, DataFrame]:
     """First ``k`` baseline windows per subject, and the other windows of those subjects.
 
-    Subjects with fewer than ``k`` baseline windows leave both results. The rank
-    filter lets Spark keep only ``k`` rows per subject before the shuffle.
+    Subjects with fewer than ``k`` baseline windows leave both results; ``short_baselines`` lists
+    them. The rank filter lets Spark keep only ``k`` rows per subject before the shuffle.
     """
     first = windows.where(F.col(task) == baseline).withColumn(
         "_rank", F.row_number().over(Window.partitionBy(subject).orderBy(*order))
@@ -312,6 +312,12 @@ def reserve_baseline(
     return reserved, rest.select(*windows.columns)
 
 
+def short_baselines(windows: DataFrame, subject: str, task: str, baseline: str, k: int) -> DataFrame:
+    """Subjects that ``reserve_baseline`` drops, with the number of baseline windows they have."""
+    found = F.count_if(F.col(task) == baseline)
+    return windows.groupBy(subject).agg(found.alias("num_baseline_windows")).where(F.col("num_baseline_windows") < k)
+
+
 def trailing_context(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], length: int, tile: Column) -> DataFrame:
     """Last ``length`` rows up to each row, one row per slot; missing slots are absent.
 

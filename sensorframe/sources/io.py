@@ -107,8 +107,11 @@ def boundaries_long(df: DataFrame, ids: Sequence[str], tasks: Sequence[str], abs
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> None:
-    """Parquet partitioned by key columns."""
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Parquet partitioned by key columns.
+
+    Rows are gathered by these keys first, so a folder gets few files; a large key is split by AQE and never meets in one task.
+    """
+    df.hint("rebalance", *by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
