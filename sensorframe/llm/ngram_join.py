@@ -243,11 +243,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     own = signed.select("doc_id", "n_shingles", "f1", "f2").join(firsts, ["f1", "f2"], "left")
     own = materialise(own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("first")))
 
-    # One sender per distinct set: the row that gave the set its first doc_id.
+    # One sender per distinct set: a row that gave the set its first doc_id; of rows that repeat it, one.
     bits = [f"s{i}" for i in range(BITMAP)]
     senders = signed.where("n_shingles > 0").join(firsts.withColumnRenamed("first", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
+    senders = senders.dropDuplicates(["f1", "f2", "doc_id"])
     group = Window.partitionBy("shingle")
-    sent = senders.select("doc_id", F.explode("sent").alias("shingle"))
+    # A doc_id with several texts sends a shingle once: a second one would cancel the first in the marks.
+    sent = senders.select("doc_id", F.explode("sent").alias("shingle")).repartition("shingle").dropDuplicates(["doc_id", "shingle"])
     marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).over(group).alias(f"g{i}") for i in (0, 1)]
     shared = materialise(sent.select("doc_id", "shingle", F.count("*").over(group).alias("n"), *marks).where("n > 1"))
     # Shingles with the same members lead to the same pairs: one of them is enough.

@@ -104,3 +104,25 @@ def test_groups_of_long_texts(spark, monkeypatch):
         rows.append((d, " ".join(w + [f"t{i}" for i in range(rng.choice([0, 0, 10, 40]))])))
     got = jaccard_components(table(spark, rows)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain.groups(rows)
+
+
+def near_copies(*ends):
+    """Texts of 41 words: 40 by name and one at the end, so that those of one name are near copies."""
+    return [(d, " ".join([f"{name}{i}" for i in range(40)] + [end])) for d, name, end in ends]
+
+
+@pytest.mark.parametrize("large", [64, 1])
+def test_near_copies_with_every_row_doubled(spark, monkeypatch, large):
+    """Repeated rows leave no trace in the marks by which shingles with equal members are told."""
+    monkeypatch.setattr(ngram_join, "LARGE", large)
+    rows = near_copies((1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, "b", "y"), (5, "c", "x"), (6, "c", "y"))
+    got = jaccard_components(table(spark, rows * 2)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain.groups(rows * 2)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
+def test_near_copies_of_an_id_with_several_texts(spark):
+    """Documents 8 and 9 each have two near copies of a text of document 1: none cancels the other in the marks."""
+    rows = near_copies((1, "a", "x"), (9, "a", "y"), (9, "a", "z"), (1, "b", "x"), (8, "b", "y"), (8, "b", "z"))
+    got = jaccard_components(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain.groups(rows)
