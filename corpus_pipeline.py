@@ -1,7 +1,7 @@
 """From raw documents to packed token sequences, in five stages that each read what the one before kept.
 
 1. ``quality``: documents that the quality rules or the classifier reject go.
-2. ``near_duplicates``: of each group of near duplicates the document with the smallest id stays.
+2. ``near_duplicates``: of each group of near duplicates the document with the smallest id stays; documents without id count too.
 3. ``pii``: personal data is replaced by its kind in the text.
 4. ``mixing``: sources are evened out by temperature. Nothing clean is lost: every document is drawn at least once,
    documents of small sources up to 1.5 times on average.
@@ -39,10 +39,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows that repeat it, one."""
-    found = jaccard_components(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group: that with the smallest id, then the smallest hash of the row.
+
+    Rows are grouped by their own text, whatever their id. A row without id is a document as well: it goes if it is near
+    to one with an id or, of rows without, to one with a smaller hash. Rows that repeat an id with other texts are different
+    documents, and each that is near to no other stays; of rows equal in all columns one stays. Rows are told apart by id
+    and a 64-bit hash.
+    """
+    # Nulls do not enter a hash, so that their places are hashed too.
+    docs = docs.withColumn("row_key", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+    found = jaccard_components(docs, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    stay = docs.select("row_key", "doc_id").join(found, "row_key").groupBy("component_id").agg(F.min(order).alias("s")).select("s.row_key")
+    return docs.join(stay, "row_key", "left_semi").dropDuplicates(["row_key", "doc_id"]).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,3 +211,20 @@ def test_pipeline_against_plain_loops(spark, monkeypatch):
     assert sum(r.length for r in packed) == total and {r.doc_id for r in packed} == want
     whole = corpus_pipeline.run(spark, SF_DIR)
     assert sum(r.length for r in whole.collect()) == total
+
+
+def test_near_duplicates_keep_documents_without_id_or_with_a_repeated_one(spark):
+    """Of each group of texts one row stays, whatever the ids; the same rows in another order give the same result."""
+    text = lambda name, end="x": " ".join([f"{name}{i}" for i in range(40)] + [end])
+    rows = [(None, text("a")), (None, text("b")), (None, text("b", "y")), (None, text("c")), (4, text("c", "y")), (4, text("d")), (4, text("e")), (2, text("e", "y")), (4, text("d")), (1, text("f")), (3, text("f", "y"))]
+    near = corpus_pipeline.near_duplicates
+
+    def kept(rows):
+        docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return Counter((r.doc_id, r.text) for r in near(spark, docs, SF_DIR).collect())
+
+    got = kept(rows)
+    assert got == kept(rows[::-1])
+    either = [(None, text("b")), (None, text("b", "y"))]
+    assert sum(got[r] for r in either) == 1
+    assert got - Counter(either) == Counter([(None, text("a")), (4, text("c", "y")), (4, text("d")), (2, text("e", "y")), (1, text("f"))])
