@@ -228,3 +228,41 @@ def test_near_duplicates_keep_documents_without_id_or_with_a_repeated_one(spark)
     either = [(None, text("b")), (None, text("b", "y"))]
     assert sum(got[r] for r in either) == 1
     assert got - Counter(either) == Counter([(None, text("a")), (4, text("c", "y")), (4, text("d")), (2, text("e", "y")), (1, text("f"))])
+
+
+@pytest.mark.parametrize("norms", ["equal", "one of 5", "one of 100", "uneven"])
+def test_neighbours_with_production_settings(spark, norms, monkeypatch):
+    """Recall against brute force over weak clusters, and no query that returns short, in several chunks and parts."""
+    monkeypatch.setattr("sensorframe.llm.neighbours.CHUNK", 20)
+    rng = np.random.default_rng(7)
+    x = 0.5 * rng.normal(size=(40, 64))[rng.integers(0, 40, 1000)] + rng.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "uneven":
+        x *= np.exp(0.8 * rng.normal(size=(1000, 1)))
+    elif norms != "equal":
+        x[501] *= int(norms.split()[-1])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nearest(frame, "vec_id % 20 = 0").collect():
+        got[r.query_id].add(r.vec_id)
+    assert len(got) == 50 and {len(v) for v in got.values()} == {20}
+    hits = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found & set(np.argsort(-score)[:20].tolist()))
+    assert hits / 1000 >= 0.9
+
+
+def test_neighbours_of_queries_that_meet_few(spark):
+    """One probe of many cells meets next to nothing: such queries still have the best 20."""
+    x = np.random.default_rng(8).normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest(frame, "vec_id % 100 = 0", tables=1, hashes=8, probes=1, width=0.1).orderBy("rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 600, 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert got[q] == np.argsort(-score)[:20].tolist()
