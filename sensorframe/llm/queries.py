@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.llm.html_text import extract_text
 from sensorframe.llm.licenses import scan_licenses
+from sensorframe.llm.manifest import build_manifest, digest, field, fold, proof_digest
 from sensorframe.llm.mixing import mix_sources
 from sensorframe.llm.neighbours import nearest
 from sensorframe.llm.ngram_join import jaccard_components
@@ -176,3 +177,61 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens spent again on evened-out sources: none repeats more than twice."""
     mixed = mix_sources(_read(spark, sf_dir, "documents"), budget="total", most_repeats=2.0)
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
+
+
+#: Unsigned crc32 of a decimal number's text ``{}``, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+
+
+def _leaf_sql(text: str) -> str:
+    names = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in names) + ")"
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE d AS (
+      SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS g, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {CRC32.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS forged FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM d),
+    t(g, lvl, i, h, m) AS (
+      SELECT g, 0, i, leaf, m FROM r
+      UNION ALL SELECT g, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((m + 2) // 3) FROM t WHERE m > 1 GROUP BY g, lvl, i // 3),
+    s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM t WHERE m = 1),
+    u(lvl, i, h, m) AS (
+      SELECT 0, i, subroot, m FROM s
+      UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((m + 2) // 3) FROM u WHERE m > 1 GROUP BY lvl, i // 3),
+    ts AS (
+      SELECT a.g, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+      FROM t a JOIN t b ON a.g = b.g AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.m > 1 GROUP BY ALL),
+    us AS (
+      SELECT a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+      FROM u a JOIN u b ON a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.m > 1 GROUP BY ALL),
+    f(id, g, lvl, i, cur, proof) AS (
+      SELECT id, g, 0, i, forged, '' FROM r
+      UNION ALL SELECT f.id, f.g, f.lvl + 1, f.i // 3, sha256(ts.l || f.cur || ts.r), f.proof || ts.l || ts.r FROM f JOIN ts ON ts.g = f.g AND ts.lvl = f.lvl AND ts.i = f.i),
+    e AS (SELECT id, g, arg_max(cur, lvl) AS cur, arg_max(proof, lvl) AS proof FROM f GROUP BY id, g),
+    v(id, lvl, i, cur, proof) AS (
+      SELECT e.id, 0, s.i, e.cur, e.proof FROM e JOIN s ON s.g = e.g
+      UNION ALL SELECT v.id, v.lvl + 1, v.i // 3, sha256(us.l || v.cur || us.r), v.proof || us.l || us.r FROM v JOIN us ON us.lvl = v.lvl AND us.i = v.i),
+    w AS (SELECT id, arg_max(cur, lvl) AS folded, arg_max(proof, lvl) AS proof FROM v GROUP BY id)
+    SELECT d.doc_id, d.leaf, s.subroot, u.h AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = u.h AS verified
+    FROM d JOIN s ON s.g = d.g JOIN w ON w.id = d.id JOIN u ON u.m = 1
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, and which rows verify once the line breaks of every second one are gone."""
+    docs = _read(spark, sf_dir, "documents")
+
+    def leaf(text):
+        return digest(*[field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)])
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    forged = F.when(tampered, leaf(F.replace("text", F.lit("\n"), F.lit("")))).otherwise(leaf(F.col("text")))
+    rows = build_manifest(docs, leaf(F.col("text")), F.col("source"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "_forged": forged})
+    folded = rows.withColumn("folded_root", fold(F.col("_forged"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
