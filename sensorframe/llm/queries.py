@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from sensorframe.llm.ngram_join import jaccard_components
 from sensorframe.llm.packing import pack
 from sensorframe.llm.pii import find_spans
 from sensorframe.llm.quality import judge_quality, train_quality
+from sensorframe.llm.runs import periodic_runs
 from sensorframe.llm.substring import drop_repeats
 from sensorframe.llm.tagger import KINDS
 from sensorframe.llm.urls import judge_urls
@@ -179,6 +181,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
 
 
+def plant(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth document by the crc32 of its id repeats one of its phrases to its end; null ids stay as they are."""
+    if doc_id is None or not words:
+        return words
+    g, tenth = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if tenth:
+        return words
+    a, n = g % len(words), len(words)
+    phrase = words[a : a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (phrase * (-(-(n - a) // len(phrase))))[: n - a]
+
+
 #: Unsigned crc32 of a decimal number's text ``{}``, bit by bit.
 CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
         lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
@@ -235,3 +249,62 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select(
         "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
     )
+
+
+def _runs_sql(levels: int = 20) -> str:
+    """Runs by equal grams: inside a run of period d a gram of d to 3 d words occurs again exactly d words on."""
+    out = ["g0 AS MATERIALIZED (SELECT id, i, dense_rank() OVER (ORDER BY w) AS c FROM x)"]
+    for k in range(1, levels):
+        out.append(
+            f"g{k} AS MATERIALIZED (SELECT id, i, dense_rank() OVER (ORDER BY c, e) AS c FROM "
+            f"(SELECT *, lead(c, {1 << (k - 1)}) OVER (PARTITION BY id ORDER BY i) AS e FROM g{k - 1}) WHERE e IS NOT NULL)"
+        )
+    for k in range(levels):
+        out.append(
+            f"m{k} AS (SELECT id, i, j - i AS d, {1 << k} AS g FROM (SELECT id, i, lead(i) OVER (PARTITION BY id, c ORDER BY i) AS j FROM g{k}) "
+            f"WHERE j - i <= {1 << k} AND {1 << k} <= 3 * (j - i))"
+        )
+    return ",\n    ".join(out)
+
+
+@query(
+    "op11_periodic_runs",
+    f"""
+    WITH d AS (
+      SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+        {CRC32.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+    p0 AS (SELECT id, doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, h // 10 AS g, (h // 10) % greatest(len(ws), 1) AS a FROM d),
+    p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM p0),
+    x AS MATERIALIZED (
+      SELECT id, i, ws[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS w
+      FROM (SELECT *, unnest(range(n)) AS i FROM p WHERE n > 0)),
+    {_runs_sql()},
+    m AS (SELECT *, i - row_number() OVER (PARTITION BY id, g, d ORDER BY i) AS isle FROM ({" UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(20))})),
+    r AS (
+      SELECT DISTINCT id, s, l, d FROM (SELECT id, min(i) AS s, count(*) + d + g - 1 AS l, d FROM m GROUP BY id, g, d, isle)
+      WHERE l >= greatest(6, 4 * d)),
+    gone AS (SELECT DISTINCT id, unnest(range(s + d, s + l)) AS i FROM r),
+    k AS (SELECT x.id, string_agg(x.w, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN gone ON gone.id = x.id AND gone.i = x.i GROUP BY x.id),
+    a AS (SELECT id, count(*) AS n, string_agg(s || ',' || l || ',' || d || chr(10), '' ORDER BY s, d) AS listed FROM r GROUP BY id),
+    b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY l DESC, s, d) = 1)
+    SELECT p.doc_id, coalesce(a.n, 0) AS n_runs, b.s AS start, b.l AS length, b.d AS period, 1000 * b.l // b.d AS exponent_milli,
+      sha256(coalesce(a.listed, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+    FROM p LEFT JOIN a ON a.id = p.id LEFT JOIN b ON b.id = p.id LEFT JOIN k ON k.id = p.id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of six words and four periods or more in every document, a tenth of which repeats a phrase to its end."""
+    found = periodic_runs(_read(spark, sf_dir, "documents"), rewrite=plant)
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length as length, r.start as start, r.period as period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    top = found.select("doc_id", "runs", "collapsed", longest.alias("top"), listed.alias("listed"))
+    return top.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        (-F.col("top.length")).alias("length"),
+        "top.period",
+        F.expr("1000 * -top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.encode("listed", "utf-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"),
+    )
