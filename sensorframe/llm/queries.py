@@ -19,6 +19,7 @@ from sensorframe.llm.pii import find_spans
 from sensorframe.llm.quality import judge_quality, train_quality
 from sensorframe.llm.runs import periodic_runs
 from sensorframe.llm.substring import drop_repeats
+from sensorframe.llm.suffixes import drop_repeated_bytes
 from sensorframe.llm.tagger import KINDS
 from sensorframe.llm.urls import judge_urls
 
@@ -308,3 +309,29 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("listed", "utf-8"), 256).alias("runs_sha256"),
         F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op13_suffix_dedup",
+    """
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    w AS MATERIALIZED (
+      SELECT id, i, md5(b[i:i + 399]) AS h FROM (SELECT id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
+    r AS MATERIALIZED (SELECT id, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+    s0 AS (SELECT *, lag(i) OVER (PARTITION BY id ORDER BY i) AS p FROM r),
+    s1 AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS span FROM s0),
+    s AS (SELECT id, span, min(i) AS a, max(i) + 399 AS z FROM s1 GROUP BY id, span),
+    k0 AS (SELECT id, a, coalesce(lag(z) OVER (PARTITION BY id ORDER BY a), 0) + 1 AS f FROM s
+           UNION ALL SELECT id, max(octet_length(b)) + 1, coalesce(max(z), 0) + 1 FROM d LEFT JOIN s USING (id) GROUP BY id),
+    k AS (SELECT k0.id, unhex(string_agg(hex(b[f:a - 1]), '' ORDER BY f)) AS kept FROM k0 JOIN d ON d.id = k0.id AND a > f GROUP BY k0.id),
+    c AS (SELECT id, count(*) AS n, CAST(sum(z - a + 1) AS BIGINT) AS gone FROM s GROUP BY id)
+    SELECT d.doc_id, octet_length(d.b) AS n_bytes, coalesce(c.gone, 0) AS n_removed, coalesce(c.n, 0) AS n_spans,
+      sha256(coalesce(k.kept, encode(''))) AS kept_sha256
+    FROM d LEFT JOIN c USING (id) LEFT JOIN k USING (id)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that start elsewhere too."""
+    kept = drop_repeated_bytes(_read(spark, sf_dir, "documents"))
+    removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.length)").alias("n_removed")
+    return kept.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
