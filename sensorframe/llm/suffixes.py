@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.store import materialise
+from sensorframe.llm.store import materialise, release
 from sensorframe.llm.words import mix, numbers
 
 #: Bytes under the hash that places cuts and minimisers.
@@ -65,7 +65,7 @@ class Bytes:
         self.total = np.zeros(n, np.uint64)
         np.cumsum(self.value[data] * self.power[: n - 1], out=self.total[1:])
 
-    def ranges(self, start: np.ndarray, length: int) -> np.ndarray:
+    def ranges(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         return mix((self.total[start + length] - self.total[start]) * self.inverse[start])
 
     def grams(self) -> np.ndarray:
@@ -182,21 +182,24 @@ def _holder(length: int):
 
 
 def _letters(length: int):
-    """Per region: starts and names of its letters, digests of what all windows of a letter share and of all they hold."""
+    """Per region: starts and names of its letters, hashes of what all windows of a letter share, digests of all they hold.
+
+    Names and hashes only bring suffixes together; what decides that windows agree is the digest.
+    """
     shared = length - SPACING
 
     def letters(batches):
         for batch in batches:
             columns = [[] for _ in range(4)]
             for data in _texts(batch.column(1)):
-                at = cuts(data)
-                raw, n = data.tobytes(), len(data)
-                ends = np.append(at[1:], n).tolist()
-                at = at.tolist()
-                columns[0].append(at)
-                columns[1].append([_number(raw[a:b]) for a, b in zip(at, ends)])
-                columns[2].append([_number(raw[a : a + shared]) if a + shared <= n else None for a in at])
-                columns[3].append([_number(raw[a : b + length - 1]) ^ (b - a) if b + length - 1 <= n else None for a, b in zip(at, ends)])
+                at, raw, n = cuts(data), data.tobytes(), len(data)
+                ends = np.append(at[1:], n)
+                hashed = Bytes(data)
+                inside = at[at + shared <= n]
+                columns[0].append(at.astype(np.int32))
+                columns[1].append(hashed.ranges(at, ends - at).view(np.int64) if len(at) else at)
+                columns[2].append(hashed.ranges(inside, shared).view(np.int64) if len(inside) else inside)
+                columns[3].append([_number(raw[a : b + length - 1]) ^ (b - a) if b + length - 1 <= n else None for a, b in zip(at.tolist(), ends.tolist())])
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds)]], ["region", "at", "letter", "shared", "held"])
 
@@ -242,8 +245,8 @@ def _placer(n_keys: int):
     return place
 
 
-def _places(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """region, k, less and less0: how many rows have a smaller key, and how many of those are ``first``.
+def _places(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Stored per region, in the order of k: how many rows have a smaller key (``name``_less), and how many of those are ``first`` (``name``_less0).
 
     The sort goes on by region and k, so equal keys may lie in several partitions; what a run of equal keys at a
     partition's head takes over from the partitions before follows from one stored row per partition.
@@ -261,12 +264,15 @@ def _places(rows: DataFrame, keys: list[str]) -> DataFrame:
         open_key, before, before0 = last, before + p.less, before0 + p.less0
     starts = rows.sparkSession.createDataFrame(offsets, "part int, before long, before0 long, at long, at0 long")
     joined = placed.where(F.col("k").isNotNull()).join(F.broadcast(starts), "part")
-    return joined.select(
+    found = joined.select(
         "region",
         "k",
         F.when(F.col("head"), F.col("at")).otherwise(F.col("before") + F.col("less")).alias("less"),
         F.when(F.col("head"), F.col("at0")).otherwise(F.col("before0") + F.col("less0")).alias("less0"),
     )
+    listed = materialise(_listed(found, name, "less", "less0"))
+    release(placed)
+    return listed
 
 
 def _listed(placed: DataFrame, name: str, *values: str) -> DataFrame:
@@ -299,13 +305,14 @@ def suffix_places(letters: DataFrame) -> DataFrame:
             keys = [_get("name_less", f"{sampled} + {d * 2 * 3 ** (level - 1)}") for d in range(3)]
             rows = _exploded(letters.join(names, "region"), "1, 2")
         rows = rows.select("region", "k", *[key.alias(f"c{i}") for i, key in enumerate(keys)], F.lit(0).alias("first"))
-        names = materialise(_listed(_places(rows, ["c0", "c1", "c2"]), "name", "less"))
+        before, names = names, _places(rows, ["c0", "c1", "c2"], "name")
+        release(*([before] if before is not None else []))
     known = materialise(letters.join(names, "region", "left"))
+    release(names)
     first = F.expr("cast(k % 3 = 0 as int)").alias("first")
     one = _exploded(known, "0, 1").select("region", "k", _get("letter", "k").alias("c0"), _get("name_less", "k - floor((k + 1) / 3)").alias("c1"), first)
     two = _exploded(known, "0, 2").select("region", "k", _get("letter", "k").alias("c0"), _get("letter", "k + 1").alias("c1"), _get("name_less", "k + 1 - floor((k + 2) / 3)").alias("c2"), first)
-    one = _listed(_places(one, ["c0", "c1"]), "one", "less", "less0")
-    two = _listed(_places(two, ["c0", "c1", "c2"]), "two", "less", "less0")
+    one, two = _places(one, ["c0", "c1"], "one"), _places(two, ["c0", "c1", "c2"], "two")
     met = known.join(one, "region", "left").join(two, "region", "left")
     # Of letters 0, 1, 2 of three, ``one`` lists 0 and 1, ``two`` 0 and 2, the names 1 and 2, each in order.
     place = """transform(letter, (c, k) -> case k % 3
@@ -401,16 +408,17 @@ def repeated_spans(regions: DataFrame, length: int) -> DataFrame:
 def _remover(batches):
     for batch in batches:
         spans, kept = [], []
-        for data, whole, starts, found in zip(_texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+        for data, whole, starts, found in zip(_texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
             if whole is not None:
                 spans.append([])
                 kept.append(whole)
                 continue
             edge = np.zeros(len(data) + 1, np.int32)
-            for place, part in zip(starts, found):
-                for s in part or ():
-                    edge[place + s["start"]] += 1
-                    edge[min(place + s["end"], len(data))] -= 1
+            for place, part in zip(np.asarray(starts.values), found.values):
+                if part.is_valid:
+                    start, end = (np.asarray(part.values.field(c)) for c in ("start", "end"))
+                    np.add.at(edge, place + start, 1)
+                    np.add.at(edge, np.minimum(place + end, len(data)), -1)
             gone = np.cumsum(edge[:-1]) > 0
             bounds = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
             start, end = np.flatnonzero(bounds == 1), np.flatnonzero(bounds == -1)
@@ -438,6 +446,7 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400, doc_id: str = "doc_i
     marked = marks.join(again, "mark", "left_semi").groupBy("key").agg(F.collect_set("mark").alias("marks"))
     held = rows.join(marked, "key", "left").select("doc_id", "text", "marks").mapInArrow(_holder(length), _HELD.format(kind))
     held = materialise(held.withColumn("row", F.monotonically_increasing_id()))
+    release(marks)
     parts = held.where("whole is null").select("row", "body", F.posexplode(F.arrays_zip("starts", "lengths", "digests")).alias("nth", "p"))
     bodies = parts.select(F.col("p.digests").alias("digest"), F.expr("substring(body, p.starts + 1, p.lengths)").alias("body"))
     regions = bodies.groupBy("digest").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
