@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from sensorframe.catalog.metrics import RUN, _r
+from sensorframe.catalog.metrics import RUN
+from sensorframe.catalog.models import AUDIT_SQL
 from sensorframe.catalog.registry import query
 from sensorframe.catalog.segments import CALM, RUNS_SQL, STRESS, TILE_ROWS
 from sensorframe.catalog.vectors import DIMS_SQL, SUMMED, summed
+from sensorframe.operators.metrics import METRICS
 from sensorframe.plans.audit import audit_report
 from sensorframe.plans.selection import selected_windows
 from sensorframe.plans.task_frames import aligned_task_frames
@@ -54,10 +56,18 @@ def aligned(t):
     )
 
 
-@query("e2e_strategy_report")
+_RUN = ", ".join(RUN)
+
+
+@query(
+    "e2e_strategy_report",
+    f"""WITH RECURSIVE {AUDIT_SQL}, m AS (SELECT {_RUN}, strategy, {", ".join(f"avg({m}) AS {m}" for m in METRICS)} FROM au WHERE split = 'test' GROUP BY {_RUN}, strategy)
+    SELECT {_RUN}, a.strategy, {", ".join(f"round(a.{m} - b.{m}, 6) + 0.0 AS {m}_mean_delta" for m in METRICS)}
+    FROM m a JOIN m b USING ({_RUN}) WHERE a.strategy <> 'current_saved_threshold' AND b.strategy = 'current_saved_threshold'""",
+)
 def strategy_report(t):
-    _, _, deltas = audit_report(t.predictions(), RUN)
-    return deltas.select(*RUN, "strategy", *_r([c for c in deltas.columns if c.endswith("_delta")], 6))
+    _, _, deltas = audit_report(t.predictions(), RUN, digits=9)
+    return deltas.select(*RUN, "strategy", *[(F.round(c, 6) + 0.0).alias(c) for c in deltas.columns if c.endswith("_delta")])
 
 
 @query(

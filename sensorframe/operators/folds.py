@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe.functions.scalars import hash_unit
@@ -71,22 +71,35 @@ def stratified_split(
     return ranked.withColumn("split", split).drop("_h", "_r", "_n")
 
 
-def balanced_resample(df: DataFrame, row_id: str, label: str, seed: int = 42) -> DataFrame:
+def balanced_resample(df: DataFrame, row_id: str, label: str, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """As many draws with replacement as rows, each label equally likely.
 
     Weights of 1/n_label mean: pick a label evenly, then a position in it evenly. A
     draw therefore joins on (label, position), a unique key, instead of a range over
     cumulative weights. Every input row yields one draw, so the count is exact. Labels are numbered
     in a table of their own, so there may be any number of them; rows with a null label are never drawn.
+    With ``keys`` (folds, say) every group is drawn from by itself, with draws of its own.
     """
+    keys = list(keys)
     base = df.withColumn("_h", F.md5(F.col(row_id).cast("string")))
-    placed = ordered_scan(base, [label], ["_h", row_id], _hash_tile("_h"), {"_pos": row_position()}).drop("_h")
-    labels = materialise(dense_ids(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_size")), [label], "_slot"))
-    n_labels = labels.count()
-    slot = F.floor(hash_unit(F.lit(seed), F.lit("label"), F.col("draw_id")) * n_labels).cast("long")
-    draws = lookup_join(df.select(F.col(row_id).alias("draw_id")).withColumn("_slot", slot), labels, ["_slot"], "inner", salt_on=["draw_id"])
-    at = F.floor(hash_unit(F.lit(seed), F.lit("row"), F.col("draw_id")) * F.col("_size")) + 1
-    return draws.select("draw_id", label, at.cast("long").alias("_pos")).join(placed, [label, "_pos"], "inner").drop("_pos")
+    placed = ordered_scan(base, [*keys, label], ["_h", row_id], _hash_tile("_h"), {"_pos": row_position()}).drop("_h")
+    sizes = df.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_size"))
+    known = [F.lit(seed), *[F.col(k) for k in keys]]
+    if keys:
+        # One row per group and label; a group's labels are numbered by how many come before.
+        whole = Window.partitionBy(*keys)
+        labels = sizes.withColumn("_slot", (F.row_number().over(whole.orderBy(label)) - 1).cast("long")).withColumn("_labels", F.count(F.lit(1)).over(whole))
+        counts = labels.where("_slot = 0").select(*keys, "_labels")
+        rows = lookup_join(df.select(*keys, F.col(row_id).alias("draw_id")), counts, keys, "inner", salt_on=["draw_id"])
+        n_labels = F.col("_labels")
+        labels = labels.drop("_labels")
+    else:
+        labels = materialise(dense_ids(sizes, [label], "_slot"))
+        rows, n_labels = df.select(F.col(row_id).alias("draw_id")), F.lit(labels.count())
+    slot = F.floor(hash_unit(known[0], F.lit("label"), *known[1:], F.col("draw_id")) * n_labels).cast("long")
+    draws = lookup_join(rows.withColumn("_slot", slot), labels, [*keys, "_slot"], "inner", salt_on=["draw_id"])
+    at = F.floor(hash_unit(known[0], F.lit("row"), *known[1:], F.col("draw_id")) * F.col("_size")) + 1
+    return draws.select(*keys, "draw_id", label, at.cast("long").alias("_pos")).join(placed, [*keys, label, "_pos"], "inner").drop("_pos")
 
 
 def split_overlap(table: DataFrame, subject: str) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Probes, search, per-fold evaluation and normalisation comparison on Spark ML."""
+"""Probes, search, per-fold evaluation and normalisation comparison."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +12,9 @@ from sensorframe.functions.scalars import above
 from sensorframe.operators.folds import balanced_resample
 from sensorframe.operators.metrics import best_threshold, confusion_table, metric_table, ranking_metrics
 from sensorframe.operators.ordered import lookup_join
+from sensorframe.operators.probes import LinearFits, fit_linear, fit_networks, linear_score, linear_weights, network_scores
 from sensorframe.operators.vectors import population_standardise
+from sensorframe.session import materialise, release
 
 
 def apply_val_threshold(preds: DataFrame, fold: Sequence[str], split: str, label: str, score: str) -> DataFrame:
@@ -35,76 +36,69 @@ def evaluate_folds(preds: DataFrame, fold: Sequence[str], split: str, label: str
     return counts.join(ranking_metrics(preds, keys, label, score), keys)
 
 
-def _weighted(df: DataFrame, counted: DataFrame, label: str) -> DataFrame:
-    """Balanced class weights as a column; two counts come to the driver."""
-    n0, n1 = counted.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
-    total = n0 + n1
-    return df.withColumn(
-        "_weight", F.when(F.col(label) == 1, F.lit(total / (2.0 * max(n1, 1)))).otherwise(F.lit(total / (2.0 * max(n0, 1))))
-    )
-
-
 def standardise(train: DataFrame, rows: DataFrame, features: str, eps: float = 1e-4) -> DataFrame:
     """Z-score rows by the training rows' per-dimension mean and population std."""
     return population_standardise(rows, train, features, eps)
 
 
-def linear_probe(
-    df: DataFrame, folds: Sequence[int], features: str, label: str, fold: str = "fold_id", split: str = "split", reg: float = 0.0, iterations: int = 100
-) -> DataFrame:
-    """Logistic regression per fold on standardised vectors with balanced weights; scores for all splits."""
-    parts = []
-    for k in folds:
-        rows = df.where(F.col(fold) == k)
-        scaled = standardise(rows.where(F.col(split) == "train"), rows, features).withColumn("_x", array_to_vector(features))
-        train = _weighted(scaled.where(F.col(split) == "train"), rows.where(F.col(split) == "train"), label)
-        model = LogisticRegression(
-            featuresCol="_x", labelCol=label, weightCol="_weight", standardization=False, regParam=reg, maxIter=iterations
-        ).fit(train)
-        parts.append(_scored(model.transform(scaled)))
-    return _union(parts)
+def _train(df: DataFrame, folds: Sequence[int], features: str, label: str, fold: str, split: str) -> DataFrame:
+    """Training rows of the folds, stored: every step of a fit reads them."""
+    own = df.where(F.col(fold).isin(*folds) & (F.col(split) == "train"))
+    return materialise(own.where(F.col(label).isin(0, 1) & F.col(features).isNotNull()).select(fold, label, features))
 
 
-def mlp_probe(
-    df: DataFrame, folds: Sequence[int], features: str, label: str, row_id: str, hidden: int = 8, fold: str = "fold_id", split: str = "split", seed: int = 42, iterations: int = 50
-) -> DataFrame:
-    """One-hidden-layer network per fold, trained on label-balanced resampled rows."""
-    parts = []
-    for k in folds:
-        rows = df.where(F.col(fold) == k)
-        scaled = standardise(rows.where(F.col(split) == "train"), rows, features).withColumn("_x", array_to_vector(features))
-        train = scaled.where(F.col(split) == "train").select(row_id, label, "_x")
-        drawn = balanced_resample(train, row_id, label, seed + k)
-        width = len(scaled.select(features).first()[0])
-        model = MultilayerPerceptronClassifier(
-            featuresCol="_x", labelCol=label, layers=[width, hidden, 2], maxIter=iterations, seed=seed
-        ).fit(drawn)
-        parts.append(_scored(model.transform(scaled)))
-    return _union(parts)
+def _score_linear(df: DataFrame, fits: LinearFits, grid: int, features: str, fold: str) -> DataFrame:
+    weights = linear_weights(df.sparkSession, fits, fold, df.schema[fold].dataType.simpleString()).where(F.col("grid") == grid)
+    # One row per fold.
+    return df.join(F.broadcast(weights.select(fold, "w", "b")), fold).withColumn("score", linear_score(features)).drop("w", "b")
 
 
-def _scored(out: DataFrame) -> DataFrame:
-    return out.withColumn("score", vector_to_array("probability")[1]).drop("_x", "_weight", "rawPrediction", "probability", "prediction")
+def linear_probe(
+    df: DataFrame, folds: Sequence[int], features: str, label: str, fold: str = "fold_id", split: str = "split", reg: float = 0.0, iterations: int = 40
+) -> DataFrame:
+    """Logistic regression per fold on standardised vectors with balanced weights; scores for all splits.
+
+    All folds are fitted together, one pass a step, while the DataFrame is being built; scoring is lazy.
+    """
+    train = _train(df, folds, features, label, fold, split)
+    fits = fit_linear(train, [reg], features, label, fold, iterations)
+    release(train)
+    return _score_linear(df.where(F.col(fold).isin(*folds)), fits, 0, features, fold)
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def mlp_probe(
+    df: DataFrame, folds: Sequence[int], features: str, label: str, row_id: str, hidden: int = 8, fold: str = "fold_id", split: str = "split", seed: int = 42, iterations: int = 60
+) -> DataFrame:
+    """One-hidden-layer network per fold, trained on label-balanced resampled rows; all folds in one pass a step."""
+    own = df.where(F.col(fold).isin(*folds))
+    rows = own.where((F.col(split) == "train") & F.col(features).isNotNull()).select(fold, row_id, label, features)
+    drawn = materialise(balanced_resample(rows, row_id, label, seed, [fold]).select(fold, label, features))
+    facts, weights = fit_networks(drawn, features, label, hidden, fold, seed, iterations)
+    release(drawn)
+    return network_scores(own, facts, weights, features, hidden, fold)
 
 
 def search_then_evaluate(
     df: DataFrame, folds: Sequence[int], features: str, label: str, grid: Sequence[dict], fold: str = "fold_id", split: str = "split"
 ) -> tuple[dict, DataFrame]:
-    """Choose parameters on the first fold's validation split, then score every fold with them."""
-    best, best_value = grid[0], float("-inf")
-    for params in grid:
-        preds = linear_probe(df, folds[:1], features, label, fold, split, **params)
-        value = best_threshold(preds.where(F.col(split) == "val"), [fold], label, "score").first()["best_score"]
-        if value > best_value:
-            best, best_value = params, value
-    return best, linear_probe(df, folds, features, label, fold, split, **best)
+    """Choose the penalty on the first fold's validation split, then score every fold with it.
+
+    All folds and all grid points (``reg`` of each) are fitted in the same passes; the choice is one more job. Ties take the earlier point.
+    """
+    train = _train(df, folds, features, label, fold, split)
+    fits = fit_linear(train, [float(g["reg"]) for g in grid], features, label, fold)
+    release(train)
+    best = int(np.argmax([-1.0 if v is None else v for v in grid_quality(df, fits, folds[0], features, label, fold, split)]))
+    return grid[best], _score_linear(df.where(F.col(fold).isin(*folds)), fits, best, features, fold)
+
+
+def grid_quality(df: DataFrame, fits: LinearFits, first: int, features: str, label: str, fold: str = "fold_id", split: str = "split") -> list[float | None]:
+    """Best validation balanced accuracy on one fold, per grid point."""
+    weights = linear_weights(df.sparkSession, fits, fold, df.schema[fold].dataType.simpleString())
+    val = df.where((F.col(fold) == first) & (F.col(split) == "val")).select(fold, label, features)
+    scored = val.join(F.broadcast(weights), fold).select("grid", label, linear_score(features).alias("score"))
+    found = {r["grid"]: r["best_score"] for r in best_threshold(scored, ["grid"], label, "score").collect()}
+    return [found.get(g) for g in range(len(fits.grid))]
 
 
 def compare_normalisation(
@@ -125,7 +119,6 @@ def score_frames(
 
     Batches follow ``spark.sql.execution.arrow.maxRecordsPerBatch``; keys pass through.
     """
-    import numpy as np
     import pandas as pd
 
     schema = ", ".join([f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys] + [f"`{out}` array<float>"])

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe.functions.scalars import binary_label, is_whole
 from sensorframe.operators.ordered import (
     ROWS_PER_TILE,
-    Scan,
-    group_first,
-    last_valid,
     ordered_scan,
     previous,
     row_position,
@@ -23,18 +20,47 @@ from sensorframe.session import materialise
 
 
 def mark_runs(
-    df: DataFrame, keys: Sequence[str], row: str, label: str, tile: Column | None = None, extra: dict[str, Scan] | None = None
+    df: DataFrame, keys: Sequence[str], row: str, label: str, tile: Column | None = None, first_known: Column | None = None
 ) -> DataFrame:
     """Add ``pos`` (1-based row in the group) and ``run_start`` (pos where the row's run began).
 
-    ``extra`` scans ride along on the first pass.
+    One ordered scan: inside its tile a row knows its place and where the label last changed. A tile sends on its first and
+    last label, its length and its last change; running over these summaries, a tile whose first label is the last
+    one of the tile before continues that tile's open run, else it begins its own. Rows before a tile's first
+    change take that start. ``first_known`` adds ``_first``, its first non-null value in the group.
     """
-    tile = row_tile(row) if tile is None else tile
+    cell = [*keys, "_tile"]
+    tiled = df.withColumn("_tile", row_tile(row) if tile is None else tile)
+    for c in cell:
+        tiled = tiled.where(F.col(c).isNotNull())
+    fwd = Window.partitionBy(*cell).orderBy(row)
+    upto = fwd.rowsBetween(Window.unboundedPreceding, 0)
     text = F.coalesce(F.col(label), F.lit(""))
-    step = ordered_scan(df, keys, [row], tile, {"_prev": previous(text), "pos": row_position(), **(extra or {})})
-    opens = F.col("_prev").isNull() | (F.col("_prev") != text)
-    runs = ordered_scan(step, keys, [row], tile, {"run_start": last_valid(F.when(opens, F.col("pos")))})
-    return runs.drop("_prev")
+    known = F.lit(None) if first_known is None else first_known
+    local = tiled.select("*", F.row_number().over(fwd).cast("long").alias("_place"), F.lag(text).over(fwd).alias("_prev"), F.lead(F.lit(1)).over(fwd).alias("_more"))
+    local = local.withColumn("_change", F.last(F.when(F.col("_prev") != text, F.col("_place")), ignorenulls=True).over(upto))
+    ends = local.select(
+        *cell, "_place", "_change", "_more", text.alias("_last"), F.first(text).over(upto).alias("_head"), F.first(known, ignorenulls=True).over(upto).alias("_known")
+    ).where(F.col("_more").isNull())
+    tiles = Window.partitionBy(*keys).orderBy("_tile")
+    before = tiles.rowsBetween(Window.unboundedPreceding, -1)
+    whole = tiles.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = ends.select(
+        "*",
+        F.coalesce(F.sum("_place").over(before), F.lit(0)).alias("_offset"),
+        F.coalesce(F.lag("_last").over(tiles) == F.col("_head"), F.lit(False)).alias("_goes_on"),
+        F.first("_known", ignorenulls=True).over(whole).alias("_first"),
+    )
+    own = F.coalesce(F.col("_offset") + F.col("_change"), F.when(~F.col("_goes_on"), F.col("_offset") + 1))
+    sums = sums.withColumn("_open", F.last(own, ignorenulls=True).over(before))
+    carries = sums.select(*cell, "_offset", F.when(F.col("_goes_on"), F.col("_open")).otherwise(F.col("_offset") + 1).alias("_start"), "_first")
+    placed = local.join(carries, cell).select(
+        *df.columns,
+        (F.col("_offset") + F.col("_place")).alias("pos"),
+        F.coalesce(F.col("_offset") + F.col("_change"), F.col("_start")).alias("run_start"),
+        "_first",
+    )
+    return placed.drop("_first") if first_known is None else placed
 
 
 def run_summary(
@@ -76,7 +102,7 @@ def task_segments(
     negatives, positives = tuple(negatives), tuple(positives)
     slim = df.select(*keys, row, label, time)
     tile = row_tile(row, tile_rows)
-    marked = mark_runs(slim, keys, row, label, tile, {"_first": group_first(F.col(time))})
+    marked = mark_runs(slim, keys, row, label, tile, F.col(time))
     target = marked.where(F.col(label).isin(*negatives, *positives))
     segs = target.groupBy(*keys, F.col(label).alias("task_id"), "run_start").agg(
         (F.min("pos") - 1).alias("imu_start_row"), F.max("pos").alias("imu_end_row_exclusive"), F.first("_first").alias("_first")

@@ -19,6 +19,7 @@ from sensorframe.functions.arrays import (
     zscore,
 )
 from sensorframe.operators.ordered import lookup_join
+from sensorframe.operators.quantiles import exact_quantiles
 
 __all__ = ["zscore"]
 
@@ -199,20 +200,19 @@ def top_k_frames(df: DataFrame, window: Sequence[str], frame: str, k: int, stric
 def robust_scale(df: DataFrame, window: Sequence[str], value: str, signed: bool) -> DataFrame:
     """Scale a window's pixels to [0, 1] by its own exact percentiles.
 
-    A window's pixels are bounded by its frame count and frame size.
+    Percentiles come from refined histograms, so a window of any number of frames and pixels spreads over tasks. Null and
+    non-finite pixels do not count; a window without any has no scale and keeps null pixels.
     """
-    long = long_form(df, window, value)
-    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != F.lit(float("inf")))
-    v = F.when(finite, F.col("v"))
+    finite = F.filter(doubles(F.col(value)), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     if signed:
-        stats = long.groupBy(*window).agg(F.percentile(F.abs(v), F.lit(0.98)).alias("_p"))
-        joined = df.join(stats, list(window))
+        long = df.select(*window, F.explode(finite).alias("_px"))
+        stats = exact_quantiles(long, window, F.abs("_px"), {"_p": 0.98})
+        joined = df.join(stats, list(window), "left")
         return joined.withColumn(value, F.transform(doubles(F.col(value)), lambda x: signed_unit(x, F.col("_p")))).drop("_p")
-    inked = F.when(F.abs(v) > 0, v)
-    stats = long.groupBy(*window).agg(
-        F.coalesce(F.percentile(inked, F.lit(0.02)), F.min(v)).alias("_lo"),
-        F.coalesce(F.percentile(inked, F.lit(0.98)), F.max(v)).alias("_hi"),
-    )
+    inked = df.select(*window, F.explode(F.filter(finite, lambda x: F.abs(x) > 0)).alias("_px"))
+    bounds = exact_quantiles(inked, window, "_px", {"_lo": 0.02, "_hi": 0.98})
+    plain = df.groupBy(*window).agg(F.min(F.array_min(finite)).alias("_min"), F.max(F.array_max(finite)).alias("_max"))
+    stats = plain.join(bounds, list(window), "left").select(*window, F.coalesce("_lo", "_min").alias("_lo"), F.coalesce("_hi", "_max").alias("_hi"))
     joined = df.join(stats, list(window))
     return joined.withColumn(
         value, F.transform(doubles(F.col(value)), lambda x: range_unit(x, F.col("_lo"), F.col("_hi")))

@@ -12,11 +12,11 @@ from sensorframe.operators.metrics import METRICS, fold_aggregates, leaderboard,
 from sensorframe.session import materialise
 
 
-def audit_report(preds: DataFrame, run: Sequence[str], fold: str = "fold_id", split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
+def audit_report(preds: DataFrame, run: Sequence[str], fold: str = "fold_id", split: str = "test", digits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calibrators per fold, ranked summary per run and strategy, and deltas against the saved thresholds."""
     keys = [*run, fold]
     calibrators = materialise(calibrator_table(preds, keys))
-    per_fold = audit_metrics(audit_predictions(preds, keys, calibrators), keys)
+    per_fold = audit_metrics(audit_predictions(preds, keys, calibrators, digits=digits), keys)
     summary = materialise(fold_aggregates(per_fold.where(F.col("split") == split), [*run, "strategy"], METRICS, fold))
     means = [f"{m}_mean" for m in METRICS]
     deltas = None
