@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -23,23 +24,28 @@ from pyspark.sql import functions as F
 
 #: Words of the cache's younger half; the older half is as large at most.
 CACHED = 250_000
+#: Text whose words are looked up, and whose new words are encoded, at once.
+TEXT_BYTES = 2 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
     """Token ids of whole texts as packed unsigned 32-bit values, by way of a bounded cache of words.
 
-    The tokenizer never joins anything over white space, so a text's ids are those of its words in turn. New words of
-    letters are encoded together, cut at the tokens that end a word; all others one by one.
+    The tokenizer never joins anything over white space, so a text's ids are those of its words in turn. The new words of
+    some megabytes of text are encoded together where they are letters, cut at the tokens that end a word; others one by one.
     """
 
     #: Letters, then signs of ASCII but the apostrophe: two parts that are always encoded apart.
     PARTS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@[-`{-~]*)")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Lower-case letters need no normalising and no pattern: white space parts them already.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -52,12 +58,14 @@ class WordIds:
     @staticmethod
     def _plain(word: bytes) -> bytes | None:
         """The word as the tokenizer sees it, if that is one run of letters whose lower case is beyond doubt."""
+        if word.isascii():
+            return word.lower()
         s = word.decode("utf-8", "replace")
         if s.isalpha() and is_normalized("NFC", s) and "\u03a3" not in s and "\u0130" not in s:
             return s.lower().encode()
         return None
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: Iterable[bytes]) -> None:
         young, old = self.young, self.old
         plain: set[bytes] = set()
         parted = []
@@ -67,16 +75,21 @@ class WordIds:
             elif w.isalpha() and w.islower():
                 plain.add(w)
             elif (m := self.PARTS.fullmatch(w)) and (head := self._plain(m[1])):
-                parted.append((w, head, m[2]))
+                tail = m[2]
+                parted.append((w, head, tail))
                 if head not in young:
-                    plain.add(head)
-                if m[2] not in young:
-                    young[m[2]] = self._encode(m[2].decode())
+                    if (known := old.get(head)) is not None:
+                        young[head] = known
+                    else:
+                        plain.add(head)
+                if tail not in young:
+                    young[tail] = self._encode(tail.decode())
             else:
                 young[w] = self._encode(w.decode("utf-8", "replace"))
         if plain:
             rows = list(plain)
-            ids = np.array(self.tokenizer.encode(b" ".join(rows).decode(), add_special_tokens=False).ids, np.uint32)
+            found = self.letters.encode_batch_fast([b" ".join(rows).decode()], add_special_tokens=False)
+            ids = np.array(found[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(rows) and cuts[-1] == len(ids):
                 packed, from_ = ids.tobytes(), 0
@@ -88,30 +101,31 @@ class WordIds:
         for w, head, tail in parted:
             young[w] = young[head] + young[tail]
 
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of some texts, whose new words are learnt in one go."""
+        # A special token is one only as it stands, before any change of case.
+        whole = {i: self._encode(t.decode("utf-8", "replace")) for i, t in enumerate(texts) if b"<|" in t}
+        words = [() if i in whole else (t.lower() if t.isascii() else t).split() for i, t in enumerate(texts)]
+        every = set(chain.from_iterable(words))
+        missing = every.difference(self.young)
+        if len(self.young) + len(missing) > CACHED and self.young:
+            self.old, self.young, missing = self.young, {}, every
+        self._learn(missing)
+        known = self.young.__getitem__
+        return [whole[i] if i in whole else b"".join(map(known, w)) for i, w in enumerate(words)]
+
     def __call__(self, text: bytes) -> bytes:
-        if b"<|" in text:  # a special token is one only as it stands, before any change of case
-            return self._encode(text.decode("utf-8", "replace"))
-        if text.isascii():
-            text = text.lower()
-        words = text.split()
-        ids = list(map(self.young.get, words))
-        if None in ids:
-            missing = {w for w, known in zip(words, ids) if known is None}
-            if len(self.young) + len(missing) > CACHED and self.young:
-                self.old, self.young = self.young, {}
-            self._learn(missing)
-            ids = [self.young[w] if known is None else known for w, known in zip(words, ids)]
-        return b"".join(ids)
+        return self.many([text])[0]
 
 
-def word_ids(path: str) -> WordIds:
-    """The process's own tokenizer and cache. It stays on the imported library between the tasks of a worker."""
-    import tokenizers
+_KEPT: dict[str, WordIds] = {}
 
-    kept = vars(tokenizers).setdefault("_word_ids_by_path", {})
-    if path not in kept:
-        kept[path] = WordIds(path)
-    return kept[path]
+
+def word_ids(path: str) -> WordIds:
+    """The process's own tokenizer and cache; it stays between the tasks of a worker."""
+    if path not in _KEPT:
+        _KEPT[path] = WordIds(path)
+    return _KEPT[path]
 
 
 class Packer:
@@ -224,12 +238,24 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, max
     """
     end = np.uint32(end_id).tobytes()
 
+    def texts(batches):
+        keys, held, size = [], [], 0
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys.append(key)
+                held.append(value.as_buffer().to_pybytes() if value.is_valid else b"")
+                size += len(held[-1])
+                if size >= TEXT_BYTES:
+                    yield keys, held
+                    keys, held, size = [], [], 0
+        yield keys, held
+
     def run(batches):
         words = word_ids(tokenizer)
         packer = Packer(size, max_open, TaskContext.get().partitionId() << 40)
-        for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(key, (words(value.as_buffer().to_pybytes()) if value.is_valid else b"") + end)
+        for keys, held in texts(batches):
+            for key, ids in zip(keys, words.many(held)):
+                packer.add(key, ids + end)
                 if len(packer.closed) >= 4096:
                     yield from packer.drain()
         packer.finish()
