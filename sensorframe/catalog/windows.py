@@ -92,8 +92,7 @@ FEATURES_SQL = WIN_SQL + """, long AS (
 
 def features(t):
     s = segmented(t).withColumn("magnitude", F.sqrt(F.col("acc0") ** 2 + F.col("acc1") ** 2 + F.col("acc2") ** 2))
-    covered = win.assign_windows(s, "p", WINDOW, STRIDE)
-    return win.window_features(covered, ["subject", "run_start", "window_no"], "p", ["acc0", "acc1", "magnitude"], WINDOW)
+    return win.pane_features(s, ["subject", "run_start"], "p", ["acc0", "acc1", "magnitude"], WINDOW, STRIDE)
 
 
 # n_above/below are left out of the hash: they depend on the last bit of a mean.

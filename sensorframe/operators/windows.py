@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,11 +117,132 @@ def window_features(df: DataFrame, window_keys: Sequence[str], pos: str, signals
         got = got.withColumn(name, F.col("_pct")[i])
     got = got.withColumn("iqr", F.col("p75") - F.col("p25"))
 
-    def tidy(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x).alias(c)
+    return got.select(*keys, *[_tidy(c) for c in FEATURES])
 
-    return got.select(*keys, *[tidy(c) for c in FEATURES])
+
+#: Rows from which a pane is worth its own reduction.
+PANE_ROWS = 16
+
+
+def _pane(window: int, stride: int) -> int:
+    """Rows of a pane: every window and every stride is a whole number of panes."""
+    return gcd(window, stride)
+
+
+def _moments(v: str) -> list[Column]:
+    """Count, mean and the sums of the second to fourth powers of the deviations from it."""
+    n, var = F.count(v), F.var_pop(v)
+    return [
+        n.cast("double").alias("n"),
+        F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"),
+        F.coalesce(var * n, F.lit(0.0)).alias("m2"),
+        F.coalesce(F.when(var > 0, F.skewness(v) * n * F.pow(var, F.lit(1.5))), F.lit(0.0)).alias("m3"),
+        F.coalesce(F.when(var > 0, (F.kurtosis(v) + 3.0) * n * var * var), F.lit(0.0)).alias("m4"),
+    ]
+
+
+def _merged(parts: Column) -> Column:
+    """Moments of several panes together."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "m2", "m3", "m4")])
+
+    def both(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        d = b["mean"] - a["mean"]
+        u = d / n
+        joint = F.struct(
+            n.alias("n"),
+            (a["mean"] + u * b["n"]).alias("mean"),
+            (a["m2"] + b["m2"] + d * u * a["n"] * b["n"]).alias("m2"),
+            (a["m3"] + b["m3"] + d * u * u * a["n"] * b["n"] * (a["n"] - b["n"]) + 3.0 * u * (a["n"] * b["m2"] - b["n"] * a["m2"])).alias("m3"),
+            (
+                a["m4"]
+                + b["m4"]
+                + d * u * u * u * a["n"] * b["n"] * (a["n"] * a["n"] - a["n"] * b["n"] + b["n"] * b["n"])
+                + 6.0 * u * u * (a["n"] * a["n"] * b["m2"] + b["n"] * b["n"] * a["m2"])
+                + 4.0 * u * (a["n"] * b["m3"] - b["n"] * a["m3"])
+            ).alias("m4"),
+        )
+        return F.when(b["n"] == 0, a).when(a["n"] == 0, F.struct(*[b[c].alias(c) for c in ("n", "mean", "m2", "m3", "m4")])).otherwise(joint)
+
+    return F.aggregate(parts, zero, both)
+
+
+def _at(values: Column, p: float) -> Column:
+    """Linearly interpolated quantile of a sorted array; null if it is empty."""
+    pos = F.lit(p) * (F.size(values) - 1)
+    lo, hi = F.get(values, F.floor(pos).cast("int")), F.get(values, F.ceil(pos).cast("int"))
+    return F.when(F.size(values) > 0, lo + (hi - lo) * (pos - F.floor(pos)))
+
+
+def pane_features(df: DataFrame, segment: Sequence[str], pos: str, signals: Sequence[str], window: int, stride: int) -> DataFrame:
+    """The features of ``window_features`` for all full windows of ``window`` rows, every ``stride`` rows of a segment.
+
+    Rows are reduced once, in panes of the greatest length that divides window and stride: moments, extremes, sign changes
+    and a sorted run of values per signal. A window merges its panes, so no row is copied for each window and signal; what is sent on
+    is one row per pane and window. ``pos`` counts a segment's rows from 0 without gaps.
+    """
+    g = _pane(window, stride)
+    cell = [*segment, "_pane"]
+    order = Window.partitionBy(*cell).orderBy(pos)
+    rows = df.select(*segment, pos, F.floor(F.col(pos) / g).alias("_pane"), *[F.col(s).cast("double").alias(f"_v{i}") for i, s in enumerate(signals)])
+    sign = [F.signum(f"_v{i}") for i in range(len(signals))]
+    rows = rows.select("*", *[(x * F.lag(x).over(order) < 0).alias(f"_f{i}") for i, x in enumerate(sign)])
+    aggs = []
+    for i in range(len(signals)):
+        v = f"_v{i}"
+        aggs.append(
+            F.struct(
+                *_moments(v),
+                F.sum(v).alias("total"),
+                F.sum(F.col(v) * F.col(v)).alias("energy"),
+                F.min_by(F.signum(v), pos).alias("first"),
+                F.max_by(F.signum(v), pos).alias("last"),
+                F.count_if(f"_f{i}").alias("flips"),
+                F.sort_array(F.collect_list(v)).alias("values"),
+            ).alias(f"_s{i}")
+        )
+    panes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+    parts = [F.struct("_pane", *[f"_s{i}" for i in range(len(signals))])]
+    windows = assign_windows(panes, "_pane", window // g, stride // g).groupBy(*segment, "window_no")
+    windows = windows.agg(F.sum("_rows").alias("_rows"), F.array_sort(F.collect_list(*parts)).alias("_parts")).where(F.col("_rows") == window)
+
+    def of(i: int) -> Column:
+        return F.transform("_parts", lambda p: p[f"_s{i}"])
+
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), of(i).alias("p")) for i, s in enumerate(signals)]))
+    long = windows.select(*segment, "window_no", each.alias("_e")).select(*segment, "window_no", "_e.signal", F.col("_e.p").alias("_p"))
+    long = long.select("*", _merged(F.col("_p")).alias("_m"), F.sort_array(F.flatten(F.transform("_p", lambda p: p["values"]))).alias("_all"))
+    n, m2 = F.col("_m.n"), F.col("_m.m2") / F.col("_m.n")
+    total = F.aggregate("_p", F.lit(0.0), lambda a, p: a + F.coalesce(p["total"], F.lit(0.0)))
+    energy = F.aggregate("_p", F.lit(0.0), lambda a, p: a + F.coalesce(p["energy"], F.lit(0.0)))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("last"))
+    flips = F.aggregate("_p", start, lambda a, p: F.struct((a["n"] + p["flips"] + F.coalesce((a["last"] * p["first"] < 0).cast("long"), F.lit(0))).alias("n"), p["last"].alias("last")))["n"]
+    got = long.select(
+        *segment,
+        "window_no",
+        "signal",
+        F.when(n > 0, F.col("_m.mean")).alias("mean"),
+        F.sqrt(m2).alias("std"),
+        F.get("_all", F.lit(0)).alias("min"),
+        F.element_at(F.col("_all"), F.when(F.size("_all") > 0, F.lit(-1))).alias("max"),
+        F.when(n > 0, total).alias("total"),
+        F.when(n > 0, energy).alias("energy"),
+        F.sqrt(energy / n).alias("rms"),
+        F.try_divide(F.col("_m.m3") / n, F.pow(m2, F.lit(1.5))).alias("skewness"),
+        (F.try_divide(F.col("_m.m4") / n, m2 * m2) - 3.0).alias("kurtosis"),
+        *[_at(F.col("_all"), q).alias(name) for name, q in (("p5", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))],
+        F.size(F.filter("_all", lambda v: v > F.col("_m.mean"))).alias("n_above_mean"),
+        F.size(F.filter("_all", lambda v: v < F.col("_m.mean"))).alias("n_below_mean"),
+        flips.alias("n_sign_changes"),
+    )
+    got = got.withColumn("ptp", F.col("max") - F.col("min")).withColumn("iqr", F.col("p75") - F.col("p25"))
+    return got.select(*segment, "window_no", "signal", *[_tidy(c) for c in FEATURES])
+
+
+def _tidy(c: str) -> Column:
+    """Numbers that are missing or not finite become 0."""
+    x = F.col(c).cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x).alias(c)
 
 
 def baseline_delta(
@@ -140,8 +262,8 @@ def baseline_delta(
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def mask_window_stats(track: DataFrame, task: Sequence[str], frame: str, window: int, stride: int) -> DataFrame:
-    """Mask statistics per full window of a task's frames (frame index dense from 0)."""
+def _mask_stats_by_rows(track: DataFrame, task: Sequence[str], frame: str, window: int, stride: int) -> DataFrame:
+    """``mask_window_stats`` with a copy of every frame per window."""
     covered = assign_windows(track, frame, window, stride)
     keys = [*task, "window_no"]
     area = F.col("mask_area_fraction").cast("double")
@@ -171,6 +293,73 @@ def mask_window_stats(track: DataFrame, task: Sequence[str], frame: str, window:
     )
 
 
+def mask_window_stats(track: DataFrame, task: Sequence[str], frame: str, window: int, stride: int) -> DataFrame:
+    """Mask statistics per full window of a task's frames (frame index dense from 0).
+
+    Frames are reduced once, in panes as in ``pane_features``. A jump of the area reaches from a finite area to the next one in
+    the window, over frames without one; those inside a pane are kept by the pane, those between panes are found when they merge.
+    """
+    g = _pane(window, stride)
+    if g < PANE_ROWS:
+        return _mask_stats_by_rows(track, task, frame, window, stride)
+    cell = [*task, "_pane"]
+    area = F.col("mask_area_fraction").cast("double")
+    finite = F.when(~F.isnan(area) & (F.abs(area) != F.lit(float("inf"))), area)
+    order = Window.partitionBy(*cell).orderBy(frame)
+    rows = track.select("*", F.floor(F.col(frame) / g).alias("_pane"), finite.alias("_area"))
+    before = F.last("_area", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_jump", F.abs(F.col("_area") - before))
+    source, known = F.col("mask_source"), F.when(F.col("_area").isNotNull(), F.col(frame))
+    panes = rows.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("frames"),
+        *[F.count_if(source == code).alias(name) for code, name in enumerate(("missing", "direct", "carry"))],
+        F.struct(*_moments("_area")).alias("m"),
+        F.sort_array(F.collect_list("_area")).alias("areas"),
+        F.collect_list("_jump").alias("jumps"),
+        F.min_by("_area", known).alias("first"),
+        F.max_by("_area", known).alias("last"),
+        F.max(F.col("mask_age_frames").cast("double")).alias("age"),
+        F.sum(F.col("yolo_box_count").cast("double")).alias("boxes"),
+        F.count("yolo_box_count").alias("counted"),
+    )
+    part = F.struct("_pane", "m", "areas", "jumps", "first", "last")
+    windows = assign_windows(panes, "_pane", window // g, stride // g).groupBy(*task, "window_no").agg(
+        F.sum("frames").alias("_n"),
+        *[F.sum(c).alias(f"_{c}") for c in ("missing", "direct", "carry", "boxes", "counted")],
+        F.max("age").alias("mask_age_max"),
+        F.array_sort(F.collect_list(part)).alias("_p"),
+    )
+    windows = windows.where(F.col("_n") == window)
+    start = F.struct(F.array().cast("array<double>").alias("jumps"), F.lit(None).cast("double").alias("last"))
+
+    def reach(a: Column, p: Column) -> Column:
+        between = F.abs(p["first"] - a["last"])
+        jumps = F.concat(a["jumps"], p["jumps"], F.when(between.isNotNull(), F.array(between)).otherwise(F.array().cast("array<double>")))
+        return F.struct(jumps.alias("jumps"), F.coalesce(p["last"], a["last"]).alias("last"))
+
+    merged = windows.select(
+        "*",
+        _merged(F.transform("_p", lambda p: p["m"])).alias("_m"),
+        F.sort_array(F.flatten(F.transform("_p", lambda p: p["areas"]))).alias("_areas"),
+        F.sort_array(F.aggregate("_p", start, reach)["jumps"]).alias("_jumps"),
+    )
+    n, some = F.col("_n"), F.col("_m.n") > 0
+    return merged.select(
+        *task,
+        "window_no",
+        F.col("_missing").alias("missing_mask_frames"),
+        (F.col("_missing") / n).alias("missing_mask_fraction"),
+        (F.col("_direct") / n).alias("mask_direct_fraction"),
+        (F.col("_carry") / n).alias("mask_carry_fraction"),
+        F.when(some, F.col("_m.mean")).alias("mask_area_mean"),
+        _at(F.col("_areas"), 0.5).alias("mask_area_median"),
+        F.when(some, F.sqrt(F.col("_m.m2") / F.col("_m.n"))).alias("mask_area_std"),
+        F.coalesce(_at(F.col("_jumps"), 0.95), F.lit(0.0)).alias("mask_area_jump_p95"),
+        "mask_age_max",
+        F.try_divide(F.col("_boxes"), F.col("_counted")).alias("yolo_box_mean"),
+    )
+
+
 MASK_DEFAULTS = {
     "missing_mask_fraction": 1.0,
     "mask_direct_fraction": 0.0,
