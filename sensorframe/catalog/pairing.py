@@ -9,19 +9,21 @@ from sensorframe.operators.ordered import row_tile
 from sensorframe.sources.tables import FRAMES_SQL, PREDICTIONS_SQL, SAMPLES_SQL
 
 TILE = 4096
-SIDES_SQL = SAMPLES_SQL + """, l AS (SELECT subject, 't' || (row_idx % 3) AS task, row_idx AS left_id, us AS left_us, CAST(row_idx % 2 AS BIGINT) AS y FROM samples WHERE label IN ('view', 'signup')),
-  r AS (SELECT subject, 't' || (row_idx % 3) AS task, row_idx AS right_id, us AS right_us, CAST(row_idx % 5 > 2 AS BIGINT) AS y FROM samples WHERE label IN ('click', 'error') AND row_idx % 9 > 1)"""
+SIDES_SQL = SAMPLES_SQL + """, l AS (SELECT subject, 't' || (row_idx % 3) AS task, row_idx AS left_id, us AS left_us, CAST(row_idx % 2 AS BIGINT) AS y FROM samples WHERE label NOT IN ('click', 'error')),
+  r AS (SELECT subject, 't' || (row_idx % CASE WHEN CAST(substr(subject, 2) AS BIGINT) % 5 = 0 THEN 4 ELSE 3 END) AS task, row_idx AS right_id, us AS right_us, CAST(row_idx % 5 > 2 AS BIGINT) AS y FROM samples WHERE label IN ('click', 'error'))"""
 
 
 def sides(t):
+    """All sensor rows, dealt to two sides by label; a fifth of the subjects has a task that only the right side knows."""
     s = t.samples()
     i = F.col("row_idx")
-    task = F.concat(F.lit("t"), (i % 3).cast("string")).alias("task")
-    left = s.where(F.col("label").isin("view", "signup")).select(
-        "subject", task, i.alias("left_id"), F.col("us").alias("left_us"), (i % 2).alias("y")
+    right_side = F.col("label").isin("click", "error")
+    tasks = F.when(F.substring("subject", 2, 9).cast("long") % 5 == 0, 4).otherwise(3)
+    left = s.where(~right_side).select(
+        "subject", F.concat(F.lit("t"), (i % 3).cast("string")).alias("task"), i.alias("left_id"), F.col("us").alias("left_us"), (i % 2).alias("y")
     )
-    right = s.where(F.col("label").isin("click", "error") & (i % 9 > 1)).select(
-        "subject", task, i.alias("right_id"), F.col("us").alias("right_us"), (i % 5 > 2).cast("long").alias("y")
+    right = s.where(right_side).select(
+        "subject", F.concat(F.lit("t"), (i % tasks).cast("string")).alias("task"), i.alias("right_id"), F.col("us").alias("right_us"), (i % 5 > 2).cast("long").alias("y")
     )
     return left, right
 
@@ -72,7 +74,13 @@ def a23(t):
     return pa.alignment_stats(left, right, "subject", ["subject", "task"])
 
 
-META_SQL = "meta AS (SELECT o_custkey AS wid, 't' || (o_orderkey % 4) AS task_id FROM orders WHERE o_custkey % 3 <> 0)"
+META_SQL = "meta AS (SELECT o_custkey + CAST(o_custkey % 3 = 0 AS BIGINT) AS wid, 't' || (o_orderkey % 4) AS task_id FROM orders)"
+
+
+def metadata(t):
+    """A task per order; customers divisible by three have none, their orders go to the next one."""
+    c = F.col("o_custkey")
+    return t.orders.select((c + (c % 3 == 0).cast("long")).alias("wid"), F.concat(F.lit("t"), (F.col("o_orderkey") % 4).cast("string")).alias("task_id"))
 
 
 @query(
@@ -80,10 +88,7 @@ META_SQL = "meta AS (SELECT o_custkey AS wid, 't' || (o_orderkey % 4) AS task_id
     f"WITH {META_SQL}, m AS (SELECT wid, min(task_id) AS task_id FROM meta GROUP BY wid) SELECT c_custkey AS wid, c_name, task_id FROM customer JOIN m ON wid = c_custkey",
 )
 def j11(t):
-    meta = t.orders.where(F.col("o_custkey") % 3 != 0).select(
-        F.col("o_custkey").alias("wid"), F.concat(F.lit("t"), (F.col("o_orderkey") % 4).cast("string")).alias("task_id")
-    )
-    good, _ = pa.enrich(t.customer.select(F.col("c_custkey").alias("wid"), "c_name"), meta, "wid", ["task_id"])
+    good, _ = pa.enrich(t.customer.select(F.col("c_custkey").alias("wid"), "c_name"), metadata(t), "wid", ["task_id"])
     return good
 
 
@@ -92,9 +97,7 @@ def j11(t):
     f"WITH {META_SQL} SELECT count(*) AS n_total, count(*) FILTER (c_custkey NOT IN (SELECT wid FROM meta)) AS n_missing FROM customer",
 )
 def j11_missing(t):
-    meta = t.orders.where(F.col("o_custkey") % 3 != 0).select(F.col("o_custkey").alias("wid"), F.lit("t").alias("task_id"))
-    c = t.customer.select(F.col("c_custkey").alias("wid"))
-    good, bad = pa.enrich(c, meta, "wid", ["task_id"])
+    good, bad = pa.enrich(t.customer.select(F.col("c_custkey").alias("wid")), metadata(t), "wid", ["task_id"])
     tagged = good.select(F.lit(0).alias("m")).unionByName(bad.select(F.lit(1).alias("m")))
     return tagged.agg(F.count(F.lit(1)).alias("n_total"), F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("n_missing"))
 
@@ -113,12 +116,13 @@ def j15(t):
 
 @query(
     "j16_row_count_check",
-    """WITH a AS (SELECT l_orderkey % 200 AS store, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT o_orderkey % 200 AS store, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+    """WITH a AS (SELECT o_orderkey % 200 AS store, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT o_orderkey % 200 + CAST(o_orderkey % 10 = 3 AS BIGINT) AS store, count(*) AS n FROM orders GROUP BY 1)
     SELECT coalesce(a.store, b.store) AS store, coalesce(a.n, 0) AS n_cache, coalesce(b.n, 0) AS n_labels, coalesce(a.n, 0) = coalesce(b.n, 0) AS agrees FROM a FULL JOIN b ON a.store = b.store""",
 )
 def j16(t):
-    cache = t.lineitem.where(F.col("l_linenumber") == 1).select((F.col("l_orderkey") % 200).alias("store"))
-    labels = t.orders.where(F.col("o_orderkey") % 3 == 0).select((F.col("o_orderkey") % 200).alias("store"))
+    o = F.col("o_orderkey")
+    cache = t.orders.select((o % 200).alias("store"))
+    labels = t.orders.select((o % 200 + (o % 10 == 3).cast("long")).alias("store"))
     return pa.row_count_check({"cache": cache, "labels": labels}, ["store"])
 
 
@@ -170,24 +174,27 @@ def v1(t):
 
 @query(
     "v2_required_splits",
-    f"""WITH {PREDICTIONS_SQL}, p AS (SELECT *, l AS lk FROM (SELECT *, subject AS l FROM predictions) WHERE NOT (split = 'val' AND CAST(substr(subject, 2) AS BIGINT) % 4 = 0))
+    f"""WITH {PREDICTIONS_SQL}, p AS (SELECT * EXCLUDE (split), CASE WHEN split = 'val' AND CAST(substr(subject, 2) AS BIGINT) % 4 = 0 THEN 'train' ELSE split END AS split FROM predictions)
     SELECT run_name, subject, CASE WHEN count(*) FILTER (split = 'test') = 0 AND count(*) FILTER (split = 'val') = 0 THEN 'test,val' WHEN count(*) FILTER (split = 'test') = 0 THEN 'test' WHEN count(*) FILTER (split = 'val') = 0 THEN 'val' ELSE '' END AS missing_splits,
       count(*) FILTER (split = 'test') > 0 AND count(*) FILTER (split = 'val') > 0 AS ok FROM p GROUP BY run_name, subject""",
 )
 def v2(t):
-    p = t.predictions().where(~((F.col("split") == "val") & (F.substring("subject", 2, 9).cast("long") % 4 == 0)))
-    qu.require_columns(p, ["run_name", "encoder", "feature", "fold_id", "split", "label", "score", "prediction", "threshold"])
-    return qu.split_presence(p, ["run_name", "subject"])
+    """Prediction rows under the whole contract of columns; subjects divisible by four have their validation rows in training."""
+    p = t.predictions().withColumn("model_family", F.lit("probe")).withColumn("source_index", F.monotonically_increasing_id())
+    p = p.withColumn("window_id", F.col("source_index")).withColumn("base_subject_id", F.col("subject"))
+    qu.require_columns(p, qu.PREDICTION_COLUMNS)
+    moved = (F.col("split") == "val") & (F.substring("subject", 2, 9).cast("long") % 4 == 0)
+    return qu.split_presence(p.withColumn("split", F.when(moved, "train").otherwise(F.col("split"))), ["run_name", "subject"])
 
 
-READY_SQL = FRAMES_SQL + """, prs AS (SELECT a.window_id, a.subject, a.y, a.px AS lv, b.px AS rv FROM frames a JOIN frames b ON a.window_id = b.window_id AND a.frame_idx = 0 AND b.frame_idx = 9)"""
+READY_SQL = FRAMES_SQL + """, prs AS (SELECT a.window_id, a.frame_idx, a.subject, a.y, a.px AS lv, b.px AS rv FROM frames a JOIN frames b ON a.window_id = b.window_id AND a.frame_idx = 9 - b.frame_idx)"""
 
 
 def ready_pairs(t):
+    """Every frame with the one that stands as far from its window's other end."""
     f = t.frames()
-    a = f.where(F.col("frame_idx") == 0).select("window_id", "subject", "y", F.col("px").alias("lv"))
-    b = f.where(F.col("frame_idx") == 9).select("window_id", F.col("px").alias("rv"))
-    return a.join(b, "window_id")
+    b = f.select("window_id", (9 - F.col("frame_idx")).alias("frame_idx"), F.col("px").alias("rv"))
+    return f.select("window_id", "frame_idx", "subject", "y", F.col("px").alias("lv")).join(b, ["window_id", "frame_idx"])
 
 
 @query(
@@ -201,12 +208,12 @@ def v3(t):
 
 @query(
     "v3_probe_sample",
-    f"""WITH {READY_SQL}, p AS (SELECT window_id, subject, y, row_number() OVER (ORDER BY window_id) - 1 AS position, count(*) OVER () AS n FROM prs),
+    f"""WITH {READY_SQL}, p AS (SELECT window_id, frame_idx, subject, y, row_number() OVER (ORDER BY window_id, frame_idx) - 1 AS position, count(*) OVER () AS n FROM prs),
     w AS (SELECT DISTINCT CAST(round_even(i * (n - 1.0) / (least(10, n) - 1), 0) AS BIGINT) AS position FROM (SELECT max(n) AS n FROM p), range(10) r(i) WHERE i < n)
-    SELECT window_id, subject, CAST(y AS BIGINT) AS y, position, true AS left_finite, true AS right_finite FROM p SEMI JOIN w USING (position)""",
+    SELECT window_id, frame_idx, subject, CAST(y AS BIGINT) AS y, position, true AS left_finite, true AS right_finite FROM p SEMI JOIN w USING (position)""",
 )
 def v3_probe(t):
-    return qu.probe_pairs(ready_pairs(t), ["window_id"], 10, "lv", "rv")
+    return qu.probe_pairs(ready_pairs(t), ["window_id", "frame_idx"], 10, "lv", "rv")
 
 
 @query("v4_fail_fast", "SELECT l_orderkey, l_quantity FROM lineitem")
