@@ -148,7 +148,7 @@ def _merged(parts: Column) -> Column:
     def both(a: Column, b: Column) -> Column:
         n = a["n"] + b["n"]
         d = b["mean"] - a["mean"]
-        u = d / n
+        u = F.try_divide(d, n)
         joint = F.struct(
             n.alias("n"),
             (a["mean"] + u * b["n"]).alias("mean"),
@@ -212,7 +212,7 @@ def pane_features(df: DataFrame, segment: Sequence[str], pos: str, signals: Sequ
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), of(i).alias("p")) for i, s in enumerate(signals)]))
     long = windows.select(*segment, "window_no", each.alias("_e")).select(*segment, "window_no", "_e.signal", F.col("_e.p").alias("_p"))
     long = long.select("*", _merged(F.col("_p")).alias("_m"), F.sort_array(F.flatten(F.transform("_p", lambda p: p["values"]))).alias("_all"))
-    n, m2 = F.col("_m.n"), F.col("_m.m2") / F.col("_m.n")
+    n, m2 = F.col("_m.n"), F.try_divide(F.col("_m.m2"), F.col("_m.n"))
     total = F.aggregate("_p", F.lit(0.0), lambda a, p: a + F.coalesce(p["total"], F.lit(0.0)))
     energy = F.aggregate("_p", F.lit(0.0), lambda a, p: a + F.coalesce(p["energy"], F.lit(0.0)))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("last"))
@@ -224,12 +224,12 @@ def pane_features(df: DataFrame, segment: Sequence[str], pos: str, signals: Sequ
         F.when(n > 0, F.col("_m.mean")).alias("mean"),
         F.sqrt(m2).alias("std"),
         F.get("_all", F.lit(0)).alias("min"),
-        F.element_at(F.col("_all"), F.when(F.size("_all") > 0, F.lit(-1))).alias("max"),
+        F.try_element_at(F.col("_all"), F.lit(-1)).alias("max"),
         F.when(n > 0, total).alias("total"),
         F.when(n > 0, energy).alias("energy"),
-        F.sqrt(energy / n).alias("rms"),
-        F.try_divide(F.col("_m.m3") / n, F.pow(m2, F.lit(1.5))).alias("skewness"),
-        (F.try_divide(F.col("_m.m4") / n, m2 * m2) - 3.0).alias("kurtosis"),
+        F.sqrt(F.try_divide(energy, n)).alias("rms"),
+        F.try_divide(F.try_divide(F.col("_m.m3"), n), F.pow(m2, F.lit(1.5))).alias("skewness"),
+        (F.try_divide(F.try_divide(F.col("_m.m4"), n), m2 * m2) - 3.0).alias("kurtosis"),
         *[_at(F.col("_all"), q).alias(name) for name, q in (("p5", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))],
         F.size(F.filter("_all", lambda v: v > F.col("_m.mean"))).alias("n_above_mean"),
         F.size(F.filter("_all", lambda v: v < F.col("_m.mean"))).alias("n_below_mean"),
@@ -353,7 +353,7 @@ def mask_window_stats(track: DataFrame, task: Sequence[str], frame: str, window:
         (F.col("_carry") / n).alias("mask_carry_fraction"),
         F.when(some, F.col("_m.mean")).alias("mask_area_mean"),
         _at(F.col("_areas"), 0.5).alias("mask_area_median"),
-        F.when(some, F.sqrt(F.col("_m.m2") / F.col("_m.n"))).alias("mask_area_std"),
+        F.when(some, F.sqrt(F.try_divide(F.col("_m.m2"), F.col("_m.n")))).alias("mask_area_std"),
         F.coalesce(_at(F.col("_jumps"), 0.95), F.lit(0.0)).alias("mask_area_jump_p95"),
         "mask_age_max",
         F.try_divide(F.col("_boxes"), F.col("_counted")).alias("yolo_box_mean"),
