@@ -210,23 +210,8 @@ def m10_saved(t):
 
 @query("m11_normalisation_comparison")
 def m11(t):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    p = pooled(t).withColumn("fold_id", F.col("window_id") % 2)
-    train = p.where(F.col("fold_id") == 0)
-    pop = ve.population_standardise(p, train, "px")
-    own = ve.subject_standardise(p, train, "subject", "window_id", "px", salt_on=["window_id"]).drop("fallback")
-    model = LogisticRegression(featuresCol="_x", labelCol="y", regParam=0.01, standardization=False).fit(
-        pop.where(F.col("fold_id") == 0).withColumn("_x", array_to_vector("px"))
-    )
-
-    def score(df):
-        out = model.transform(df.withColumn("_x", array_to_vector("px")))
-        return out.select("fold_id", "window_id", "y", vector_to_array("probability")[1].alias("score"))
-
-    got = mo.compare_normalisation(score, pop, own, ["fold_id"], "y", 0.5)
-    return got.select("fold_id", "strategy", "n_windows", *_r(["auc", "balanced_accuracy", "mcc"], 6))
+    got = mo.normalisation_report(fold_rows(t), "subject", "window_id", "px", "y")
+    return got.select("fold_id", "strategy", "threshold", "n_windows", "n_fallback_subjects", *_r(["auc", "avg_precision", "balanced_accuracy", "mcc"], 6))
 
 
 @query(

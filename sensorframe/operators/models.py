@@ -8,12 +8,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.functions.arrays import doubles
 from sensorframe.functions.scalars import above
 from sensorframe.operators.folds import balanced_resample
 from sensorframe.operators.metrics import best_threshold, confusion_table, metric_table, ranking_metrics
 from sensorframe.operators.ordered import lookup_join
 from sensorframe.operators.probes import LinearFits, fit_linear, fit_networks, linear_score, linear_weights, network_scores
-from sensorframe.operators.vectors import population_standardise
+from sensorframe.operators.vectors import as_arrays, dimension_stats, population_standardise, zscore
 from sensorframe.session import materialise, release
 
 
@@ -112,6 +113,44 @@ def compare_normalisation(
     return metric_table(both, [*keys, "strategy"], label, "score", "prediction")
 
 
+def normalisation_report(
+    table: DataFrame, subject: str, window: str, features: str, label: str, fold: str = "fold_id", split: str = "split", reg: float = 0.01, min_windows: int = 3
+) -> DataFrame:
+    """Test metrics per fold of one probe under population and subject normalisation, at one saved threshold.
+
+    The probe is fitted on a fold's training rows, scaled by their statistics; its threshold is the best one on the validation
+    rows so scaled. Test rows are then scored twice: scaled like the training rows, and by their own subject's statistics, or the
+    training rows' where a subject has fewer than ``min_windows`` windows (``n_fallback_subjects``). ``table`` is a stored fold table.
+    """
+    spark, kind = table.sparkSession, table.schema[fold].dataType.simpleString()
+    folds = sorted(r[0] for r in table.select(fold).distinct().collect())
+    train = _train(table, folds, features, label, fold, split)
+    fits = fit_linear(train, [reg], features, label, fold)
+    release(train)
+    val = _score_linear(table.where(F.col(split) == "val"), fits, 0, features, fold)
+    saved = materialise(best_threshold(val, [fold], label, "score").select(fold, F.col("best_threshold").alias("threshold")))
+    facts = [(k, fits.facts.mean[i].tolist(), fits.facts.std[i].tolist(), fits.weight[i, 0].tolist(), float(fits.intercept[i, 0])) for i, k in enumerate(fits.facts.folds)]
+    # One row per fold.
+    of_fold = F.broadcast(spark.createDataFrame(facts, f"`{fold}` {kind}, _m array<double>, _d array<double>, w array<double>, b double").join(saved, fold))
+    test = table.where(F.col(split) == "test").select(fold, subject, window, label, features)
+    own = as_arrays(dimension_stats(test, [fold, subject], features), [fold, subject])
+    sizes = test.groupBy(fold, subject).agg((F.countDistinct(window) < min_windows).alias("fallback"))
+    own = own.join(sizes, [fold, subject]).select(fold, subject, "fallback", F.col("mean").alias("_om"), F.col("std").alias("_od"))
+    rows = lookup_join(test, own, [fold, subject], "inner", salt_on=[window]).join(of_fold, fold)
+    options = {"population_norm": ("_m", "_d"), "subject_norm": (F.when(F.col("fallback"), F.col("_m")).otherwise(F.col("_om")), F.when(F.col("fallback"), F.col("_d")).otherwise(F.col("_od")))}
+    scored = None
+    for name, (mean, std) in options.items():
+        mean, std = (F.col(c) if isinstance(c, str) else c for c in (mean, std))
+        one = rows.withColumn("_z", zscore(doubles(F.col(features)), mean, std)).select(
+            fold, subject, label, "threshold", "fallback", F.lit(name).alias("strategy"), linear_score("_z").alias("score")
+        )
+        scored = one if scored is None else scored.unionByName(one)
+    scored = scored.withColumn("prediction", above(F.col("score"), F.col("threshold")))
+    metrics = metric_table(scored, [fold, "strategy", "threshold"], label, "score", "prediction")
+    fallbacks = sizes.groupBy(fold).agg(F.count_if("fallback").alias("n_fallback_subjects"))
+    return metrics.join(fallbacks, fold)
+
+
 def score_frames(
     frames: DataFrame, keys: Sequence[str], value: str, encode: Callable, out: str = "embedding"
 ) -> DataFrame:

@@ -205,3 +205,19 @@ def test_mask_panes_equal_copied_rows(spark):
     for k in a:
         for c in set(b[k].asDict()) - {"t"}:
             assert (a[k][c] is None) == (b[k][c] is None) and (a[k][c] is None or a[k][c] == pytest.approx(b[k][c], rel=1e-9, abs=1e-12)), (k, c)
+
+
+def test_normalisation_report_scores_test_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for s in range(12):
+        shift = rng.normal() * 4
+        split = ("train", "train", "val", "test")[s % 4]
+        for i in range(2 if s == 3 else 30):
+            y = i % 2
+            rows.append((1, split, f"p{s}", 100 * s + i, y, [float(shift + y + 0.2 * rng.normal()), float(rng.normal())]))
+    df = spark.createDataFrame(rows, "fold_id long, split string, subject string, window_id long, y long, x array<double>")
+    got = {r["strategy"]: r for r in models.normalisation_report(df, "subject", "window_id", "x", "y").collect()}
+    pop, own = got["population_norm"], got["subject_norm"]
+    assert pop["n_windows"] == own["n_windows"] == 62 and pop["n_fallback_subjects"] == own["n_fallback_subjects"] == 1
+    assert pop["threshold"] == own["threshold"] and own["auc"] > 0.9 > pop["auc"]
