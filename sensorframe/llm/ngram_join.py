@@ -33,6 +33,8 @@ from sensorframe.llm.words import Splitter, mix, numbers, pieces
 
 #: Hashed counters of the common-shingle pass, in slices that travel as one row each.
 SLOTS, SLICE = 1 << 20, 1 << 12
+#: Deviations above the mean counter from which its shingles are common; a flag in error only moves a shingle in the order.
+DEVIATIONS = 3
 #: 64-bit words of a parity bitmap.
 BITMAP = 16
 #: Sets with more shingles than this also have a bitmap of two to four bits per shingle, of a power of two in width.
@@ -69,7 +71,7 @@ def shingle_sets(column: pa.Array, k: int, splitter: Splitter) -> Iterator[tuple
 
 
 def common_slots(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """One flag per hashed counter over all shingles of all documents: six deviations above the mean or not.
+    """One flag per hashed counter over all shingles of all documents: ``DEVIATIONS`` above the mean or not.
 
     Each task counts into ``SLOTS`` counters and sends them as slices; a second stage adds slice by slice. What
     reaches the driver is ``SLOTS`` numbers, however large the input.
@@ -98,7 +100,7 @@ def common_slots(docs: DataFrame, text: str, k: int) -> np.ndarray:
     total = np.zeros(SLOTS, np.int64)
     for s, c in rows:
         total[s * SLICE : (s + 1) * SLICE] = np.frombuffer(c, np.int64)
-    return np.packbits(total > total.mean() + 6 * np.sqrt(total.mean()) + 16)
+    return np.packbits(total > total.mean() + DEVIATIONS * np.sqrt(total.mean()) + 4)
 
 
 def _needed(n: np.ndarray | int, percent: int):
