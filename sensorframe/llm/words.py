@@ -1,11 +1,13 @@
 """Words, word windows and their 64-bit hashes, computed over whole Arrow batches of text.
 
 A word is a run of bytes other than space and U+0009 to U+000D. Null text is empty text.
-Everything works on the UTF-8 buffer, so no Python object is made per word.
+Everything works on the UTF-8 buffer, so no Python object is made per word. Hashes are polynomials modulo 2^64, for which
+unequal words of the same hash are known from 1,024 bytes on; words of ``LONG_WORD`` bytes and more take a digest instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document forms a piece of its own.
 PIECE_BYTES = 1 << 19
+#: Bytes from which a word's hash is a digest of its bytes.
+LONG_WORD = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,6 +93,7 @@ class Splitter:
 
     def __init__(self, lower: bool = False, letters: bool = False):
         self.value, self.space = _tables(lower, letters)
+        self.lower = lower
         self.power = self.inverse = np.empty(0, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -120,6 +125,10 @@ class Splitter:
         np.cumsum(self.value[data] * self.power[:n], out=total[1:])
         hashed = (total[end] - total[start]) * self.inverse[start]
         hashed = mix(hashed + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+            word = data[start[i] : end[i]].tobytes()
+            digest = hashlib.blake2b(word.lower() if self.lower else word, digest_size=8).digest()
+            hashed[i] = int.from_bytes(digest, "little")
         return Words(data, offsets, start, end, np.searchsorted(start, offsets), hashed, total, self.inverse)
 
 

@@ -211,3 +211,24 @@ def test_cuts_depend_on_what_is_near():
     reach = len(shared) - 2 * suffixes.SPACING - suffixes.GRAM
     a, b = (sorted(c - s for c in cuts(x) if 0 <= c - s <= reach) for x, s in ((one, 333), (two, 71)))
     assert a == b and len(a) > 10 and max(np.diff(a)) <= suffixes.SPACING
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    from sensorframe.llm.ngram_join import jaccard_components
+    from sensorframe.llm.substring import drop_repeats
+    from sensorframe.llm.words import Splitter
+
+    one, two = thue_morse(1024, 0), thue_morse(1024, 1)
+    raw = np.frombuffer(f"{one} {two} {one.upper()}".encode(), np.uint8)
+    found = Splitter(lower=True)(raw, np.array([0, len(raw)])).hash
+    assert found[0] == found[2] != found[1]
+    words = [f"w{i}" for i in range(12)]
+    docs = [(1, " ".join([*words, one])), (2, " ".join([*words, two])), (3, " ".join([*words, one]))]
+    removed = {r.doc_id: r.n_removed for r in drop_repeats(table(spark, docs)).collect()}
+    assert removed == {1: 0, 2: 0, 3: 13}
+    short = [(1, f"a b c d {one}"), (2, f"a b c d {two}"), (3, f"a b c d {one}")]
+    assert {r.doc_id: r.component_id for r in jaccard_components(table(spark, short)).collect()} == {1: 1, 2: 2, 3: 1}
