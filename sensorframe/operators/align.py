@@ -19,6 +19,7 @@ from sensorframe.operators.ordered import (
     running_sum,
     with_time_tile,
 )
+from sensorframe.operators.shape import explode_range
 
 
 def implicit_clock(
@@ -68,11 +69,7 @@ def normalise_units(df: DataFrame, keys: Sequence[str], ts: str, salt_on: Sequen
 def target_grid(df: DataFrame, start: str, end: str, rate_hz: float) -> DataFrame:
     """One row per grid point ``start + i/rate`` below ``end``, numbered by ``sample_idx``."""
     n = F.ceil((F.col(end) - F.col(start)) * F.lit(rate_hz) - F.lit(1e-9)).cast("long")
-    return (
-        df.where(n > 0)
-        .withColumn("sample_idx", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-        .withColumn("target_ts", F.col(start) + F.col("sample_idx") / F.lit(rate_hz))
-    )
+    return explode_range(df, F.lit(0), n - 1, "sample_idx").withColumn("target_ts", F.col(start) + F.col("sample_idx") / F.lit(rate_hz))
 
 
 def interval_ranges(
@@ -238,7 +235,8 @@ def resample(
     """Regular grid per group: linear interpolation of signals, last label carried forward.
 
     The grid starts at the group's first sample. Grid points are made only between
-    neighbouring samples, so a pause longer than ``max_gap`` can be left empty.
+    neighbouring samples, so a pause longer than ``max_gap`` can be left empty. A pause of any length is filled
+    block by block.
     """
     step = F.lit(1.0 / rate_hz)
     here = F.struct(F.col(ts).alias("ts"), *signals, label)
@@ -253,12 +251,10 @@ def resample(
     # keeps the point it falls on, if any.
     lo = F.ceil((F.col(ts) - F.col("_t0")) / step - F.lit(1e-9))
     hi = F.coalesce(F.ceil((F.col("_next.ts") - F.col("_t0")) / step - F.lit(1e-9)) - 1, F.floor((F.col(ts) - F.col("_t0")) / step + F.lit(1e-9)))
-    points = nxt.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).where(F.col("_hi") >= F.col("_lo"))
+    points = nxt
     if max_gap is not None:
         points = points.where(F.col("_next").isNull() | (F.col("_next.ts") - F.col(ts) <= F.lit(max_gap)))
-    grid = points.withColumn("sample_idx", F.explode(F.sequence("_lo", "_hi"))).withColumn(
-        "grid_ts", F.col("_t0") + F.col("sample_idx") * step
-    )
+    grid = explode_range(points, lo, hi, "sample_idx").withColumn("grid_ts", F.col("_t0") + F.col("sample_idx") * step)
     share = F.when(
         F.col("_next").isNotNull(), (F.col("grid_ts") - F.col(ts)) / (F.col("_next.ts") - F.col(ts))
     ).otherwise(F.lit(0.0))

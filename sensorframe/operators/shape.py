@@ -101,3 +101,16 @@ def offsets_in_window(df: DataFrame, start: str, end: str, count: int) -> DataFr
         .withColumn("frame_index", F.col(start) + spot.cast("long"))
         .drop("_i")
     )
+
+
+def explode_range(df: DataFrame, lo: Column, hi: Column, name: str, block: int = 1 << 15) -> DataFrame:
+    """One row per whole number from ``lo`` to ``hi``; rows whose range is empty or null are left out.
+
+    Two levels, blocks and then the numbers of a block, so no row ever holds an array longer than ``block`` or the number of blocks.
+    """
+    ranged = df.withColumn("_lo_of", lo.cast("long")).withColumn("_hi_of", hi.cast("long")).where(F.col("_hi_of") >= F.col("_lo_of"))
+    size = F.lit(block).cast("long")
+    first, last = F.floor(F.col("_lo_of") / size).cast("long"), F.floor(F.col("_hi_of") / size).cast("long")
+    blocks = ranged.withColumn("_block", F.explode(F.sequence(first, last)))
+    from_, to = F.greatest(F.col("_lo_of"), F.col("_block") * size), F.least(F.col("_hi_of"), (F.col("_block") + 1) * size - 1)
+    return blocks.withColumn(name, F.explode(F.sequence(from_, to))).drop("_lo_of", "_hi_of", "_block")

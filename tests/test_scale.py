@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators import calibrate, folds, models, probes, windows
 from sensorframe.operators import quantiles as qt
+from sensorframe.operators.align import resample, target_grid
 from sensorframe.operators.ordered import row_tile
 from sensorframe.operators.quantiles import exact_quantiles
 from sensorframe.operators.segments import mark_runs
+from sensorframe.operators.shape import explode_range
 from sensorframe.operators.vectors import robust_scale
 
 
@@ -221,3 +223,18 @@ def test_normalisation_report_scores_test_rows(spark):
     pop, own = got["population_norm"], got["subject_norm"]
     assert pop["n_windows"] == own["n_windows"] == 62 and pop["n_fallback_subjects"] == own["n_fallback_subjects"] == 1
     assert pop["threshold"] == own["threshold"] and own["auc"] > 0.9 > pop["auc"]
+
+
+def test_ranges_in_blocks(spark):
+    df = spark.createDataFrame([(1, -5, 12), (2, 3, 3), (3, 4, 3), (4, None, 3), (5, 8, 15)], "id long, a long, b long")
+    got = sorted((r["id"], r["n"]) for r in explode_range(df, F.col("a"), F.col("b"), "n", block=4).collect())
+    assert got == sorted([(1, n) for n in range(-5, 13)] + [(2, 3)] + [(5, n) for n in range(8, 16)])
+
+
+def test_long_pauses(spark):
+    year = 365 * 86400.0
+    df = spark.createDataFrame([("a", 0.0, year, 1.0, "x"), ("a", year, year, 3.0, "y")], "s string, t double, e double, v double, label string")
+    got = resample(df, ["s"], "t", ["v"], "label", 0.5, tile_width=1e6)
+    total = got.agg(F.count(F.lit(1)).alias("n"), F.max("sample_idx").alias("last"), F.countDistinct("sample_idx").alias("d")).head()
+    assert total["n"] == total["d"] == year / 2 + 1 and total["last"] == year / 2
+    assert target_grid(df.limit(1), "t", "e", 2.0).agg(F.max("sample_idx")).head()[0] == year * 2 - 1
