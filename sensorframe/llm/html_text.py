@@ -4,7 +4,12 @@ The standard library's parser streams a page as events. Every block element ends
 of tags. Lines in menus, headers, footers, sidebars, notices, adverts, forms and comments have no content by markup
 and count as empty. The ratio of text to tags per line is smoothed with a Gaussian, and lines above a threshold
 from the page's own spread form clusters of content. A cluster brings in the other lines of its region (its article or main
-element, else its nearest container), so short lines between long ones stay.
+element, else its nearest container), so short lines between long ones stay. On a page without article and main, lines
+between the clusters stay as well if they lie in the innermost container that holds all clusters.
+
+Class, id and role hint at what is beside the article. A hint is withdrawn from an element as soon as an article or main opens
+in it, unless it marks reader comments; it does not apply to states ("no-sidebar", "has-comments"), nor inside an
+article to the id of a heading or paragraph or to a part of any other id.
 """
 
 from __future__ import annotations
@@ -33,6 +38,11 @@ HINTS = frozenset(
     "footer masthead topbar toolbar comment comments discussion disqus reply replies related recommended share sharing social widget pagination "
     "pager search complementary contentinfo dialog skip".split()
 )
+#: Hints that hold articles of their own, which are no articles of the page.
+COMMENTS = frozenset("comment comments discussion disqus reply replies".split())
+#: Words that make a name the state of a page or article.
+STATES = frozenset("no not has with without is open closed enabled disabled".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening block element ends when they were left open.
 OPEN_ENDED = frozenset("p li dt dd tr td th option".split())
@@ -45,29 +55,47 @@ KERNEL = np.exp(-0.5 * np.arange(-3, 4) ** 2.0)
 KERNEL /= KERNEL.sum()
 
 
+def _hints(tag: str, attrs: list, inside: bool) -> frozenset:
+    """The hint words of an element's class, id and role."""
+    found = set()
+    for kind, value in attrs:
+        if kind not in ("class", "id", "role") or not value or inside and kind == "id" and tag in TEXTUAL:
+            continue
+        for name in value.lower().split():
+            words = {name} if inside and kind == "id" else set(SPLIT_NAMES.split(name))
+            if STATES.isdisjoint(words):
+                found |= HINTS & words
+    return frozenset(found)
+
+
 class _Lines(HTMLParser):
     """Lines of a page: text, tags, whether markup sets it aside, and the region it is in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # name, aside, region, in an article
-        self.lines: list[tuple[str, int, bool, int]] = []
+        # name, aside by its tag, aside by hints (2: of comments), region, in an article, innermost container
+        self.open: list[tuple[str, bool, int, int, bool, int]] = [("", False, 0, 0, False, 0)]
+        self.lines: list[tuple[str, int, bool, int, int]] = []
+        # Regions are numbered as they open: one holds the numbers from its own to its last.
+        self.parent, self.last = [0], {0: 0}
         self.text: list[str] = []
         self.tags = 0
         self.silent: str | None = None
         self.depth = 0
-        self.regions = 0
+        self.regions = self.articles = 0
 
     def _end_line(self) -> None:
         if self.text:
             text = SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                _, aside, region, _ = self.open[-1]
-                self.lines.append((text, self.tags, aside, region))
+                _, aside, hinted, region, _, within = self.open[-1]
+                self.lines.append((text, self.tags, aside or hinted > 0, region, within))
                 self.tags = 0
             self.text = []
 
     def _leave(self, at: int) -> None:
+        for element in self.open[at:]:
+            self.last[element[5]] = self.regions
         del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -103,19 +131,26 @@ class _Lines(HTMLParser):
                 if self.open[at][0] in ("nav", "header", "menu"):
                     self._leave(at)
                     break
-        _, aside, region, inside = self.open[-1]
-        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
+        _, aside, hinted, region, inside, within = self.open[-1]
         if tag in REGIONS:
             # An article inside an article, as reader comments are marked up, is no region of its own.
             if not inside:
+                if hinted == 1:  # what holds the article is not beside it
+                    self.open = [(n, a, h if h == 2 else 0, r, i, w) for n, a, h, r, i, w in self.open]
+                    hinted = 0
                 self.regions += 1
+                self.articles += 1
+                self.parent.append(within)
                 region, inside = self.regions, True
         elif not inside and tag in CONTAINERS:
             self.regions += 1
-            region = self.regions
+            self.parent.append(within)
+            region = within = self.regions
         if tag not in ("html", "body", "main"):
-            aside = aside or tag in ASIDE or tag == "header" and not inside or bool(names) and not HINTS.isdisjoint(SPLIT_NAMES.split(names))
-        self.open.append((tag, aside, region, inside))
+            aside = aside or tag in ASIDE or tag == "header" and not inside
+            if hints := _hints(tag, attrs, inside):
+                hinted = max(hinted, 1 if COMMENTS.isdisjoint(hints) else 2)
+        self.open.append((tag, aside, hinted, region, inside, within))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -157,11 +192,21 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([0.0 if aside else len(text) / max(tags, 1) for text, tags, aside, _ in lines])
+    ratio = np.array([0.0 if aside else len(text) / max(tags, 1) for text, tags, aside, _, _ in lines])
     smooth = np.convolve(np.pad(ratio, 3), KERNEL, mode="valid")
     threshold = min(smooth.std(), smooth.mean()) * 0.5
-    seeds = {region for (_, _, aside, region), r, s in zip(lines, ratio, smooth) if not aside and s > threshold and r > threshold}
-    return "\n\n".join(text for text, _, aside, region in lines if not aside and region in seeds)
+    seeds = [i for i, (line, r, s) in enumerate(zip(lines, ratio, smooth)) if not line[2] and s > threshold and r > threshold]
+    regions = {lines[i][3] for i in seeds}
+    around, first, last = 0, 0, -1
+    if len(regions) > 1 and not parser.articles:
+        parser._leave(0)
+        around, furthest = (f(lines[i][4] for i in seeds) for f in (min, max))
+        while around and parser.last[around] < furthest:
+            around = parser.parent[around]
+        first, last = seeds[0], seeds[-1]
+    return "\n\n".join(
+        text for i, (text, _, aside, region, within) in enumerate(lines) if not aside and (region in regions or first < i < last and around <= within <= parser.last[around])
+    )
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

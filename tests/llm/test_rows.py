@@ -184,3 +184,23 @@ def test_html(spark):
     text = {r.page_id: r.text for r in got}
     assert len(got) == 8 and text[1] == want and text[2] == text[3] == text[4] == text[6] == "" and text[None] == "plain" and len(text[5]) == 199_999
     assert main_text("<div>" * 3000 + "deep") == "deep"
+
+
+LONG = "A long paragraph of the article, with enough words to count as content on any page at all. " * 2
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="content-sidebar-wrap"><article><p>{LONG}</p></article></div>', [LONG]),
+        (f'<div class="page no-sidebar"><main><p>{LONG}</p></main></div>', [LONG]),
+        (f'<article class="post has-comments"><p>{LONG}</p></article>', [LONG]),
+        (f'<article><p>{LONG}</p><section id="related-work"><p>{LONG}</p></section><h2 id="cookies">Cookies</h2><p id="search">{LONG}</p></article>', [LONG, LONG, "Cookies", LONG]),
+        (f'<div class="comments"><article><p>{LONG}</p></article></div><article><p>{LONG}x</p></article>', [LONG + "x"]),
+        (f'<article><p>{LONG}</p><div id="comments"><p>{LONG}</p></div><div class="related-posts"><p>{LONG}</p></div></article>', [LONG]),
+        (f"<div><a>Home</a></div><div><div>{LONG}</div><div>Short one.</div><div>{LONG}</div></div><div>Foot</div>", [LONG, "Short one.", LONG]),
+        (f'<div class="sidebar"><p>{LONG}</p></div><div><p>{LONG}y</p></div>', [LONG + "y"]),
+    ],
+)
+def test_articles_in_marked_elements(page, want):
+    assert main_text(f"<html><body>{page}</body></html>") == "\n\n".join(w.strip() for w in want)
