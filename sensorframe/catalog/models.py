@@ -21,7 +21,7 @@ from sensorframe.operators import probes as pr
 from sensorframe.operators import vectors as ve
 from sensorframe.operators.metrics import best_threshold
 from sensorframe.session import materialise
-from sensorframe.sources.tables import FRAMES_SQL, PREDICTIONS_SQL
+from sensorframe.sources.tables import DIMS_SQL, FRAMES_SQL, PREDICTIONS_SQL
 
 K = 3
 
@@ -214,19 +214,31 @@ def m11(t):
     return got.select("fold_id", "strategy", "threshold", "n_windows", "n_fallback_subjects", *_r(["auc", "avg_precision", "balanced_accuracy", "mcc"], 6))
 
 
+# An encoder of four outputs: tanh of the frame against sine waves.
+ENCODED_SQL = DIMS_SQL + """, enc AS (
+  SELECT window_id, frame_idx, j, tanh(sum(v * sin(d * (j + 1.0)))) AS e FROM dims, range(4) r(j) GROUP BY window_id, frame_idx, j)"""
+
+
+def _encode(frames):
+    import numpy as np
+
+    d = np.arange(frames.shape[1], dtype=float)
+    return np.tanh(frames @ np.sin(d[:, None] * (np.arange(4) + 1.0)))
+
+
 @query(
     "m12_frame_encoder",
-    """WITH v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
-    SELECT vec_id // 10 AS window_id, vec_id % 10 AS frame_idx, round(min(x), 6) + 0.0 AS low, round(max(x), 6) + 0.0 AS high FROM v GROUP BY vec_id""",
+    f"WITH {ENCODED_SQL} SELECT window_id, frame_idx, {', '.join(f'round(max(e) FILTER (j = {j}), 6) + 0.0 AS e{j}' for j in range(4))} FROM enc GROUP BY window_id, frame_idx",
 )
 def m12(t):
-    import numpy as np
+    got = mo.score_frames(t.frames(), ["window_id", "frame_idx"], "px", _encode, micro_batch=64, kind="double")
+    return got.select("window_id", "frame_idx", *[(F.round(F.col("embedding")[j], 6) + 0.0).alias(f"e{j}") for j in range(4)])
 
-    def encode(frames):
-        return np.stack([frames.min(axis=1), frames.max(axis=1)], axis=1)
 
-    got = mo.score_frames(t.frames(), ["window_id", "frame_idx"], "px", encode)
-    e = F.col("embedding").cast("array<double>")
-    return got.select(
-        "window_id", "frame_idx", (F.round(e[0], 6) + 0.0).alias("low"), (F.round(e[1], 6) + 0.0).alias("high")
-    )
+@query(
+    "m12_pooled_encoder",
+    f"WITH {ENCODED_SQL} SELECT window_id, {', '.join(f'round(avg(e) FILTER (j = {j}), 6) + 0.0 AS e{j}' for j in range(4))} FROM enc GROUP BY window_id",
+)
+def m12_pooled(t):
+    got = mo.score_frames(t.frames(), ["window_id", "frame_idx"], "px", _encode, micro_batch=64, pool=["window_id"], kind="double")
+    return got.select("window_id", *[(F.round(F.col("embedding")[j], 6) + 0.0).alias(f"e{j}") for j in range(4)])

@@ -14,7 +14,7 @@ from sensorframe.operators.folds import balanced_resample
 from sensorframe.operators.metrics import best_threshold, confusion_table, metric_table, ranking_metrics
 from sensorframe.operators.ordered import lookup_join
 from sensorframe.operators.probes import LinearFits, fit_linear, fit_networks, linear_score, linear_weights, network_scores
-from sensorframe.operators.vectors import as_arrays, dimension_stats, population_standardise, zscore
+from sensorframe.operators.vectors import as_arrays, dimension_stats, mean_pool, population_standardise, zscore
 from sensorframe.session import materialise, release
 
 
@@ -152,23 +152,28 @@ def normalisation_report(
 
 
 def score_frames(
-    frames: DataFrame, keys: Sequence[str], value: str, encode: Callable, out: str = "embedding"
+    frames: DataFrame, keys: Sequence[str], value: str, encode: Callable, out: str = "embedding", micro_batch: int | None = None, pool: Sequence[str] | None = None, kind: str = "float"
 ) -> DataFrame:
     """Run a caller's encoder over frame batches: ``encode(array of rows) -> array of rows``.
 
-    Batches follow ``spark.sql.execution.arrow.maxRecordsPerBatch``; keys pass through.
+    Batches follow ``spark.sql.execution.arrow.maxRecordsPerBatch``; the encoder sees at most ``micro_batch`` frames at once, so
+    what it needs besides them is bounded however large a batch is. Keys pass through. With ``pool`` (some of the
+    keys) the embeddings of a group are averaged, one row per group; else there is one row per frame. ``kind`` is the
+    element type of the result. A frame without a value is left out.
     """
     import pandas as pd
 
-    schema = ", ".join([f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys] + [f"`{out}` array<float>"])
+    schema = ", ".join([f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys] + [f"`{out}` array<{kind}>"])
+    dtype = {"float": np.float32, "double": np.float64}[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b) == 0:
-                continue
-            got = np.asarray(encode(np.stack(b[value].to_numpy())), dtype=np.float32)
-            res = b[list(keys)].copy()
-            res[out] = list(got)
-            yield res
-
-    return frames.select(*keys, value).mapInPandas(run, schema)
+            for at in range(0, len(b), micro_batch or max(len(b), 1)):
+                part = b.iloc[at : at + (micro_batch or len(b))]
+                got = np.asarray(encode(np.stack(part[value].to_numpy())), dtype=dtype)
+                res = part[list(keys)].copy()
+                res[out] = list(got)
+                yield res
+
+    scored = frames.where(F.col(value).isNotNull()).select(*keys, value).mapInPandas(run, schema)
+    return scored if pool is None else mean_pool(scored, pool, out)
