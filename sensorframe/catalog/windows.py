@@ -7,6 +7,7 @@ from sensorframe.catalog.segments import TILE_ROWS
 from sensorframe.operators import windows as win
 from sensorframe.operators.ordered import dense_ids, ordered_scan, row_position, row_tile
 from sensorframe.operators.segments import mark_runs
+from sensorframe.operators.vectors import reserved_baseline_stats
 from sensorframe.sources.tables import SAMPLES_SQL
 
 WINDOW, STRIDE = 4, 2
@@ -278,6 +279,22 @@ def w13(t):
     return parts[0].unionByName(parts[1]).unionByName(short)
 
 
+@query(
+    "a18_reserved_baseline",
+    f"""WITH {WIN_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY start_row) AS k, count(*) OVER (PARTITION BY subject) AS n FROM win WHERE task = 'calm'),
+    b AS (SELECT c.subject, acc0, acc1 FROM cov c JOIN k USING (subject, task, run_start, window_no) WHERE k <= 3 AND n >= 3),
+    m AS (SELECT subject, avg(acc0) AS m0, avg(acc1) AS m1 FROM b GROUP BY subject)
+    SELECT subject, round(max(m0), 7) + 0.0 AS acc0_mean, round(avg(abs(acc0 - m0)), 7) + 0.0 AS acc0_mad, round(stddev_pop(acc0), 7) + 0.0 AS acc0_std,
+      round(max(m1), 7) + 0.0 AS acc1_mean, round(avg(abs(acc1 - m1)), 7) + 0.0 AS acc1_mad, round(stddev_pop(acc1), 7) + 0.0 AS acc1_std FROM b JOIN m USING (subject) GROUP BY subject""",
+)
+def a18_reserved(t):
+    w = windows(t).withColumn("wid", F.concat_ws("-", "subject", "start_row"))
+    reserved, _ = win.reserve_baseline(w, "subject", "task", "calm", ["start_row"], "wid", 3)
+    covered = win.assign_windows(segmented(t), "p", WINDOW, STRIDE)
+    got = reserved_baseline_stats(covered, reserved, [*SEGMENT, "window_no"], ["subject"], ["acc0", "acc1"], ["row_idx"])
+    return got.select("subject", *[(F.round(f"{a}_{s}", 7) + 0.0).alias(f"{a}_{s}") for a in ("acc0", "acc1") for s in ("mean", "mad", "std")])
+
+
 @query(
     "w14_balanced_sample",
     f"""WITH {WIN_SQL}, r AS (SELECT subject, y, start_row, row_number() OVER (PARTITION BY y, subject ORDER BY start_row) AS k FROM win)

@@ -107,6 +107,18 @@ def baseline_stats(df: DataFrame, subject: Sequence[str], axes: Sequence[str], s
     return joined.groupBy(*subject).agg(*aggs)
 
 
+def reserved_baseline_stats(
+    covered: DataFrame, reserved: DataFrame, window_keys: Sequence[str], subject: Sequence[str], axes: Sequence[str], salt_on: Sequence[str]
+) -> DataFrame:
+    """``baseline_stats`` over the rows of reserved windows: a row in two of them counts twice, as the windows do.
+
+    ``covered`` holds rows with the keys of their windows (``assign_windows``), ``reserved`` the windows that
+    ``reserve_baseline`` sets aside, a bounded number per subject.
+    """
+    rows = covered.select(*window_keys, *axes, *[c for c in salt_on if c not in window_keys]).join(reserved.select(*window_keys), list(window_keys), "left_semi")
+    return baseline_stats(rows, subject, axes, salt_on)
+
+
 # The twelve baseline-relative modes as (append to raw, absolute, scale).
 BASELINE_MODES = {
     "raw_delta": (True, False, None),
