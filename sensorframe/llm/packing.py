@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of the cache's younger half; the older half is as large at most.
-CACHED = 200_000
+CACHED = 300_000
 #: Text whose words are looked up, and whose new words are encoded, at once.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
