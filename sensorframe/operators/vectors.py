@@ -159,16 +159,20 @@ def mean_pool(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def segment_pool(df: DataFrame, keys: Sequence[str], pos: str, value: str, segments: int) -> DataFrame:
-    """Mean over ``segments`` integer stretches of a window's rows (at least one row each)."""
-    whole = Window.partitionBy(*keys)  # one window: a bounded number of rows
-    n, t = F.col("_n"), F.col(pos)
+def segment_pool(df: DataFrame, keys: Sequence[str], pos: str, value: str, segments: int, length: int | None = None) -> DataFrame:
+    """Mean over ``segments`` integer stretches of a window's positions (at least one position each).
+
+    With ``length`` every window has that many positions, also one whose rows are not all there; without it, as many as rows.
+    """
+    n, t = F.lit(length) if length is not None else F.col("_n"), F.col(pos)
 
     def holds(i: Column) -> Column:
         lo = F.floor(i * n / segments)
         return (t >= lo) & (t < F.greatest(F.floor((i + 1) * n / segments), lo + 1))
 
-    rows = df.withColumn("_n", F.count(F.lit(1)).over(whole))
+    rows = df
+    if length is None:
+        rows = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))  # one window: a bounded number of rows
     rows = rows.withColumn("segment", F.explode(F.filter(F.sequence(F.lit(0), F.lit(segments - 1)), holds)))
     return long_form(rows, [*keys, "segment"], value).groupBy(*keys, "segment", "dim").agg(F.avg("v").alias("v"))
 

@@ -206,6 +206,13 @@ def test_constant_dimension_and_fallback(spark):
     assert got[("few", 9)]["fallback"]
 
 
+def test_segments_of_a_window_with_missing_rows(spark):
+    df = spark.createDataFrame([("a", i, [float(i)]) for i in range(6)] + [("b", i, [float(i)]) for i in (0, 9)], "w string, t long, px array<float>")
+    got = rows(vectors.segment_pool(df, ["w"], "t", "px", 4, length=10).select("w", "segment", "v"))
+    assert got == [("a", 0, 0.5), ("a", 1, 3.0), ("a", 2, 5.0), ("b", 0, 0.0), ("b", 3, 9.0)]
+    assert rows(vectors.segment_pool(df.where("w = 'a'"), ["w"], "t", "px", 3).select("segment", "v")) == [(0, 0.5), (1, 2.5), (2, 4.5)]
+
+
 @pytest.mark.parametrize("gamma, tolerance", [(1.0, 1e-12), (0.5, 1e-7)])
 def test_edge_map_matches_direct_sum(spark, gamma, tolerance):
     """The square root turns 1e-16 of cancellation in the direct sum into 1e-8."""
