@@ -1,5 +1,6 @@
 """Operators that look at one row at a time."""
 
+import hashlib
 import random
 import re
 
@@ -147,6 +148,20 @@ def test_personal_data(spark, tagger):
     assert find_spans(docs(spark, []), tagger).count() == 0
 
 
+def test_pii_query_counts_the_patterns_spans(spark, tagger, tmp_path):
+    from sensorframe.llm.queries import QUERIES
+
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("+0123456789 -().@ab") for _ in range(rng.randint(20, 90)))) for i in range(300)] + [(900, None), (901, "a@b.cd 1.2.3.4")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op5_pii"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and any(len([s for s in r.spans.split(",") if s]) > r.n_email + r.n_ip + r.n_card + r.n_phone for r in got.values())
+    for d, t in rows:
+        base = base_spans(t or "")
+        assert [got[d][f"n_{k}"] for k in KINDS] == [sum(s[0] == k for s in base) for k in KINDS]
+        assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+
+
 def test_urls(spark):
     urls = [
         ("https://WWW.Example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
