@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +15,11 @@ def doubles(a: Column) -> Column:
     return a.cast("array<double>")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: a lambda that names an expression works it out for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -65,7 +72,7 @@ def information_score(a: Column, method: str = "shannon", normalise: str = "l2")
         raise ValueError(f"unknown method {method!r}")
     size = F.transform(a, lambda x: F.abs(x))
     scale = norm(size) if normalise == "l2" else array_sum(size)
-    share = F.transform(size, lambda x: x / (scale + F.lit(1e-8)))
+    share = bound(scale, lambda by: F.transform(size, lambda x: x / (by + F.lit(1e-8))))
     return -F.aggregate(share, F.lit(0.0), lambda s, p: s + p * F.ln(p + F.lit(1e-10)))
 
 
@@ -154,10 +161,13 @@ def malformed_frame(px: Column, layout: Column, h: Column, w: Column, c: Column)
 
 def log_softmax(a: Column, temperature: float) -> Column:
     """Log of the softmax of a / temperature."""
-    z = F.transform(a, lambda x: x / F.lit(float(temperature)))
-    top = F.array_max(z)
-    total = F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.transform(z, lambda x: x - top - F.ln(total))
+
+    def shifted(z: Column, top: Column) -> Column:
+        total = F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+        return bound(F.ln(total), lambda lt: F.transform(z, lambda x: x - top - lt))
+
+    scaled = F.transform(a, lambda x: x / F.lit(float(temperature)))
+    return bound(scaled, lambda z: bound(F.array_max(z), lambda top: shifted(z, top)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -1,6 +1,7 @@
 """Hand-written edge cases, one small table each."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -206,6 +207,18 @@ def test_constant_dimension_and_fallback(spark):
     assert got[("few", 9)]["fallback"]
 
 
+def test_divergence_of_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=1000), rng.normal(size=1000)
+    df = spark.createDataFrame([("k", a.tolist(), b.tolist())], "k string, a array<double>, b array<double>")
+    began = time.monotonic()
+    got = vectors.agreement(df, ["k"], "a", "b", 2.0).collect()[0]
+    assert time.monotonic() - began < 30  # a term worked out for every element takes minutes here
+    ls, lt = (x / 2 - np.log(np.exp(x / 2).sum()) for x in (a, b))
+    assert math.isclose(got.soft_kl, 4 * (np.exp(lt) * (lt - ls)).sum(), rel_tol=1e-9)
+    assert math.isclose(got.mse, ((a - b) ** 2).mean(), rel_tol=1e-9)
+
+
 def test_segments_of_a_window_with_missing_rows(spark):
     df = spark.createDataFrame([("a", i, [float(i)]) for i in range(6)] + [("b", i, [float(i)]) for i in (0, 9)], "w string, t long, px array<float>")
     got = rows(vectors.segment_pool(df, ["w"], "t", "px", 4, length=10).select("w", "segment", "v"))
