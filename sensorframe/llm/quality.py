@@ -1,27 +1,31 @@
 """Quality rules: counted rules first, then a calibrated classifier trained on labelled rows.
 
 Features are hashed word n-grams (one and two words) and character n-grams (four bytes of UTF-8), each kind as shares
-of its own total. The logistic regression is fitted on a bounded sample of labelled rows, calibrated by Platt's
+of its own total. The logistic regression is fitted on all labelled rows but those held out, calibrated by Platt's
 method on held-out ones, and travels to the executors as one table of 65,536 weights, whatever the input's size. Scoring
 and counting run over whole texts in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.linear import fit_logistic, fit_platt
+from sensorframe.llm.linear import minimise, newton_platt
+from sensorframe.llm.store import materialise, release
 from sensorframe.llm.words import Splitter, Words, mix, numbers, pieces
 
 #: Slots of the hashed features; a factor on the shares, so that weights stay of order one.
 WIDTH_BITS, SCALE = 16, 20.0
-#: Labelled rows for the fit, per class; the only sample in this module.
-SAMPLE_PER_CLASS = 1000
+#: Penalty on the squared weights; unit of the fit's sums; tasks that send sums to the driver; vector entries read at once;
+#: 64-bit words of the bitmap of ids.
+RIDGE, EXACT, SUM_TASKS, ENTRIES, BITMAP_WORDS = 1e-5, 2.0**22, 32, 1 << 18, 1 << 18
 #: Thresholds a model may take, and the share of held-out good rows it may reject at most.
 THRESHOLDS, MOST_REJECTED = (0.5, 0.4, 0.3, 0.2, 0.1, 0.05), 0.005
 
@@ -79,57 +83,166 @@ def _scores(words: Words, model: QualityModel) -> np.ndarray:
     return model.slope * z + model.offset
 
 
-def _vectors(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+def _vectors(words: Words) -> pa.RecordBatch:
+    """Each document's distinct slots per kind of n-gram, as the low and high bytes of their steps, with their counts."""
+    n_docs = len(words.offsets) - 1
     kinds = _features(words)
-    out = []
-    for d in range(len(words.offsets) - 1):
-        slots, values = [], []
-        for slot, first in kinds:
-            found, n = np.unique(slot[first[d] : first[d + 1]], return_counts=True)
-            slots.append(found)
-            values.append(SCALE * n / max(n.sum(), 1))
-        out.append((np.concatenate(slots).astype(np.int32), np.concatenate(values).astype(np.float32)))
-    return out
+    # One sort for all: document, kind, slot.
+    keys = [((np.repeat(np.arange(n_docs), np.diff(first)) * len(kinds) + k) << WIDTH_BITS) + slot for k, (slot, first) in enumerate(kinds)]
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    cuts = np.searchsorted(key, np.arange(n_docs * len(kinds) + 1) << WIDTH_BITS)
+    slot = key & ((1 << WIDTH_BITS) - 1)
+    step = np.diff(slot, prepend=0)
+    starts = cuts[:-1][np.diff(cuts) > 0]
+    step[starts] = slot[starts]
+    by_doc = cuts[:: len(kinds)].astype(np.int64)
+
+    def column(values: np.ndarray) -> pa.Array:
+        at = by_doc * values.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_docs, [None, pa.py_buffer(at), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+    sizes = np.diff(cuts).astype("<u4")
+    kinds_at = pa.array([sizes[i : i + len(kinds)].tobytes() for i in range(0, len(sizes), len(kinds))], pa.binary())
+    columns = [kinds_at, column((step & 255).astype(np.uint8)), column((step >> 8).astype(np.uint8)), column(n.astype("<u4"))]
+    return pa.RecordBatch.from_arrays(columns, ["sizes", "low", "high", "counts"])
+
+
+def _bytes(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``ENTRIES`` entries, one row at least."""
+    for batch in batches:
+        ends, row = np.cumsum(np.append(0, pc.binary_length(batch["low"]).to_numpy(zero_copy_only=False))), 0
+        while row < batch.num_rows:
+            to = max(int(np.searchsorted(ends, ends[row] + ENTRIES, side="right")) - 1, row + 1)
+            yield batch.slice(row, to - row)
+            row = to
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value) of every entry of a batch of ``_vectors``."""
+    sizes = _bytes(batch["sizes"], "<u4").astype(np.int64)
+    step = _bytes(batch["low"], np.uint8).astype(np.int64) | _bytes(batch["high"], np.uint8).astype(np.int64) << 8
+    counts = _bytes(batch["counts"], "<u4").astype(float)
+    ends = np.cumsum(sizes)
+    run, seen = np.cumsum(np.append(0, step)), np.cumsum(np.append(0, counts))
+    slot = run[1:] - np.repeat(run[ends - sizes], sizes)
+    value = SCALE * counts / np.repeat(seen[ends] - seen[ends - sizes], sizes)
+    per_row = len(sizes) // max(batch.num_rows, 1)
+    row = np.repeat(np.arange(batch.num_rows), sizes.reshape(-1, max(per_row, 1)).sum(1))
+    return row, slot, value
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
+    """Part (0 to 4, by a hash of the id), label and text of every document with a label."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id"))
+    known = known.agg(F.min(label).cast("int").alias("label"), F.max(label).alias("other")).where("label = other").select("doc_id", "label")
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # Texts whose id is not in a bitmap of hashed ids (a bounded table, no id missed) are not sent to the join.
+    bit = F.xxhash64("doc_id")
+    word, mask = F.pmod(F.shiftright(bit, 6), F.lit(BITMAP_WORDS)), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))")
+    bitmap = known.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits"))
+    rows = rows.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(mask.bitwiseAND(F.col("_bits")) != 0)
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int")
+    return rows.join(known.hint("merge"), "doc_id").select(part.alias("part"), "label", "text")
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """A model from at most ``per_class`` labelled documents of either class, chosen by a hash of their id.
+def _gradient(rows: DataFrame, point: np.ndarray, importance: tuple[float, float]) -> tuple[float, np.ndarray]:
+    """Weighted log loss of all rows and its gradient; the last number of ``point`` is the bias.
 
-    Of five rows three are fitted, one calibrates the score and one sets the threshold: the highest of ``THRESHOLDS`` that
-    rejects at most ``MOST_REJECTED`` of its good rows. Null labels, ids and texts and ids with labels of both classes are
-    passed over. Without labelled rows the model gives every text the probability one half and keeps it.
+    Terms are whole multiples of 2^-22, so that sums are exact in any order and reruns agree to the bit.
+    """
+    width, most = len(point) - 1, max(importance)
+
+    def sums(batches):
+        grad, loss = np.zeros(width + 1), 0.0
+        for batch in _slices(batches):
+            row, slot, value = _unpacked(batch)
+            y = batch["label"].to_numpy(zero_copy_only=False).astype(float)
+            z = np.bincount(row, value * point[slot], minlength=len(y)) + point[-1]
+            share = np.where(y > 0, importance[1], importance[0]) / most
+            miss = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+            grad[:-1] += np.bincount(slot, np.rint(value * miss[row] * EXACT), minlength=width)
+            grad[-1] += np.rint(miss * EXACT).sum()
+            loss += np.rint(share * (np.logaddexp(0, z) - y * z) * EXACT).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary())], ["loss", "grad"])
+
+    # One row per task, of at most SUM_TASKS tasks, whatever the input's size.
+    got = rows.coalesce(SUM_TASKS).mapInArrow(sums, "loss double, grad binary").collect()
+    by = most / EXACT
+    return sum(r.loss for r in got) * by, sum((np.frombuffer(r.grad) for r in got), np.zeros(width + 1)) * by
+
+
+def _scored(rows: DataFrame, weight: np.ndarray, bias: float) -> DataFrame:
+    def score(batches):
+        for batch in _slices(batches):
+            row, slot, value = _unpacked(batch)
+            z = np.bincount(row, value * weight[slot], minlength=batch.num_rows) + bias
+            yield pa.RecordBatch.from_arrays([batch["part"], batch["label"], pa.array(z, pa.float64())], ["part", "label", "score"])
+
+    return rows.mapInArrow(score, "part int, label int, score double")
+
+
+def _platt(scored: DataFrame) -> tuple[float, float]:
+    """``fit_platt`` with its sums taken by Spark, one job a step."""
+    down, up = (scored.where(F.col("label") == v).count() for v in (0, 1))
+    x, target = F.col("score"), F.when(F.col("label") == 1, (up + 1) / (up + 2)).otherwise(1 / (down + 2))
+
+    def sums(slope: float, offset: float) -> tuple[float, np.ndarray, np.ndarray]:
+        z = F.col("score") * F.lit(slope) + F.lit(offset)
+        p = 1 / (1 + F.exp(-z))
+        miss, curve = p - target, p * (1 - p)
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - target * z
+        r = scored.agg(*(F.sum(c) for c in (loss, miss * x, miss, curve * x * x, curve * x, curve))).first()
+        return r[0], np.array(r[1:3]), np.array([[r[3], r[4]], [r[4], r[5]]])
+
+    slope, offset = newton_platt(sums, up, down)
+    return round(slope, 9), round(offset, 9)  # sums of a job differ in their last digits
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
+    """A model from all labelled documents.
+
+    Of five parts, dealt by a hash of the id, three are fitted, one calibrates the score and one sets the threshold: the highest
+    of ``THRESHOLDS`` that rejects at most ``MOST_REJECTED`` of its good rows. Null labels, ids and texts and ids with labels of
+    both classes are passed over. Without labelled rows the model gives every text the probability one half and keeps it.
+
+    Rows' vectors are stored once. Each step of the fit is one job that sums gradients where the rows are.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id"))
-    known = known.agg(F.min(label).cast("int").alias("label"), F.max(label).alias("other")).where("label = other").select("doc_id", "label")
-    some = None
-    for value in (0, 1):
-        one = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        some = one if some is None else some.unionByName(one)
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")
 
     def vectors(batches):
         splitter = Splitter()
         for batch in batches:
-            for row, to, data, offsets in pieces(batch.column(1)):
+            for row, to, data, offsets in pieces(batch.column(2)):
                 found = _vectors(splitter(data, offsets))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, to - row).cast(pa.int64()), batch.column(2).slice(row, to - row), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())],
-                    ["doc_id", "label", "slots", "values"],
-                )
-
-    # At most 2 * per_class rows come here: broadcast and collect are bounded by the sample.
-    got = rows.mapInArrow(vectors, "doc_id long, label int, slots binary, values binary").collect()
-    got.sort(key=lambda r: (int(mix(np.array([r.doc_id], np.int64).view(np.uint64))[0]), r.doc_id, bytes(r.slots)))
-    x = [(np.frombuffer(r.slots, np.int32), np.frombuffer(r["values"], np.float32)) for r in got]
-    y = np.array([r.label for r in got])
-    use = np.arange(len(y)) % 5
-    weight, bias = fit_logistic([v for v, u in zip(x, use) if u < 3], y[use < 3], 1 << WIDTH_BITS)
-    score = np.array([float((weight[i] * v).sum()) + bias for i, v in x])
-    slope, offset = fit_platt(score[use == 3], y[use == 3]) if len(y) else (1.0, 0.0)
-    good = 1 / (1 + np.exp(-np.clip(slope * score[(use == 4) & (y == 1)] + offset, -500, 500)))
-    fits = [t for t in THRESHOLDS if (good < t).sum() <= MOST_REJECTED * len(good)]
-    return QualityModel(weight.astype(np.float32), bias, slope, offset, fits[0] if fits else THRESHOLDS[-1])
+                own = batch.slice(row, to - row)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *found.columns], ["part", "label", *found.schema.names])
+
+    rows = materialise(_labelled(docs, labels, doc_id, text, label).mapInArrow(vectors, "part int, label int, sizes binary, low binary, high binary, counts binary"))
+    sizes = {(r.part, r.label): r["count"] for r in rows.groupBy("part", "label").count().collect()}
+    down, up = (sum(sizes.get((p, v), 0) for p in range(3)) for v in (0, 1))
+    point = np.zeros((1 << WIDTH_BITS) + 1)
+    if up and down:
+        fit = rows.where("part < 3")
+        importance = (0.5 / down, 0.5 / up)
+        ridge = np.append(np.full(1 << WIDTH_BITS, RIDGE), 0.0)
+
+        def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+            value, grad = _gradient(fit, at, importance)
+            return value + float((ridge * at * at).sum()) / 2, grad + ridge * at
+
+        point = minimise(loss, point)
+    elif up or down:
+        point[-1] = 4.0 if up else -4.0
+    scored = materialise(_scored(rows.where("part >= 3"), point[:-1], float(point[-1])))
+    slope, offset = _platt(scored.where("part = 3")) if sizes.get((3, 0)) and sizes.get((3, 1)) else (1.0, 0.0)
+    p = 1 / (1 + F.exp(-(F.col("score") * F.lit(slope) + F.lit(offset))))
+    low = scored.where("part = 4 and label = 1").agg(*(F.count_if(p < t) for t in THRESHOLDS)).first()
+    fits = [t for t, n in zip(THRESHOLDS, low) if n <= MOST_REJECTED * sizes.get((4, 1), 0)]
+    release(rows, scored)
+    return QualityModel(point[:-1].astype(np.float32), float(point[-1]), slope, offset, fits[0] if fits else THRESHOLDS[-1])
 
 
 def _counts(words: Words) -> list[np.ndarray]:

@@ -10,7 +10,7 @@ import pytest
 
 from sensorframe.llm.html_text import extract_text, main_text
 from sensorframe.llm.licenses import TEMPLATES, patience, scan_licenses
-from sensorframe.llm.linear import fit_logistic, fit_platt
+from sensorframe.llm.linear import fit_logistic, fit_platt, minimise
 from sensorframe.llm.pii import base_spans, find_spans, scrub
 from sensorframe.llm.quality import QualityModel, judge_quality, train_quality
 from sensorframe.llm.tagger import KINDS, WINDOW, _gradients, char_classes, decode, labelled_text, trained_tagger
@@ -56,6 +56,52 @@ def test_quality_learns_and_carries(spark):
     assert judge_quality(docs(spark, []), none).count() == 0 and judge_quality(frame, none).count() == 120
 
 
+def test_quality_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    from sensorframe.llm import quality
+    from sensorframe.llm.words import Splitter
+
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choice(["ab", "cde", "é", "fgh!", "x" * 600]) for _ in range(rng.randint(0, 30)))) for i in range(3000)]
+    texts += [(5000, "ab " * 70_000), (5001, ""), (5002, None)]
+    label = {i: rng.randint(0, 1) for i, _ in texts}
+    labels = spark.createDataFrame([(i, v, 0) for i, v in label.items()] + [(7, 1 - label[7], 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "minimise", lambda loss, at: seen.append(loss(at + 0.01)) or at)
+    train_quality(docs(spark, texts), labels)
+
+    ids = spark.createDataFrame([(i,) for i, t in texts if i != 7 and t is not None], "doc_id long")
+    fitted = {r.doc_id for r in ids.where("pmod(xxhash64(doc_id, 'part'), 5) < 3").collect()}
+    rows = [(t, label[i]) for i, t in texts if i in fitted]
+    n = [sum(v == k for _, v in rows) for k in (0, 1)]
+    assert min(n) > 800
+    value, grad = 0.0, np.zeros((1 << 16) + 1)
+    for t, v in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        x = np.zeros((1 << 16) + 1)
+        for slot, _ in quality._features(Splitter()(data, np.array([0, len(data)]))):
+            np.add.at(x, slot, quality.SCALE / max(len(slot), 1))
+        x[-1] = 1
+        z = 0.01 * x.sum()
+        value += 0.5 / n[v] * (np.log1p(np.exp(z)) - v * z)
+        grad += 0.5 / n[v] * (1 / (1 + np.exp(-z)) - v) * x
+    at = np.append(np.full(1 << 16, 0.01), 0.0)
+    assert np.isclose(seen[0][0], value + quality.RIDGE * (at @ at) / 2, rtol=1e-6)
+    assert np.abs(seen[0][1] - grad - quality.RIDGE * at).max() < 1e-6
+
+
+def test_minimise_reaches_the_optimum():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(400, 12)), rng.integers(0, 2, 400)
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + w @ w / 2, x.T @ (1 / (1 + np.exp(-z)) - y) + w
+
+    at = minimise(loss, np.zeros(12), tolerance=1e-7)
+    assert np.abs(loss(at)[1]).max() < 1e-4
+    assert minimise(loss, at, most=1) is at
+
+
 def test_logistic_and_platt():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 300)
