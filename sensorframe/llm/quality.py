@@ -29,6 +29,9 @@ RIDGE, EXACT, SUM_TASKS, ENTRIES, BITMAP_WORDS = 1e-5, 2.0**22, 32, 1 << 18, 1 <
 #: Thresholds a model may take, and the share of held-out good rows it may reject at most.
 THRESHOLDS, MOST_REJECTED = (0.5, 0.4, 0.3, 0.2, 0.1, 0.05), 0.005
 
+#: A stored vector; the byte that stands for a number of this size or more.
+VECTOR, WIDE = "sizes binary, steps binary, wide_steps binary, counts binary, wide_counts binary", 255
+
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -84,7 +87,7 @@ def _scores(words: Words, model: QualityModel) -> np.ndarray:
 
 
 def _vectors(words: Words) -> pa.RecordBatch:
-    """Each document's distinct slots per kind of n-gram, as the low and high bytes of their steps, with their counts."""
+    """Each document's distinct slots per kind of n-gram, as their steps, with their counts: a byte each, ``WIDE`` for those listed apart."""
     n_docs = len(words.offsets) - 1
     kinds = _features(words)
     # One sort for all: document, kind, slot.
@@ -97,24 +100,33 @@ def _vectors(words: Words) -> pa.RecordBatch:
     step[starts] = slot[starts]
     by_doc = cuts[:: len(kinds)].astype(np.int64)
 
-    def column(values: np.ndarray) -> pa.Array:
-        at = by_doc * values.itemsize
+    def column(values: np.ndarray, at: np.ndarray) -> pa.Array:
+        at = at * values.itemsize
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_docs, [None, pa.py_buffer(at), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
+    def bytewise(values: np.ndarray) -> list[pa.Array]:
+        wide = np.flatnonzero(values >= WIDE)
+        return [column(np.minimum(values, WIDE).astype(np.uint8), by_doc), column(values[wide].astype("<u4"), np.searchsorted(wide, by_doc))]
+
     sizes = np.diff(cuts).astype("<u4")
     kinds_at = pa.array([sizes[i : i + len(kinds)].tobytes() for i in range(0, len(sizes), len(kinds))], pa.binary())
-    columns = [kinds_at, column((step & 255).astype(np.uint8)), column((step >> 8).astype(np.uint8)), column(n.astype("<u4"))]
-    return pa.RecordBatch.from_arrays(columns, ["sizes", "low", "high", "counts"])
+    return pa.RecordBatch.from_arrays([kinds_at, *bytewise(step), *bytewise(n)], VECTOR.replace(" binary", "").split(", "))
 
 
 def _bytes(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _widened(column: pa.Array, wide: pa.Array) -> np.ndarray:
+    values = _bytes(column, np.uint8).astype(np.int64)
+    values[values == WIDE] = _bytes(wide, "<u4")
+    return values
+
+
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``ENTRIES`` entries, one row at least."""
     for batch in batches:
-        ends, row = np.cumsum(np.append(0, pc.binary_length(batch["low"]).to_numpy(zero_copy_only=False))), 0
+        ends, row = np.cumsum(np.append(0, pc.binary_length(batch["steps"]).to_numpy(zero_copy_only=False))), 0
         while row < batch.num_rows:
             to = max(int(np.searchsorted(ends, ends[row] + ENTRIES, side="right")) - 1, row + 1)
             yield batch.slice(row, to - row)
@@ -124,8 +136,8 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, slot, value) of every entry of a batch of ``_vectors``."""
     sizes = _bytes(batch["sizes"], "<u4").astype(np.int64)
-    step = _bytes(batch["low"], np.uint8).astype(np.int64) | _bytes(batch["high"], np.uint8).astype(np.int64) << 8
-    counts = _bytes(batch["counts"], "<u4").astype(float)
+    step = _widened(batch["steps"], batch["wide_steps"])
+    counts = _widened(batch["counts"], batch["wide_counts"]).astype(float)
     ends = np.cumsum(sizes)
     run, seen = np.cumsum(np.append(0, step)), np.cumsum(np.append(0, counts))
     slot = run[1:] - np.repeat(run[ends - sizes], sizes)
@@ -220,7 +232,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
                 own = batch.slice(row, to - row)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *found.columns], ["part", "label", *found.schema.names])
 
-    rows = materialise(_labelled(docs, labels, doc_id, text, label).mapInArrow(vectors, "part int, label int, sizes binary, low binary, high binary, counts binary"))
+    rows = materialise(_labelled(docs, labels, doc_id, text, label).mapInArrow(vectors, f"part int, label int, {VECTOR}"))
     sizes = {(r.part, r.label): r["count"] for r in rows.groupBy("part", "label").count().collect()}
     down, up = (sum(sizes.get((p, v), 0) for p in range(3)) for v in (0, 1))
     point = np.zeros((1 << WIDTH_BITS) + 1)

@@ -6,15 +6,17 @@ import re
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from sensorframe.llm.html_text import extract_text, main_text
 from sensorframe.llm.licenses import TEMPLATES, patience, scan_licenses
 from sensorframe.llm.linear import fit_logistic, fit_platt, minimise
 from sensorframe.llm.pii import base_spans, find_spans, scrub
-from sensorframe.llm.quality import QualityModel, judge_quality, train_quality
+from sensorframe.llm.quality import SCALE, QualityModel, _features, _unpacked, _vectors, judge_quality, train_quality
 from sensorframe.llm.tagger import KINDS, WINDOW, _gradients, char_classes, decode, labelled_text, trained_tagger
 from sensorframe.llm.urls import judge_urls
+from sensorframe.llm.words import Splitter, pieces
 
 EDGES = [(1, None), (2, ""), (3, " \n \n "), (4, "one\none\none"), (5, "#é| <b>\n\n\n#é| <b>"), (6, "ab " * 20_000), (None, "x y z x y z"), (7, "x"), (7, "x"), (8, "a\r\nb\r\nb\r\n"), (9, "w" * 200_000)]
 
@@ -41,6 +43,28 @@ def test_quality_counts(spark):
         assert r.kept == (not r.base_failed)
 
 
+def test_quality_vectors_are_small_and_exact():
+    rng = random.Random(5)
+    texts = [t for _, t in EDGES] + ["".join(rng.choice("abcdefghij  ") for _ in range(n)) for n in (3, 300, 3000, 30_000)]
+    entries = size = 0
+    for row, to, data, offsets in pieces(pa.array(texts)):
+        words = Splitter()(data, offsets)
+        stored = _vectors(words)
+        at, slot, value = _unpacked(stored)
+        want = np.zeros((to - row, 1 << 16, 3))
+        for kind, (found, first) in enumerate(_features(words)):
+            for d in range(to - row):
+                own = found[first[d] : first[d + 1]]
+                want[d, :, kind] = SCALE * np.bincount(own, minlength=1 << 16) / max(len(own), 1)
+        have = np.zeros((to - row, 1 << 16))
+        np.add.at(have, (at, slot), value)
+        assert np.allclose(have, want.sum(2), rtol=1e-12) and len(at) == np.count_nonzero(want)
+        entries += len(at)
+        size += stored.nbytes
+    # Two bytes an entry, and what is fixed: every batch's offsets, sizes and few wide numbers.
+    assert size < 3 * entries + 100 * len(texts)
+
+
 def test_quality_learns_and_carries(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
