@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe.llm.graph import components
+from sensorframe.llm.kept import kept
 from sensorframe.llm.store import if_small, materialise, release, tasks_of
 from sensorframe.llm.words import Splitter, mix, numbers, pieces
 
@@ -79,7 +80,7 @@ def common_slots(docs: DataFrame, text: str, k: int) -> np.ndarray:
     n_slices = SLOTS // SLICE
 
     def count(batches):
-        total, splitter = np.zeros(SLOTS, np.int64), Splitter(lower=True)
+        total, splitter = np.zeros(SLOTS, np.int64), kept(("splitter", "lower"), lambda: Splitter(lower=True))
         for batch in batches:
             for _, hashed, _ in shingle_sets(batch.column(0), k, splitter):
                 total += np.bincount((hashed >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
@@ -113,7 +114,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, co
     fields = ["doc_id long", "n_shingles long", "f1 long", "f2 long", *(f"s{i} long" for i in range(BITMAP)), "wide binary", "sent array<long>"]
 
     def sign(batches):
-        splitter, is_common = Splitter(lower=True), np.unpackbits(common).astype(bool)
+        splitter, is_common = kept(("splitter", "lower"), lambda: Splitter(lower=True)), np.unpackbits(common).astype(bool)
         seeds = numbers(2, 13)
         for batch in batches:
             ids = batch.column(0)
@@ -202,7 +203,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame) ->
     """Sorted distinct shingles, as packed 64-bit values, of the documents in the stored table ``wanted``."""
 
     def make(batches):
-        splitter = Splitter(lower=True)
+        splitter = kept(("splitter", "lower"), lambda: Splitter(lower=True))
         for batch in batches:
             for row, hashed, offsets in shingle_sets(batch.column(1), k, splitter):
                 packed = [hashed[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]

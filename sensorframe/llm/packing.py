@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.llm.kept import kept
+
 #: Words of the cache's younger half; the older half is as large at most.
 CACHED = 300_000
 #: Text whose words are looked up, and whose new words are encoded, at once.
@@ -118,14 +120,9 @@ class WordIds:
         return self.many([text])[0]
 
 
-_KEPT: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """The process's own tokenizer and cache; it stays between the tasks of a worker."""
-    if path not in _KEPT:
-        _KEPT[path] = WordIds(path)
-    return _KEPT[path]
+    """The process's own tokenizer and cache; it stays between the tasks of a worker, until another operator's begin."""
+    return kept(("word ids", path), lambda: WordIds(path))
 
 
 class Packer:

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.llm.kept import kept
 from sensorframe.llm.linear import minimise, newton_platt
 from sensorframe.llm.store import materialise, release
 from sensorframe.llm.words import Splitter, Words, mix, numbers, pieces
@@ -225,7 +226,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """
 
     def vectors(batches):
-        splitter = Splitter()
+        splitter = kept(("splitter",), Splitter)
         for batch in batches:
             for row, to, data, offsets in pieces(batch.column(2)):
                 found = _vectors(splitter(data, offsets))
@@ -319,7 +320,7 @@ def judge_quality(docs: DataFrame, model: QualityModel, keep_from: float | None
     kinds = [f"`{n}` {t}" for n, t in rows.dtypes if n in kept_columns] + COUNTS.split(", ")[1:] + ["quality double"]
 
     def judge(batches):
-        splitter = Splitter()
+        splitter = kept(("splitter",), Splitter)
         for batch in batches:
             own = [i for i, n in enumerate(batch.schema.names) if n in kept_columns]
             for row, to, data, offsets in pieces(batch.column(at)):

@@ -4,14 +4,18 @@ import hashlib
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from sensorframe.llm import suffixes
+from sensorframe.llm.kept import kept
 from sensorframe.llm.manifest import BLOCK, build_manifest, digest, field, fold, proof_digest
+from sensorframe.llm.packing import word_ids
 from sensorframe.llm.queries import plant
 from sensorframe.llm.runs import Positions, periodic_runs, seeds
 from sensorframe.llm.suffixes import cuts, drop_repeated_bytes
+from sensorframe.llm.words import Splitter
 
 SCHEMA = "doc_id long, text string, runs int, g string, n long, row long"
 
@@ -232,3 +236,11 @@ def test_long_words_that_polynomials_confuse(spark):
     assert removed == {1: 0, 2: 0, 3: 13}
     short = [(1, f"a b c d {one}"), (2, f"a b c d {two}"), (3, f"a b c d {one}")]
     assert {r.doc_id: r.component_id for r in jaccard_components(table(spark, short)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_cached_words_go_when_another_operator_begins():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = word_ids(path)
+    assert word_ids(path) is words
+    kept(("splitter",), Splitter)
+    assert word_ids(path) is not words
